@@ -51,3 +51,34 @@ def clean_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> D
         .where("label = other")
         .drop("other")
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most ``max_rows`` labelled ids, those whose hashed ids are smallest.
+
+    The chosen labels (16 bytes each, ``max_rows`` of them) are broadcast, so no text is shuffled.
+    """
+    chosen = clean_labels(labels, label_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def scored(docs: DataFrame, score_texts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row: ``score_texts`` maps a list of texts (null: "") to their scores."""
+    import pyarrow as pa
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(texts), pa.float64())], ["doc_id", "score"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {id_type}, score double")
+
+
+def digest(scores: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, held_out, score, predicted) from (doc_id, score)."""
+    return scores.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )

@@ -1,4 +1,9 @@
 """Queries and SQL of the training-data operators."""
 
-QUERIES: dict = {}
+from catalogmatch.llm import quality, toxicity
+
+QUERIES: dict = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_quality": quality.op4_quality,
+}
 ORACLES: dict = {}
