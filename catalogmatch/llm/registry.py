@@ -1,9 +1,10 @@
 """Queries and SQL of the training-data operators."""
 
-from catalogmatch.llm import quality, toxicity
+from catalogmatch.llm import bpe, quality, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_quality": quality.op4_quality,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES: dict = {}
