@@ -1,10 +1,12 @@
 """Queries and SQL of the training-data operators."""
 
-from catalogmatch.llm import bpe, quality, toxicity
+from catalogmatch.llm import bpe, exact, quality, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_quality": quality.op4_quality,
+    "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_sharding": sharding.op6_sharding,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
-ORACLES: dict = {}
+ORACLES: dict = {"op5_exact_dedup": exact.OP5_SQL}
