@@ -114,8 +114,8 @@ def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
-    max_rows: int = 30_000,
-    max_features: int = 20_000,
+    max_rows: int = 20_000,
+    max_features: int = 3_000,
     least_z: float = 2.5,
     ridge: float = 1e-4,
     steps: int = 150,
