@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,110 @@ def digest(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def sized(table_: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``most_rows``; else as it is, to be shuffled."""
+    return F.broadcast(table_) if table_.count() <= most_rows else table_
+
+
+# Words and shingles of a text as 64-bit numbers
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse, modulo 2**64; kept up to a million."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_STEP, _BACK)):
+            _POWERS[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 16) - 1, base, np.uint64))])
+    return _POWERS
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*range(9, 14), 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_PART = 1 << 20
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit number for each word of a UTF-8 text, A-Z in lower case; equal words have equal numbers."""
+    out, start = [], 0
+    while start < len(data):
+        stop = min(len(data), start + _PART)
+        if stop < len(data):  # cut at a space
+            cut = max(data.rfind(s, start, stop) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            stop = cut if cut > start else min([len(data), *(x for x in (data.find(s, stop) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0)])
+        raw = np.frombuffer(data, np.uint8, stop - start, start)
+        space = np.concatenate([[True], _IS_SPACE[raw], [True]])
+        turns = np.flatnonzero(space[1:] != space[:-1])
+        first, last = turns[::2], turns[1::2]
+        ahead, back = (p[: len(raw) + 1] for p in _powers(len(raw) + 1))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * ahead[:-1])])
+        out.append(mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)))
+        start = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(data: bytes, n: int = 5) -> np.ndarray:
+    """Sorted distinct numbers of the n-word shingles; of fewer words the whole sequence; none without words."""
+    words = word_hashes(data)
+    if not len(words):
+        return words
+    k = min(n, len(words))
+    rolled = words[: len(words) - k + 1] + np.uint64(k)
+    for j in range(1, k):
+        rolled = mixed(rolled * _STEP + words[j : len(words) - k + 1 + j])
+    return np.unique(rolled)
+
+
+def batch_shingles(texts: list[bytes], n: int = 5):
+    """``shingles`` of each text; about a megabyte of short texts is worked on at a time."""
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size >= _PART or k == len(texts) - 1:
+            yield from _group_shingles(group, n)
+            group, size = [], 0
+
+
+def _group_shingles(texts: list[bytes], n: int):
+    if len(texts) == 1:
+        yield shingles(texts[0], n)
+        return
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = np.concatenate([[True], _IS_SPACE[raw]])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    first, last = turns[::2], turns[1::2]
+    ahead, back = (p[: len(raw) + 1] for p in _powers(len(raw) + 1))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * ahead[:-1])])
+    words = mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+    bounds = np.searchsorted(first, starts)
+    rolled = words[: max(0, len(words) - n + 1)] + np.uint64(n)
+    for j in range(1, n):
+        rolled = mixed(rolled * _STEP + words[j : len(words) - n + 1 + j])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= n:
+            yield np.unique(rolled[a : b - n + 1])
+        elif b > a:
+            few = words[a : a + 1] + np.uint64(b - a)
+            for j in range(a + 1, b):
+                few = mixed(few * _STEP + words[j : j + 1])
+            yield few
+        else:
+            yield np.zeros(0, np.uint64)
