@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from catalogmatch.llm import bpe, exact, minhash, quality, sharding, toxicity
+from catalogmatch.llm import bpe, exact, minhash, quality, secrets, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,6 +8,7 @@ QUERIES: dict = {
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_sharding": sharding.op6_sharding,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES: dict = {"op2_near_dedup": minhash.OP2_SQL, "op5_exact_dedup": exact.OP5_SQL}
