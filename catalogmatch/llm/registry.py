@@ -1,10 +1,11 @@
 """Queries and SQL of the training-data operators."""
 
-from catalogmatch.llm import bpe, exact, minhash, quality, secrets, sharding, toxicity
+from catalogmatch.llm import bpe, exact, licenses, minhash, quality, secrets, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_near_dedup": minhash.op2_near_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_sharding": sharding.op6_sharding,
