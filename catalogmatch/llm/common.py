@@ -178,7 +178,7 @@ def _group_shingles(texts: list[bytes], n: int):
     words = mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
     bounds = np.searchsorted(first, starts)
     rolled = words[: max(0, len(words) - n + 1)] + np.uint64(n)
-    for j in range(1, n):
+    for j in range(1, n if len(words) >= n else 0):
         rolled = mixed(rolled * _STEP + words[j : len(words) - n + 1 + j])
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= n:
