@@ -155,19 +155,15 @@ def shingles(data: bytes, n: int = 5) -> np.ndarray:
 
 def batch_shingles(texts: list[bytes], n: int = 5):
     """``shingles`` of each text; about a megabyte of short texts is worked on at a time."""
-    group, size = [], 0
-    for k, text in enumerate(texts):
-        group.append(text)
-        size += len(text)
-        if size >= _PART or k == len(texts) - 1:
-            yield from _group_shingles(group, n)
-            group, size = [], 0
+    for group in groups_of(texts):
+        yield from _group_shingles(group, n)
 
 
-def _group_shingles(texts: list[bytes], n: int):
+def group_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(``word_hashes`` of all texts, one after another; place of each text's first word, and the number of all)."""
     if len(texts) == 1:
-        yield shingles(texts[0], n)
-        return
+        words = word_hashes(texts[0])
+        return words, np.array([0, len(words)])
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = np.concatenate([[True], _IS_SPACE[raw]])
@@ -176,7 +172,22 @@ def _group_shingles(texts: list[bytes], n: int):
     ahead, back = (p[: len(raw) + 1] for p in _powers(len(raw) + 1))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * ahead[:-1])])
     words = mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
-    bounds = np.searchsorted(first, starts)
+    return words, np.searchsorted(first, starts)
+
+
+def groups_of(texts: list[bytes]):
+    """``texts`` in groups of about a megabyte."""
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size >= _PART or k == len(texts) - 1:
+            yield group
+            group, size = [], 0
+
+
+def _group_shingles(texts: list[bytes], n: int):
+    words, bounds = group_words(texts)
     rolled = words[: max(0, len(words) - n + 1)] + np.uint64(n)
     for j in range(1, n if len(words) >= n else 0):
         rolled = mixed(rolled * _STEP + words[j : len(words) - n + 1 + j])

@@ -97,6 +97,17 @@ class QualityModel:
         """(doc_id, score) of every row."""
         return scored(docs, self.score_texts, id_col, text_col)
 
+    def keep(self, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+        import pyarrow as pa
+
+        def passing(batches):
+            for batch in batches:
+                scores = self.score_texts([x or "" for x in batch.column(text_col).to_pylist()])
+                yield batch.filter(pa.array(scores >= threshold))
+
+        return docs.mapInArrow(passing, docs.schema)
+
 
 def isotonic(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit of ``labels`` on ``raw`` (pool adjacent violators)."""

@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from catalogmatch.llm import bpe, decontaminate, exact, licenses, minhash, quality, secrets, sharding, toxicity
+from catalogmatch.llm import bpe, decontaminate, exact, licenses, lm, minhash, quality, secrets, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES: dict = {"op2_near_dedup": minhash.OP2_SQL, "op5_exact_dedup": exact.OP5_SQL}
