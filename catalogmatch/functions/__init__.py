@@ -1 +1 @@
-
+"""Column functions: geometry, filters, text, vectors."""

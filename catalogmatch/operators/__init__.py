@@ -1 +1 @@
-
+"""Table operators."""

@@ -1 +1 @@
-
+"""Readers, file jobs and writers."""
