@@ -141,4 +141,7 @@ def shortlist_line(position: Column, profile: str = "profile") -> Column:
 
 def quoted(value: Column) -> Column:
     """Percent-encoding that leaves slashes and encodes spaces as %20."""
-    return F.replace(F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    out = F.url_encode(value)
+    for was, becomes in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(was), F.lit(becomes))
+    return out

@@ -1,4 +1,8 @@
 """All registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from catalogmatch.plans import catalog_queries
+
+QUERIES: dict = {**catalog_queries.QUERIES}
+ORACLES: dict = {**catalog_queries.ORACLES}
