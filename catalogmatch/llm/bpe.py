@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import table
+from catalogmatch.llm.common import map_batches, table
 
 NO_RANK = np.iinfo(np.int32).max
 PIECES = 1 << 18
@@ -37,7 +37,7 @@ NOT_PLAIN = rf"[^\t\n\r -~{LATIN[6:]}]"
 class MergeReplay:
     """Encoder and decoder for one rank file. ``most_words`` bounds the words whose ids are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 250_000):
         import regex
 
         self.cut = regex.compile(pattern)
@@ -195,12 +195,13 @@ def _replay(key: str, ranks: dict[bytes, int], pattern: str) -> MergeReplay:
     return _REPLAYS[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 24) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, ids array<int>[, decoded binary]) of every row; ``decoded`` adds the bytes that the ids read back to.
 
     The rank file at ``path`` (a vocabulary, of fixed size) is read on the driver and broadcast.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     ranks = read_ranks(path)
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
@@ -218,18 +219,17 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_c
     def run(batches):
         replay = _replay(key, sent.value, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            first, size = 0, 0
-            for k, text in enumerate(texts):
-                size += len(text)
-                if size >= batch_chars:
-                    yield out(replay, batch.column(0).slice(first, k + 1 - first), texts[first : k + 1])
-                    first, size = k + 1, 0
-            if first < len(texts):
-                yield out(replay, batch.column(0).slice(first), texts[first:])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                done = sizes[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(sizes, done + batch_bytes, "right")))
+                part = batch.slice(first, last - first)
+                yield out(replay, part.column(0), [x or "" for x in part.column(1).to_pylist()])
+                first = last
 
     schema = f"doc_id {id_type}, ids array<int>" + ", decoded binary" * decoded
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -247,7 +247,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             back = [replay.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, decoded binary")
+    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {id_type}, decoded binary")
 
 
 def token_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -36,6 +36,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: what a Python worker holds at a time besides its own tables.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of about ``BATCH_BYTES``, so that long texts do not pile up in the workers."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5, and for rows without an id: never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
@@ -75,7 +85,7 @@ def scored(docs: DataFrame, score_texts, id_col: str = "doc_id", text_col: str =
             texts = [x or "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(texts), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {id_type}, score double")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), score, f"doc_id {id_type}, score double")
 
 
 def digest(scores: DataFrame, threshold: float) -> DataFrame:
@@ -108,7 +118,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the step and of its inverse, modulo 2**64; kept up to a million."""
+    """Powers of the step and of its inverse, modulo 2**64; kept."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_STEP, _BACK)):
             _POWERS[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 16) - 1, base, np.uint64))])
@@ -119,7 +129,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[*range(9, 14), 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PART = 1 << 20
+_PART = 1 << 18
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -154,7 +164,7 @@ def shingles(data: bytes, n: int = 5) -> np.ndarray:
 
 
 def batch_shingles(texts: list[bytes], n: int = 5):
-    """``shingles`` of each text; about a megabyte of short texts is worked on at a time."""
+    """``shingles`` of each text; about a quarter of a megabyte of short texts is worked on at a time."""
     for group in groups_of(texts):
         yield from _group_shingles(group, n)
 
@@ -176,7 +186,7 @@ def group_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def groups_of(texts: list[bytes]):
-    """``texts`` in groups of about a megabyte."""
+    """``texts`` in groups of about a quarter of a megabyte."""
     group, size = [], 0
     for k, text in enumerate(texts):
         group.append(text)

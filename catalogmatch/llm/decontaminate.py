@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import mixed, sized, table, word_hashes, written
+from catalogmatch.llm.common import map_batches, mixed, sized, table, word_hashes, written
 from catalogmatch.llm.common import _IS_SPACE, _LOWER, _STEP, _powers
 
 WINDOW = 8
@@ -99,7 +99,7 @@ class Canonical:
 _UNIT_WORDS = word_hashes(" ".join(UNITS).encode())
 
 
-def _hits(batches, sizes: list[int], wanted: np.ndarray | None, most: int = 1 << 20):
+def _hits(batches, sizes: list[int], wanted: np.ndarray | None, most: int = 1 << 18):
     """(id, n_words, at, size, hash, slots) of windows; with ``wanted`` (a bit set) only of those in it."""
     import pyarrow as pa
 
@@ -143,7 +143,7 @@ def template_windows(items: DataFrame, id_col: str, text_col: str = "text", wind
     """(id, n_words, at, size, hash, slots) of every window of the items; an item shorter than ``window`` is one window."""
     kind = items.schema[id_col].dataType.simpleString()
     texts = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(lambda batches: _hits(batches, list(range(1, window + 1)), None), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>")
+    return map_batches(texts, lambda batches: _hits(batches, list(range(1, window + 1)), None), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>")
 
 
 def leaks(
@@ -172,7 +172,7 @@ def leaks(
     sent = spark.sparkContext.broadcast(wanted)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hits = texts.mapInArrow(lambda batches: _hits(batches, sizes, sent.value), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>")
+    hits = map_batches(texts, lambda batches: _hits(batches, sizes, sent.value), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>")
     right = sized(items.select(F.col("id").alias("item"), F.col("n_words").alias("item_words"), F.col("at").alias("item_at"), "size", "hash", F.col("slots").alias("item_slots")))
     pairs = written(hits.select("id", "at", "size", "hash", "slots").join(right, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at")), "leak-pairs")
     aligned = pairs.groupBy("id", "item", "shift").agg(F.countDistinct("item_at").alias("n"), F.max(F.col("item_words") - F.col("size") + 1).alias("of"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import SPACE, table, written
+from catalogmatch.llm.common import SPACE, map_batches, table, written
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_013)
@@ -71,7 +71,7 @@ def _hashed(pieces: DataFrame, primes, bases) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(found[:, k]) for k in range(5))], names)
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in names[-5:])])
-    return pieces.mapInArrow(run, schema)
+    return map_batches(pieces, run, schema)
 
 
 def normalised(text_col: str = "text"):

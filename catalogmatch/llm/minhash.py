@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import batch_shingles, mixed, shingles, sized, table, written
+from catalogmatch.llm.common import batch_shingles, map_batches, mixed, shingles, sized, table, written
 from catalogmatch.llm.graph import components
 
 HASHES, BAND, BANDS, BITS = 256, 5, 48, 2
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     schema = f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>, words array<long>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
 
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(sized(nodes), "node", "left_semi")
-    return texts.mapInArrow(run, f"node {id_type}, elements array<long>").where("size(elements) > 0")
+    return map_batches(texts, run, f"node {id_type}, elements array<long>").where("size(elements) > 0")
 
 
 def _complete_groups(batches, keys: list[str]):
@@ -228,8 +228,8 @@ def near_links(docs: DataFrame, heads: DataFrame, threshold: float = 0.75, id_co
     rows = spread.select("key", "node", "comp", F.inline(F.concat(as_target, as_query))).join(words, "node")
     rows = rows.select("key", "tb", "qb", "node", "comp", "target", "query", "words")
     dealt = lambda x: x.repartition("key", "tb", "qb").sortWithinPartitions("key", "tb", "qb")
-    need = written(dealt(rows).mapInArrow(_taking_part(threshold), rows.schema), "near-taking-part")
-    crossing = dealt(need.join(sets, "node")).mapInArrow(_block_links(threshold), f"a {node_type}, b {node_type}")
+    need = written(map_batches(dealt(rows), _taking_part(threshold), rows.schema), "near-taking-part")
+    crossing = map_batches(dealt(need.join(sets, "node")), _block_links(threshold), f"a {node_type}, b {node_type}")
     return stars.unionByName(crossing)
 
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import digest, labelled_sample, scored, table, written
+from catalogmatch.llm.common import digest, labelled_sample, map_batches, scored, table, written
 
 N_STATS = 19
 BLOCK = 1 << 20
@@ -106,7 +106,7 @@ class QualityModel:
                 scores = self.score_texts([x or "" for x in batch.column(text_col).to_pylist()])
                 yield batch.filter(pa.array(scores >= threshold))
 
-        return docs.mapInArrow(passing, docs.schema)
+        return map_batches(docs, passing, docs.schema)
 
 
 def isotonic(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
         cells = [np.append(upper[0], np.arange(size)), np.append(upper[1], np.full(size, -1)), np.append(gram[upper], right)]
         yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int32()), pa.array(cells[2])], ["i", "j", "v"])
 
-    cells = rows.select("stats", "label").mapInArrow(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    cells = map_batches(rows.select("stats", "label"), part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
     i, j, v = (cells[c].to_numpy() for c in ("i", "j", "v"))
     gram, right = np.zeros((size, size)), np.zeros(size)
     right[i[j < 0]] = v[j < 0]
@@ -176,7 +176,7 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("part"), pa.array(stats, pa.list_(pa.float64()))], ["label", "part", "stats"])
 
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(4)).cast("int")
-    rows = written(sample.select("label", part.alias("part"), "text").mapInArrow(measure, "label int, part int, stats array<double>"), "quality-stats")
+    rows = written(map_batches(sample.select("label", part.alias("part"), "text"), measure, "label int, part int, stats array<double>"), "quality-stats")
     at = [F.element_at("stats", k + 1) for k in range(N_STATS)]
     sums = rows.agg(F.count("*"), F.sum("label"), *(f(x) for x in at for f in (F.avg, F.stddev_pop))).first()
     none = np.zeros(0)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import digest, labelled_sample, scored, table
+from catalogmatch.llm.common import digest, labelled_sample, map_batches, scored, table
 
 SIZES = (3, 4, 5)
 BITS = 21
@@ -82,7 +82,7 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
             ["bucket", "toxic", "other"],
         )
 
-    partial = sample.select("text", "label").mapInArrow(count, "bucket long, toxic long, other long")
+    partial = map_batches(sample.select("text", "label"), count, "bucket long, toxic long, other long")
     return partial.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -160,8 +160,7 @@ def fit_toxicity(
 
     id_type = sample.schema["doc_id"].dataType.simpleString()
     rows = (
-        sample.select("doc_id", "label", "text")
-        .mapInArrow(chosen, f"doc_id {id_type}, label int, held array<int>")
+        map_batches(sample.select("doc_id", "label", "text"), chosen, f"doc_id {id_type}, label int, held array<int>")
         .groupBy("doc_id")  # an id with several texts counts once, so that max_rows holds
         .agg(F.max(F.struct("label", "held")).alias("x"))
         .select("doc_id", "x.*")
