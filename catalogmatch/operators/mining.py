@@ -58,21 +58,23 @@ def branch_top_k(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: D
     right = right.withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
 
     def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        ids, slugs, values = [], [], []
         if len(q) and len(g):
             g = g.sort_values("slug", kind="stable")
-            matrix = np.stack(g["vec"].to_list()).T
-            slugs = g["slug"].to_numpy()
+            matrix, names = np.stack(g["vec"].to_list()).T, g["slug"].to_numpy(object)
             for start in range(0, len(q), query_block):
                 block = q.iloc[start : start + query_block]
                 sims = np.round(np.stack(block["vec"].to_list()) @ matrix, DIGITS) + 0.0
                 most = min(k + int(block["extra"].max()), sims.shape[1])
                 order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-                rows = np.repeat(np.arange(len(block)), most)
-                out.append(
-                    pd.DataFrame({"query_id": block["query_id"].to_numpy()[rows], "slug": slugs[order.ravel()], "branch": block["branch"].iloc[0], "sim": np.take_along_axis(sims, order, 1).ravel()})
-                )
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "slug": [], "branch": [], "sim": []})
+                ids.append(np.repeat(block["query_id"].to_numpy(object), most))
+                slugs.append(names[order.ravel()])
+                values.append(np.take_along_axis(sims, order, 1).ravel())
+        if not ids:
+            none = np.zeros(0, object)
+            return pd.DataFrame({"query_id": none, "slug": none, "branch": none, "sim": np.zeros(0)})
+        names = np.full(sum(map(len, ids)), q["branch"].iloc[0], object)
+        return pd.DataFrame({"query_id": np.concatenate(ids), "slug": np.concatenate(slugs), "branch": names, "sim": np.concatenate(values)}, dtype=object).astype({"sim": float})
 
     keys = ["branch", "qp", "gp"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {q_type}, slug {s_type}, branch string, sim double")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from catalogmatch.plans import catalog_queries
+from catalogmatch.plans import catalog_queries, log_queries, matching_queries, vision_queries
 
-QUERIES: dict = {**catalog_queries.QUERIES}
-ORACLES: dict = {**catalog_queries.ORACLES}
+_PARTS = (catalog_queries, vision_queries, matching_queries, log_queries)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
