@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,6 @@ def normalize_exactly(spell=None):
     import re
     import unicodedata
 
-    import pandas as pd
-
     pairs = dict(zip(LETTERS[0], LETTERS[1], strict=True)) | SPELLED
 
     @F.pandas_udf("string")
@@ -51,8 +50,6 @@ def char_ngrams(text: Column, least: int = 2, most: int = 5) -> Column:
 def _blake_parts(dims: int):
     import hashlib
 
-    import pandas as pd
-
     @F.pandas_udf("struct<bucket:int,sign:double>")
     def run(tokens: pd.Series) -> pd.DataFrame:
         numbers = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in tokens]

@@ -54,14 +54,15 @@ def branch_top_k(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: D
     else:
         left = left.withColumn("extra", F.lit(0))
     left = left.withColumn("gp", F.explode(F.sequence(F.lit(0), F.lit(gallery_parts - 1))))
-    right = gallery.select("slug", "branch", "vec", F.pmod(F.xxhash64("slug"), F.lit(gallery_parts)).cast("int").alias("gp"))
-    right = right.withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    #: Both sides may come from one table, so the gallery's columns get names of their own.
+    right = gallery.select(F.col("slug").alias("g_slug"), F.col("branch").alias("g_branch"), F.col("vec").alias("g_vec"))
+    right = right.withColumn("g_gp", F.pmod(F.xxhash64("g_slug"), F.lit(gallery_parts)).cast("int")).withColumn("g_qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
 
     def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         ids, slugs, values = [], [], []
         if len(q) and len(g):
-            g = g.sort_values("slug", kind="stable")
-            matrix, names = np.stack(g["vec"].to_list()).T, g["slug"].to_numpy(object)
+            g = g.sort_values("g_slug", kind="stable")
+            matrix, names = np.stack(g["g_vec"].to_list()).T, g["g_slug"].to_numpy(object)
             for start in range(0, len(q), query_block):
                 block = q.iloc[start : start + query_block]
                 sims = np.round(np.stack(block["vec"].to_list()) @ matrix, DIGITS) + 0.0
@@ -76,8 +77,7 @@ def branch_top_k(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: D
         names = np.full(sum(map(len, ids)), q["branch"].iloc[0], object)
         return pd.DataFrame({"query_id": np.concatenate(ids), "slug": np.concatenate(slugs), "branch": names, "sim": np.concatenate(values)}, dtype=object).astype({"sim": float})
 
-    keys = ["branch", "qp", "gp"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {q_type}, slug {s_type}, branch string, sim double")
+    found = left.groupBy("branch", "qp", "gp").cogroup(right.groupBy("g_branch", "g_qp", "g_gp")).applyInPandas(best, f"query_id {q_type}, slug {s_type}, branch string, sim double")
     if exclude is not None:
         found = found.join(exclude, ["query_id", "slug"], "left_anti")
     return top_k(found, k)

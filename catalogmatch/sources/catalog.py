@@ -85,9 +85,10 @@ def read_images(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def required_images(images: DataFrame) -> DataFrame:
-    """``images``; an error when it runs if there is none."""
-    count = images.agg(F.when(F.count("*") == 0, F.raise_error(F.lit("no images found")).cast("long")).otherwise(F.count("*")).alias("n_images"))
-    return images.join(F.broadcast(count), F.col("n_images") > 0).drop("n_images")  # one row
+    """``images``; a ValueError if there is none."""
+    if images.isEmpty():
+        raise ValueError("no images found")
+    return images
 
 
 def gallery_files(images: DataFrame, preferred: str = "refs") -> tuple[DataFrame, DataFrame]:
