@@ -24,6 +24,8 @@ from catalogmatch.llm.common import _IS_SPACE, _LOWER, _STEP, _powers
 
 WINDOW = 8
 FILTER_BITS = 23
+#: Bytes of a document from which on it is worked on in parts.
+LONG = 1 << 22
 #: Units.
 UNITS = (
     "mm cm m km mg g kg t ml l s sec min h hr ms hz khz mhz ghz w kw mw v a j kj cal kcal k c f % percent inch inches foot feet yard yards "
@@ -122,10 +124,35 @@ def _hits(batches, sizes: list[int], wanted: np.ndarray | None, most: int = 1 <<
                     rows.append((keys[t], n, k - int(group.bounds[t]), size, int(rolled[k].view(np.int64)), group.slots(k, size)))
         return rows
 
+    def found_in_parts(key, text):
+        """As ``found`` for one long document: each part begins with the last words of the part before it."""
+        rows, begin, done, before, carried = [], 0, 0, 0, 0
+        while done < len(text):
+            stop = min(len(text), done + LONG)
+            while stop < len(text) and not _IS_SPACE[text[stop]]:
+                stop += 1
+            group = Canonical([text[begin:stop]])
+            for size in sizes:
+                rolled = group.windows(size)
+                bits = rolled & low
+                hit = np.flatnonzero((wanted[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1))
+                #: Windows of carried words alone were looked at in the part before.
+                for k in hit[hit >= (carried - size + 1 if carried else 0)].tolist():
+                    rows.append((key, 0, before + k, size, int(rolled[k].view(np.int64)), group.slots(k, size)))
+            n = len(group.words)
+            carried = min(n, sizes[-1] + 1)
+            before += n - carried
+            begin = begin + int(group.first[n - carried]) if carried else stop
+            done = stop
+        return rows
+
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
         rows, begin, length = [], 0, 0
         for k, text in enumerate(texts):
+            if wanted is not None and len(text) > LONG:
+                rows += found_in_parts(keys[k], text)
+                texts[k] = text = b""
             length += len(text)
             if length >= most or k == len(texts) - 1:
                 rows += found(keys[begin : k + 1], texts[begin : k + 1])

@@ -78,6 +78,20 @@ def test_leaks(spark, odd, none):
     assert decontaminate.drop_leaking(odd, bench).columns == odd.columns
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    text = f"{prose(3, 700)} Then Bob has 5 km. {ITEM} {prose(4, 900)} In 7 days Ann 9 kg. {ITEM}".encode()
+    every = np.full(1 << (decontaminate.FILTER_BITS - 6), 2**64 - 1, np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text.decode()])], ["id", "text"])
+    rows = lambda: sorted((r["at"], r["size"], r["hash"], tuple(r["slots"])) for b in decontaminate._hits([batch], [5, 8], every) for r in b.to_pylist())
+    whole = rows()
+    for size in (64, 700, 3_000):
+        monkeypatch.setattr(decontaminate, "LONG", size)
+        assert rows() == whole
+
+
 def test_tokens_equal_tiktoken(spark, odd, none):
     tiktoken = pytest.importorskip("tiktoken")
     path = P.path("byte_bpe_multi_50k.tiktoken")
