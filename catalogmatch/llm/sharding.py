@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from catalogmatch.llm.common import table, written
 
 DIMS = ("size", "tokens", "one")
+#: How much each dimension counts in the dot product: bytes, the balance that is promised, count double.
+WEIGHTS = (2.0, 1.0, 1.0)
 
 
 def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
@@ -26,7 +28,7 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
     left = np.ones((n_shards, items.shape[1]))
     out = np.zeros(len(items), np.int64)
     for k in np.argsort(-scaled.max(axis=1), kind="stable"):
-        out[k] = np.argmax(left @ scaled[k])
+        out[k] = np.argmax(left @ (scaled[k] * WEIGHTS))
         left[out[k]] -= scaled[k]
     return out
 
