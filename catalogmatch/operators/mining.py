@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from catalogmatch.functions.vectors import base_logit, dot, masked, normalized, pair_features, residual_logit
 
 DIGITS = 6
+GALLERY_ROWS, QUERY_ROWS = 10_000, 5_000
 
 
 def prepared(vectors: DataFrame, valid: Column | None = None) -> DataFrame:
@@ -37,15 +38,18 @@ def top_k(sims: DataFrame, k: int = 12) -> DataFrame:
     return sims.withColumn("branch_rank", F.row_number().over(w)).where(F.col("branch_rank") <= k)
 
 
-def branch_top_k(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: DataFrame | None = None, query_block: int = 512, gallery_parts: int = 16, query_parts: int = 4) -> DataFrame:
+def branch_top_k(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: DataFrame | None = None, query_block: int = 512, gallery_parts: int | None = None, query_parts: int | None = None) -> DataFrame:
     """``top_k`` by matrix products, for galleries and query sets of any size.
 
     Both sides are dealt into parts; every pair of parts meets in one group, multiplies ``query_block`` queries at a time and keeps
     its own best, and the best of those win. ``exclude`` (query_id, slug) pairs are left out; each query may have up to ``k``
-    more of them in a part than are shown, so parts keep ``k`` plus the query's number of exclusions.
+    more of them in a part than are shown, so parts keep ``k`` plus the query's number of exclusions. Without given numbers
+    a part holds about ``GALLERY_ROWS`` or ``QUERY_ROWS`` rows, by a count of either table.
     """
     import pandas as pd
 
+    gallery_parts = gallery_parts or max(1, -(-gallery.count() // GALLERY_ROWS))
+    query_parts = query_parts or max(1, -(-queries.count() // QUERY_ROWS))
     q_type, s_type = queries.schema["query_id"].dataType.simpleString(), gallery.schema["slug"].dataType.simpleString()
     left = queries.select("query_id", "branch", "vec", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int").alias("qp"))
     if exclude is not None:
