@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of canonical words: lower-case, without punctuation, numbers, names and units replaced by typed
-placeholders. A number starts with a digit; a unit is a known unit word after a number; a name is a capitalised word that
-does not open a sentence. Windows of canonical words are hash-joined between documents and benchmark items, so that a
+placeholders. A number starts with a digit; a unit is a known unit word after a number; a name is a capitalised word.
+A capitalised word that opens a sentence or a line may be a name or an ordinary word, so every text has two readings:
+openers as words, and openers as names; each reading is compared with the same reading. Windows of canonical words are hash-joined between documents and benchmark items, so that a
 question with other numbers or names still meets its template. Windows that line up (same distance between the places in
 document and item) form a match, in which every slot value of the item must stand for one value of the document.
 
@@ -33,6 +34,7 @@ UNITS = (
     "kilograms second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp"
 ).split()
 TYPES = ["", "number", "name", "unit"]
+READINGS = (0, 1)
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), ord("%")]] = True
 _ENDS = np.zeros(256, bool)
@@ -41,9 +43,12 @@ _MARKS = mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 class Canonical:
-    """The canonical words of a group of texts: numbers, types, places in the joined bytes, first word of each text."""
+    """The canonical words of a group of texts: numbers, types, places in the joined bytes, first word of each text.
 
-    def __init__(self, texts: list[bytes]):
+    In ``reading`` 0 capitalised words that open a sentence are ordinary words, in reading 1 they are names.
+    """
+
+    def __init__(self, texts: list[bytes], reading: int = 0):
         self.data = b" ".join(texts) + b" "
         raw = np.frombuffer(self.data, np.uint8)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -67,7 +72,7 @@ class Canonical:
         lead = raw[places[rank[first]]]
         follow = raw[np.minimum(places[np.minimum(rank[first] + 1, len(places) - 1)], len(raw) - 1)]
         self.types = np.zeros(len(first), np.int8)
-        self.types[(lead >= 65) & (lead <= 90) & ((follow < 65) | (follow > 90)) & (size > 1) & ~opens] = 2
+        self.types[(lead >= 65) & (lead <= 90) & ((follow < 65) | (follow > 90)) & (size > 1) & (~opens | (reading == 1))] = 2
         self.types[(lead >= 48) & (lead <= 57)] = 1
         self.bounds = np.searchsorted(first, starts)
         after_number = np.concatenate([[False], self.types[:-1] == 1])
@@ -102,13 +107,17 @@ _UNIT_WORDS = word_hashes(" ".join(UNITS).encode())
 
 
 def _hits(batches, sizes: list[int], wanted: np.ndarray | None, most: int = 1 << 18):
-    """(id, n_words, at, size, hash, slots) of windows; with ``wanted`` (a bit set) only of those in it."""
+    """(id, n_words, at, size, hash, slots, reading) of windows; with ``wanted`` (a bit set) only of those in it."""
     import pyarrow as pa
 
     low = np.uint64((1 << FILTER_BITS) - 1)
 
-    def found(keys, texts):
-        group = Canonical(texts)
+    def told(group, reading, k, size):
+        """Reading 1 adds windows of names; those with hardly an ordinary word would fit any list of names."""
+        return reading == 0 or 4 * np.count_nonzero(group.types[k : k + size] == 0) >= size
+
+    def found(keys, texts, reading):
+        group = Canonical(texts, reading)
         rows = []
         for size in sizes:
             rolled = group.windows(size)
@@ -120,25 +129,26 @@ def _hits(batches, sizes: list[int], wanted: np.ndarray | None, most: int = 1 <<
             inside = begin + size <= group.bounds[np.minimum(text + 1, len(group.bounds) - 1)]
             for k, t in zip(begin[inside].tolist(), text[inside].tolist(), strict=True):
                 n = int(group.bounds[t + 1] - group.bounds[t])
-                if wanted is not None or size == min(n, sizes[-1]):
-                    rows.append((keys[t], n, k - int(group.bounds[t]), size, int(rolled[k].view(np.int64)), group.slots(k, size)))
+                if (wanted is not None or size == min(n, sizes[-1])) and told(group, reading, k, size):
+                    rows.append((keys[t], n, k - int(group.bounds[t]), size, int(rolled[k].view(np.int64)), group.slots(k, size), reading))
         return rows
 
-    def found_in_parts(key, text):
+    def found_in_parts(key, text, reading):
         """As ``found`` for one long document: each part begins with the last words of the part before it."""
         rows, begin, done, before, carried = [], 0, 0, 0, 0
         while done < len(text):
             stop = min(len(text), done + LONG)
             while stop < len(text) and not _IS_SPACE[text[stop]]:
                 stop += 1
-            group = Canonical([text[begin:stop]])
+            group = Canonical([text[begin:stop]], reading)
             for size in sizes:
                 rolled = group.windows(size)
                 bits = rolled & low
                 hit = np.flatnonzero((wanted[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1))
                 #: Windows of carried words alone were looked at in the part before.
                 for k in hit[hit >= (carried - size + 1 if carried else 0)].tolist():
-                    rows.append((key, 0, before + k, size, int(rolled[k].view(np.int64)), group.slots(k, size)))
+                    if told(group, reading, k, size):
+                        rows.append((key, 0, before + k, size, int(rolled[k].view(np.int64)), group.slots(k, size), reading))
             n = len(group.words)
             carried = min(n, sizes[-1] + 1)
             before += n - carried
@@ -151,26 +161,26 @@ def _hits(batches, sizes: list[int], wanted: np.ndarray | None, most: int = 1 <<
         rows, begin, length = [], 0, 0
         for k, text in enumerate(texts):
             if wanted is not None and len(text) > LONG:
-                rows += found_in_parts(keys[k], text)
+                rows += [x for reading in READINGS for x in found_in_parts(keys[k], text, reading)]
                 texts[k] = text = b""
             length += len(text)
             if length >= most or k == len(texts) - 1:
-                rows += found(keys[begin : k + 1], texts[begin : k + 1])
+                rows += [x for reading in READINGS for x in found(keys[begin : k + 1], texts[begin : k + 1], reading)]
                 begin, length = k + 1, 0
         if rows:
-            ids, *rest, slots = zip(*rows, strict=True)
+            ids, *rest, slots, readings = zip(*rows, strict=True)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column(0).type), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True)), pa.array(slots, pa.list_(pa.string()))],
-                ["id", "n_words", "at", "size", "hash", "slots"],
+                [pa.array(ids, batch.column(0).type), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True)), pa.array(slots, pa.list_(pa.string())), pa.array(readings, pa.int32())],
+                ["id", "n_words", "at", "size", "hash", "slots", "reading"],
             )
 
 
 def template_windows(items: DataFrame, id_col: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, at, size, hash, slots) of every window of the items; an item shorter than ``window`` is one window."""
+    """(id, n_words, at, size, hash, slots, reading) of every window of the items; an item shorter than ``window`` is one window."""
     kind = items.schema[id_col].dataType.simpleString()
     texts = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(texts, lambda batches: _hits(batches, list(range(1, window + 1)), None), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>")
+    return map_batches(texts, lambda batches: _hits(batches, list(range(1, window + 1)), None), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>, reading int")
 
 
 def leaks(
@@ -199,20 +209,20 @@ def leaks(
     sent = spark.sparkContext.broadcast(wanted)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hits = map_batches(texts, lambda batches: _hits(batches, sizes, sent.value), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>")
-    right = sized(items.select(F.col("id").alias("item"), F.col("n_words").alias("item_words"), F.col("at").alias("item_at"), "size", "hash", F.col("slots").alias("item_slots")))
-    pairs = written(hits.select("id", "at", "size", "hash", "slots").join(right, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at")), "leak-pairs")
-    aligned = pairs.groupBy("id", "item", "shift").agg(F.countDistinct("item_at").alias("n"), F.max(F.col("item_words") - F.col("size") + 1).alias("of"))
+    hits = map_batches(texts, lambda batches: _hits(batches, sizes, sent.value), f"id {kind}, n_words long, at long, size int, hash long, slots array<string>, reading int")
+    right = sized(items.select(F.col("id").alias("item"), F.col("n_words").alias("item_words"), F.col("at").alias("item_at"), "size", "hash", F.col("slots").alias("item_slots"), "reading"))
+    pairs = written(hits.select("id", "at", "size", "hash", "slots", "reading").join(right, ["hash", "size", "reading"]).withColumn("shift", F.col("at") - F.col("item_at")), "leak-pairs")
+    aligned = pairs.groupBy("id", "item", "reading", "shift").agg(F.countDistinct("item_at").alias("n"), F.max(F.col("item_words") - F.col("size") + 1).alias("of"))
     aligned = written(aligned.where(F.col("n") >= F.lit(least_share) * F.col("of")), "leak-aligned")
-    values = pairs.join(sized(aligned.select("id", "item", "shift").distinct()), ["id", "item", "shift"], "left_semi").select(
-        "id", "item", "shift", "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "x")
+    values = pairs.join(sized(aligned.select("id", "item", "reading", "shift").distinct()), ["id", "item", "reading", "shift"], "left_semi").select(
+        "id", "item", "reading", "shift", "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "x")
     )
-    values = values.where("x.item_slots <> ''").select("id", "item", "shift", (F.col("item_at") + F.col("k")).alias("place"), F.col("x.item_slots").alias("theirs"), F.col("x.slots").alias("own"))
-    per_value = values.groupBy("id", "item", "shift", "theirs").agg(
+    values = values.where("x.item_slots <> ''").select("id", "item", "reading", "shift", (F.col("item_at") + F.col("k")).alias("place"), F.col("x.item_slots").alias("theirs"), F.col("x.slots").alias("own"))
+    per_value = values.groupBy("id", "item", "reading", "shift", "theirs").agg(
         F.min("own").alias("least"), F.max("own").alias("most"), F.countDistinct(F.when(F.col("own") != F.col("theirs"), F.col("place"))).alias("changed")
     )
-    slots = per_value.groupBy("id", "item", "shift").agg(F.bool_and(F.col("least") == F.col("most")).alias("agree"), F.sum("changed").alias("changed"))
-    fits = aligned.join(slots, ["id", "item", "shift"], "left").where(F.coalesce("agree", F.lit(True)))
+    slots = per_value.groupBy("id", "item", "reading", "shift").agg(F.bool_and(F.col("least") == F.col("most")).alias("agree"), F.sum("changed").alias("changed"))
+    fits = aligned.join(slots, ["id", "item", "reading", "shift"], "left").where(F.coalesce("agree", F.lit(True)))
     best = fits.groupBy("id", "item").agg(F.max(F.struct("n", "of", (-F.coalesce("changed", F.lit(0))).alias("c"))).alias("x"))
     return best.select(
         F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("x.n").alias("n_windows"), F.round(F.col("x.n") / F.col("x.of"), 6).alias("share"), (-F.col("x.c")).cast("long").alias("changed_slots")

@@ -78,6 +78,17 @@ def test_leaks(spark, odd, none):
     assert decontaminate.drop_leaking(odd, bench).columns == odd.columns
 
 
+def test_leaks_with_names_that_open_sentences(spark):
+    texts = [
+        "Sara has 7 apples. Sara buys 9 more. How many apples does she have?", "Sara has 7 apples. Bob buys 9 more. How many apples does she have?",
+        "Tom has 5 apples Tom buys 3 more How many apples does she have", "Tom went home. Nobody bought any more apples. How many does she have?",
+    ]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Tom has 5 apples. Tom buys 3 more. How many apples does she have?"), (2, "Anna Bert Carl Dora Emil")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.changed_slots) for r in decontaminate.leaks(made, bench).collect())
+    assert got == [(0, 1, 4), (2, 1, 0)]
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     import numpy as np
     import pyarrow as pa
