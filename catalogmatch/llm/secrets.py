@@ -5,9 +5,10 @@ value of eight characters or more), ``access`` (an access key id) and ``hex`` (3
 come from the gaps between matches: a running sum of the lengths of gaps and matches. Offsets count code points.
 
 Weak parts are access identifiers (``part_id``), secrets too weak to stand alone (``part_secret``) and endpoints
-(``part_endpoint``). A scope is a stretch without an empty line; within it parts link over at most ``reach`` characters.
-The interval join runs over bins of that width: each bin keeps the first and last start of every part, so that a part
-looks at its own bin and its two neighbours instead of at every other part. Weak secrets are reported only beside an
+(``part_endpoint``). A scope is a stretch without an empty line; within it parts link over at most ``reach`` characters,
+from the end of one to the start of the other. The interval join runs over bins of that width: a part is in every bin that it
+covers, and each bin keeps the first start and the last end, so that a part looks at its own bins and their neighbours
+instead of at every other part. Weak secrets are reported only beside an
 identifier or an endpoint, identifiers and endpoints only beside a weak secret or a base secret.
 
 Results in special cases: null and empty texts have no spans; repeated rows give equal results (they are scanned once);
@@ -85,13 +86,13 @@ def _linked(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
     upto = Window.partitionBy("key").orderBy("start", F.col("kind").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     placed = marks.unionByName(inside.withColumn("scope", F.lit(None).cast("int"))).withColumn("scope", F.last("scope", True).over(upto)).where("kind IS NOT NULL")
     placed = placed.withColumn("role", F.when(F.col("kind").isin("assign", "hex", "part_secret"), "secret").when(F.col("kind").isin("access", "part_id"), "id").otherwise("endpoint"))
-    placed = placed.withColumn("bin", F.floor(F.col("start") / reach))
-    edges = placed.groupBy("key", "scope", "bin", "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    placed = placed.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach))))
+    edges = placed.groupBy("key", "scope", "bin", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     seen = edges.select("key", "scope", "role", "first", "last", F.explode(F.array(*(F.struct((F.col("bin") + d).alias("bin"), F.lit(d).alias("from")) for d in (-1, 0, 1)))).alias("x"))
     seen = seen.select("key", "scope", F.col("role").alias("other"), "first", "last", "x.bin", "x.from")
     weak = placed.where(F.col("kind").startswith("part_"))
-    #: From the bin after, the first start counts; from the bin before, the last; in the own bin any.
-    near = (F.col("from") == 0) | ((F.col("from") == -1) & (F.col("first") - F.col("start") <= reach)) | ((F.col("from") == 1) & (F.col("start") - F.col("last") <= reach))
+    #: From the bin after, the first start counts; from the bin before, the last end; in the own bin any.
+    near = (F.col("from") == 0) | ((F.col("from") == -1) & (F.col("first") - F.col("end") <= reach)) | ((F.col("from") == 1) & (F.col("start") - F.col("last") <= reach))
     fits = F.when(F.col("role") == "secret", F.col("other") != "secret").otherwise(F.col("other") == "secret")
     return weak.join(seen, ["key", "scope", "bin"]).where(near & fits).select("key", "kind", "start", "end").distinct()
 

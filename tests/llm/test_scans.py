@@ -50,6 +50,18 @@ def test_parts_link_only_together(spark, text, kinds):
     assert [s.split(":")[0] for s in row.spans.split(",") if s] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("https://db.example.com/" + "x" * 300 + " pwd=hunter22", ["part_endpoint", "part_secret"]),
+        ("private_key=" + "Q" * 450 + "\nclient_id=robot", ["part_secret", "part_id"]),
+        ("https://db.example.com/" + "x" * 300 + " " * 201 + "pwd=hunter22", []),
+    ],
+)
+def test_long_parts_link_from_their_end(spark, text, kinds):
+    test_parts_link_only_together(spark, text, kinds)
+
+
 def test_licenses(spark, odd, none):
     rows = [(1, "Text.\nReleased under the MIT License."), (2, "This work is licensed under the GNU General Public License, version 2."), (3, "My driving license expired and the licence office was closed"), (4, "Licensed under CC BY-SA 4.0.\nReleased under the MIT License."), (5, "All about rights and permission in the village")]
     made = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
