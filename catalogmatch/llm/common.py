@@ -19,14 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where none is set and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:  # only in tests: one machine
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return context.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -41,7 +41,10 @@ BATCH_BYTES = 8 << 20
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` in batches of about ``BATCH_BYTES``, so that long texts do not pile up in the workers."""
+    """``df.mapInArrow`` in batches of about ``BATCH_BYTES``, so that long texts do not pile up in the workers.
+
+    The size is a setting of the session, read when the plan runs, so it stays set.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
@@ -95,11 +98,33 @@ def digest(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def sized(table_: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it has at most ``most_rows``; else as it is, to be shuffled."""
     return F.broadcast(table_) if table_.count() <= most_rows else table_
 
 
+def grouped_join(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, most_groups: int = 1000) -> DataFrame:
+    """``rows`` left-joined on ``keys`` with ``groups``, a written table that counts each group's rows in ``size_col``.
+
+    Groups of more than one row in ``most_groups`` are fewer than that: they are broadcast and their rows never shuffled, so
+    no key that is dealt to a task holds more.
+    """
+    total = groups.agg(F.sum(size_col)).first()[0] or 0
+    large = F.broadcast(groups.where(F.col(size_col) * most_groups > total))
+    others = rows.join(large.select(*keys), keys, "left_anti")
+    return rows.join(large, keys).unionByName(others.join(sized(groups.where(F.col(size_col) * most_groups <= total)), keys, "left"))
+
+
 # Words and shingles of a text as 64-bit numbers
 
 

@@ -43,6 +43,16 @@ def test_equal_fingerprints_of_different_texts_are_told_apart(spark):
     assert got == brute_exact(rows)
 
 
+def test_many_rows_without_id_and_clashing_columns(spark):
+    rows = [(None, f"text {k % 3}  end") for k in range(2_000)] + [(k, f"text {k % 3} end") for k in range(2)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, exact.exact_groups(made).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr)
+    assert got == brute_exact(rows)
+    other = made.selectExpr("doc_id", "text", "1 AS gone_id", "'x' AS gone_sha", "2 AS keep_id", "3 AS k", "'y' AS piece", "true AS kept", "4 AS group_size")
+    kept = exact.drop_exact_copies(other)
+    assert kept.columns == other.columns and kept.count() == 2 + sum(t == "text 2  end" for _, t in rows)
+
+
 def test_fingerprints_combine(spark):
     text = prose(3, 5_000)
     made = spark.createDataFrame([(1, text), (1, text), (2, text[:700])], "doc_id long, text string")
