@@ -8,6 +8,7 @@ from uuid import uuid4
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words, and what the exact-copy rule folds into one space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, tag: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back (as ``schema``): cuts lineage, survives lost executors, is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 #: Bytes of an Arrow batch: what a Python worker holds at a time besides its own tables.
@@ -70,11 +71,12 @@ def clean_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> D
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label) of at most ``max_rows`` labelled ids, those whose hashed ids are smallest.
 
-    The chosen labels (16 bytes each, ``max_rows`` of them) are broadcast, so no text is shuffled.
+    The chosen labels (16 bytes each, ``max_rows`` of them) are broadcast, so only chosen texts are shuffled. Of several
+    texts of an id the smallest counts.
     """
     chosen = clean_labels(labels, label_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def scored(docs: DataFrame, score_texts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every text becomes the set of its hashed character n-grams. Over the training rows Spark counts, per bucket, the toxic
 and the other texts that hold it; the ratio of the two smoothed shares is the bucket's log-count ratio. Buckets whose
-ratio stands out from chance are the features, their value is that ratio, and a logistic regression weighs them.
+ratio stands out from chance are the features, their value is that ratio, and a logistic regression weighs them. Its
+gradients are sums over partitions, so the number of features needs no cap.
 
 Results in special cases: null and empty texts score as texts without features; repeated rows score alike; an empty
 table gives an empty result; where the training rows lack one of the classes, every score is the share of label 1 among
@@ -14,10 +15,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from catalogmatch.llm.common import digest, labelled_sample, map_batches, scored, table
+from catalogmatch.llm.common import digest, labelled_sample, map_batches, scored, table, written
 
 SIZES = (3, 4, 5)
 BITS = 21
@@ -86,93 +90,60 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return partial.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps; (weight of each feature, bias)."""
-    n, k = len(labels), len(values)
-    x = values[features]
-    times = lambda w: np.bincount(rows, x * w[features], n)
-    back = lambda r: np.bincount(features, x * r[rows], k)
-    w, w0 = np.full(k, 1 / np.sqrt(k)), 1.0
-    for _ in range(12):  # the largest curvature, by power iteration
-        r = times(w) + w0
-        w, w0 = back(r) / n, r.sum() / n
-        top = np.sqrt(w @ w + w0 * w0)
-        w, w0 = w / top, w0 / top
-    step = 1 / (0.25 * 1.2 * top + ridge)
-    w, w0 = np.zeros(k), float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
-    v, v0, t = w, w0, 1.0
-    for _ in range(steps):
-        r = 1 / (1 + np.exp(-np.clip(times(v) + v0, -40, 40))) - labels
-        new, new0 = v - step * (back(r) / n + ridge * v), v0 - step * r.sum() / n
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, v0 = new + (t - 1) / t_new * (new - w), new0 + (t - 1) / t_new * (new0 - w0)
-        w, w0, t = new, new0, t_new
-    return w * values, w0
+def _weights(rows: DataFrame, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """(weight of each feature, bias) by Spark ML; every step adds up the partitions' gradients, the driver holds weights only."""
+    fitted = LogisticRegression(maxIter=steps, regParam=ridge, standardization=False, tol=1e-7).fit(rows)
+    return fitted.coefficients.toArray(), float(fitted.intercept)
 
 
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
-    max_rows: int = 20_000,
-    max_features: int = 3_000,
+    max_rows: int = 30_000,
     least_z: float = 2.5,
     ridge: float = 1e-4,
-    steps: int = 150,
+    steps: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold, chosen by hashed id.
 
-    ``max_features`` buckets of the highest z-score of the log-count ratio, ``least_z`` at least, become features.
-    The driver receives those features and, for the training rows, which of them each holds.
+    Every bucket whose log-count ratio has a z-score of ``least_z`` or more becomes a feature. The driver receives these
+    (at most 2 ** ``BITS``) and a weight for each; the training rows stay on the executors.
     """
     import pyarrow as pa
 
-    sample = labelled_sample(docs, labels, label_col, max_rows, id_col, text_col)
-    counts = _gram_counts(sample).cache()
+    sample = written(labelled_sample(docs, labels, label_col, max_rows, id_col, text_col), "toxic-sample")
+    counts = written(_gram_counts(sample), "toxic-counts")
     toxic, other = counts.where("bucket = -1").agg(F.sum("toxic"), F.sum("other")).first()
     if not toxic or not other:
-        counts.unpersist()
         return ToxicityModel(np.zeros(0, int), np.zeros(0), 0.0, constant=float(bool(toxic)))
     ratio = F.log((F.col("toxic") + 1) / F.lit(toxic + 2)) - F.log((F.col("other") + 1) / F.lit(other + 2))
     spread = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("other") + 1))
-    top = (
-        counts.where("bucket >= 0")
-        .select("bucket", ratio.alias("ratio"), F.abs(ratio / spread).alias("z"))
-        .where(F.col("z") >= least_z)
-        .orderBy(F.desc("z"), "bucket")
-        .limit(max_features)
-        .toArrow()
-    )
-    counts.unpersist()
-    order = np.argsort(top["bucket"].to_numpy())
-    buckets, ratios = top["bucket"].to_numpy()[order], top["ratio"].to_numpy()[order]
+    told = counts.where("bucket >= 0").select("bucket", ratio.alias("ratio"), F.abs(ratio / spread).alias("z")).where(F.col("z") >= least_z)
+    features = told.select("bucket", "ratio").toArrow()
+    order = np.argsort(features["bucket"].to_numpy())
+    buckets, ratios = features["bucket"].to_numpy()[order], features["ratio"].to_numpy()[order]
     if not len(buckets):
         return ToxicityModel(np.zeros(0, int), np.zeros(0), 0.0, constant=toxic / (toxic + other))
+    sent = docs.sparkSession.sparkContext.broadcast((buckets, ratios))
 
-    def chosen(batches):
+    def vectors(batches):
+        buckets, ratios = sent.value
         keep = np.zeros(1 << BITS, bool)
         keep[buckets] = True
         for batch in batches:
             held = [np.searchsorted(buckets, gram_buckets(x, keep)).astype(np.int32) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(held, pa.list_(pa.int32()))], ["doc_id", "label", "held"])
-
-    id_type = sample.schema["doc_id"].dataType.simpleString()
-    rows = (
-        map_batches(sample.select("doc_id", "label", "text"), chosen, f"doc_id {id_type}, label int, held array<int>")
-        .groupBy("doc_id")  # an id with several texts counts once, so that max_rows holds
-        .agg(F.max(F.struct("label", "held")).alias("x"))
-        .select("doc_id", "x.*")
-        .orderBy("doc_id")
-        .toArrow()
-    )
-    held = rows["held"].combine_chunks()
-    lengths = np.diff(held.offsets.to_numpy())
-    weights, bias = _logistic(
-        np.repeat(np.arange(len(rows)), lengths), held.flatten().to_numpy(), ratios, rows["label"].to_numpy().astype(float), ridge, steps
-    )
-    return ToxicityModel(buckets, weights, float(bias))
+            n = len(held)
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(buckets), np.int32)), pa.array(held, pa.list_(pa.int32())), pa.array([ratios[x] for x in held], pa.list_(pa.float64()))]
+            features = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.float64()), features], ["label", "features"])
+
+    rows = map_batches(sample.select("label", "text"), vectors, "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
+    sparse = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    weights, bias = _weights(written(rows, "toxic-vectors", sparse), ridge, steps)
+    return ToxicityModel(buckets, weights * ratios, bias)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

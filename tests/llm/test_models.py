@@ -4,7 +4,7 @@ import numpy as np
 from conftest_llm import prose
 
 from catalogmatch.llm import lm, quality, toxicity
-from catalogmatch.llm.common import clean_labels, is_held_out
+from catalogmatch.llm.common import clean_labels, is_held_out, labelled_sample
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,33 @@ def test_toxicity(spark, odd, none):
         assert {r.score for r in toxicity.fit_toxicity(docs, few).score(docs.limit(3)).collect()} == {0.0}
 
 
+def test_toxicity_equals_a_plain_fit(spark):
+    docs, labels = planted(spark, lambda t: t.replace(" ", " vile brute ", 1))
+    model = toxicity.fit_toxicity(docs, labels, ridge=1e-3)
+    known = {r.doc_id: r.toxic for r in labels.where(~is_held_out(F.col("doc_id"))).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    y = np.array([known[k] for k in sorted(known)])
+    grams = [set(toxicity.gram_buckets(texts[k]).tolist()) for k in sorted(known)]
+    every = sorted(set().union(*grams))
+    held = np.array([[g in x for g in every] for x in grams], float)
+    pos, neg = held[y == 1].sum(axis=0), held[y == 0].sum(axis=0)
+    ratio = np.log((pos + 1) / ((y == 1).sum() + 2)) - np.log((neg + 1) / ((y == 0).sum() + 2))
+    told = np.abs(ratio) / np.sqrt(1 / (pos + 1) + 1 / (neg + 1)) >= 2.5
+    assert model.buckets.tolist() == np.array(every)[told].tolist()
+    x = held[:, told] * ratio[told]
+    weights = model.weights / ratio[told]
+    wrong = 1 / (1 + np.exp(-(x @ weights + model.bias))) - y
+    assert np.abs(x.T @ wrong / len(y) + 1e-3 * weights).max() < 1e-3 and abs(wrong.mean()) < 1e-3  # no slope is left
+    plain = 1 / (1 + np.exp(-(x @ weights + model.bias)))
+    assert np.allclose(model.score_texts([texts[k] for k in sorted(known)]), plain)
+
+
+def test_an_id_with_many_texts_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (2, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted((r.doc_id, r.text) for r in labelled_sample(docs, labels, "toxic", 9).collect()) == [(1, "text 0"), (2, "a")]
+
+
 def test_grams_do_not_depend_on_blocks(monkeypatch):
     text = prose(4, 3_000)
     whole = toxicity.gram_buckets(text)
