@@ -1,10 +1,12 @@
 """Trained operators: held-out accuracy on planted rules, and defined results in special cases."""
 
+from collections import Counter
+
 import numpy as np
 from conftest_llm import prose
 
 from catalogmatch.llm import lm, quality, toxicity
-from catalogmatch.llm.common import clean_labels, is_held_out, labelled_sample
+from catalogmatch.llm.common import clean_labels, is_held_out, labelled_sample, word_hashes
 from pyspark.sql import functions as F
 
 
@@ -121,26 +123,78 @@ def test_labels_that_contradict_or_are_held_out_are_left_out(spark):
 def test_lm_prefers_what_it_has_seen(spark, odd, none):
     rows = [(k, "the cat sat on the mat and the dog ran to the door " * 5) for k in range(60)] + [(99, prose(8, 60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    got = {r.doc_id: r for r in lm.score_documents(docs, n_words=lm.WIDTH).collect()}
     assert got[0].n_words == 65 and abs(got[0].log_likelihood - got[1].log_likelihood) < 1e-3 and got[0].mean_log_likelihood > got[99].mean_log_likelihood
     rest = lm.score_documents(odd).collect()
     assert len(rest) == odd.count() and all((r.n_words == 0) == (r.mean_log_likelihood is None) for r in rest)
     assert lm.score_documents(none).count() == 0
 
 
-def test_lm_sums_equal_positions_one_by_one():
-    made = np.random.default_rng(0)
-    weights = lambda *s: made.normal(0, 0.3, s).astype(np.float32)
-    counts = made.integers(0, 50, lm.BUCKETS).astype(float)
-    model = lm.WindowModel(*lm._classes(counts, 16), [*(weights(17, 8) for _ in lm.SIDES), weights(8), weights(8, 16), weights(16)])
-    buckets, bounds = made.integers(0, lm.BUCKETS, 40).astype("<u2"), np.array([0, 0, 1, 3, 20, 40, 40])
-    got, own = model.text_sums(buckets, bounds), model.classes[buckets]
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+def plain_units(texts, n_words):
+    words = [[w.encode() for w in (t or "").lower().split()] for t in texts]
+    hashes = {w: int(word_hashes(w)[0]) for t in words for w in t}
+    n = Counter(w for t in words for w in t)
+    top = sorted(n, key=lambda w: (-n[w], np.uint64(hashes[w]).view(np.int64)))[:n_words]
+    unit = {w: top.index(w) if w in top else n_words + int(lm.endings([w])[0]) for w in n}
+    return words, n, set(top), unit
+
+
+def test_lm_equals_a_plain_version(spark):
+    texts = [prose(k % 17, 20 + k) for k in range(40)] + [prose(3, 30)] * 2 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words, n, top, unit = plain_units(texts, lm.WIDTH)
+    counts = np.zeros(lm.WIDTH + lm.TAILS)
+    for w, k in n.items():
+        counts[unit[w]] += k
+    model = lm.WindowModel.begin(counts, 32, 5)
+    flat = np.array([unit[w] for t in words for w in t])
+    bounds = np.cumsum([0, *map(len, words)])
+    for turn in range(4):  # as one partition sees it
+        model.train(flat, bounds, turn, 4, 0.3)
+    tails = [w for w in n if w not in top]
+    mass = {u: sum(n[w] + lm.PRIOR for w in tails if unit[w] == u) for u in {unit[w] for w in tails}}
+    got = {r.doc_id: r for r in lm.score_documents(docs, n_words=lm.WIDTH).collect()}
+    for k, text in enumerate(words):
+        padded = [len(counts)] * 2 + [unit[w] for w in text] + [len(counts)] * 2
         total = 0.0
-        for i in range(a, b):
-            sides = [np.array([own[i + d] if a <= i + d < b else 16]) for d in lm.SIDES]
-            logits = (model.hidden(sides) @ model.layers[-2] + model.layers[-1])[0].astype(float)
-            total += logits[own[i]] - np.log(np.exp(logits).sum()) + model.log_share[buckets[i]]
-        assert abs(got[k] - total) < 1e-4
-    shares = np.bincount(model.classes, np.exp(model.log_share))
-    assert np.allclose(shares[shares > 0], 1)
+        for i, w in enumerate(text):
+            hidden = model.hidden([np.array([padded[i + 2 + d]]) for d in lm.SIDES])[0].astype(float)
+            *_, classes, class_bias, units, unit_bias = (x.astype(float) for x in model.layers)
+            c, j = divmod(unit[w], lm.WIDTH)
+            for logits, which in ((classes @ hidden + class_bias, c), (units[c] @ hidden + unit_bias[c], j)):
+                total += logits[which] - np.log(np.exp(logits).sum())
+            if w not in top:
+                total += np.log(n[w] - text.count(w) + lm.PRIOR) - np.log(mass[unit[w]])
+        assert got[k].n_words == len(text) and abs(got[k].log_likelihood - total) < 1e-2 * max(1, len(text) / 20)
+
+
+def test_lm_steps_follow_the_slope():
+    made = np.random.default_rng(0)
+    model = lm.WindowModel.begin(made.integers(0, 50, 3 * lm.WIDTH).astype(float), 8, 1)
+    model.layers = [(x + made.normal(0, 0.3, x.shape)).astype(np.float32) for x in model.layers]
+    sides, own = [made.integers(0, 3 * lm.WIDTH + 1, 200) for _ in lm.SIDES], made.integers(0, 3 * lm.WIDTH, 200)
+    before = [x.astype(float) for x in model.layers]
+    #: Paces of one make a step plain gradient descent.
+    model.seen = [np.full(x.shape[:-1], 1.0, np.float32) for x in model.layers]
+    model.step(sides, own, 1e-2)
+    for k, layer in enumerate(before):
+        at = np.unravel_index(np.argmax(np.abs(model.layers[k] - layer)), layer.shape)
+        loss = []
+        for nudge in (-1e-2, 1e-2):
+            layers = [x.astype(np.float32) for x in before]
+            layers[k][at] += nudge
+            loss.append(-lm.WindowModel(layers).position_sums(sides, own).astype(float).mean())
+        slope = (loss[1] - loss[0]) / 2e-2
+        assert abs((layer[at] - model.layers[k][at]) / 1e-2 - slope) < 0.05 * abs(slope) + 2e-4
+
+
+def test_lm_averages_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 2)
+    rows = [(k, prose(k, 30)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    counts = lm.word_counts(docs)
+    known = lm.vocabulary(counts, lm.WIDTH)
+    words = lm.written(lm.encoded(docs, known), "test-words")
+    many = lm.fit_window_model(words, known.counts)
+    monkeypatch.setattr(lm, "FAN", 64)
+    assert np.allclose(many.flat(), lm.fit_window_model(words, known.counts).flat(), atol=1e-5)
