@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from conftest_llm import prose
@@ -101,14 +102,114 @@ def test_leaks_with_names_that_open_sentences(spark):
     assert got == [(0, 1, 4), (2, 1, 0)]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (ITEM.replace("Alice", "Mary Ann"), True), (ITEM.replace("Alice", "ALICE"), True), (ITEM.replace("2 hours", "two hours"), True),
+        (ITEM.replace("60", "twenty three").replace("5 km", "5km"), True), (ITEM.replace("and then ", ""), True),
+        (ITEM.replace("How far", "So tell me now, how far"), True), (ITEM.replace("5", "2").replace("60", "2"), False),
+        (ITEM.replace("Alice", "Bob", 1), False), (ITEM.replace("2 hours", "2 days", 1), False), (ITEM.replace("walks 5 km", "walks 5 miles"), False),
+    ],
+)
+def test_other_values_in_slots(spark, text, found):
+    made = spark.createDataFrame([(1, f"Some words before it. {text} And some after.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert decontaminate.leaks(made, bench).count() == found
+
+
+def test_short_items_are_sentences_of_their_own(spark):
+    texts = ["We asked. What is DNA? Nobody knew.", "They know what is DNA and more.", "What is DNA?", "What is RNA?", "Yes", "yes and no"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is DNA?"), (2, "Yes."), (3, "..."), (4, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(made, bench).collect()) == [(0, 1), (2, 1), (4, 2)]
+
+
+def plain_words(text, reading):
+    """Canonical words one by one: (what is compared, slot or "", opens a sentence)."""
+    tokens, opens = [], True
+    for part in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        raw = part[0]
+        line = "\n" in text[: part.start()][len(text[: part.start()].rstrip(" \t\n\r\x0b\x0c")) :]
+        bits = re.findall(r"^\W?[0-9]+|(?<=[0-9])[a-zA-Z%]+[^a-zA-Z%]*|.+", raw) if re.match(r"[^0-9a-zA-Z]?[0-9]+[a-zA-Z%]", raw) else [raw]
+        for bit in bits:
+            kept = "".join(c for c in bit if c.isalnum() or c == "%")
+            tokens.append([kept, opens or line, bit])
+            opens, line = bit[-1] in ".!?", False
+    out = []
+    for k, (kept, starts, bit) in enumerate(tokens):
+        if not kept:
+            continue
+        low = kept.lower()
+        spelled = low in decontaminate.NUMBERS
+        kind = "number" if spelled or kept[0].isdigit() else "name" if kept[0].isupper() and len(kept) > 1 and (not starts or reading) else ""
+        if not kind and low in decontaminate.UNITS and out and out[-1][1].startswith("number:"):
+            kind = "unit"
+        near = k and tokens[k - 1][0] and (tokens[k - 1][2][-1].isalnum() or tokens[k - 1][2][-1] == "%") and not starts
+        if near and out and ((kind == "name" and out[-1][1].startswith("name:")) or (kind == "number" and out[-1][1].startswith("number:") and (spelled or out[-1][3]))):
+            out[-1][1] += low
+            out[-1][3] = spelled
+        else:
+            out.append([kind or low, f"{kind}:{low}" if kind else "", starts, spelled])
+    return out
+
+
+def plain_leaks(docs, items):
+    found = set()
+    for d, text in docs:
+        for i, item in items:
+            for reading in (0, 1):
+                a, b = plain_words(text, reading), plain_words(item, reading)
+                size = min(decontaminate.WINDOW, len(b))
+                windows = [k for k in range(len(b) - size + 1) if size and 4 * sum(not w[1] for w in b[k : k + size]) >= size]
+                hits = [(k, j) for k in windows for j in range(len(a) - size + 1) if [w[0] for w in a[j : j + size]] == [w[0] for w in b[k : k + size]]]
+                support = Counter(j - k for k, j in hits)
+                for cell in {s + d for s in {(j - k) // 8 for k, j in hits} for d in (0, -1)}:
+                    chosen = {}
+                    for k, j in hits:
+                        if cell * 8 <= j - k < cell * 8 + 16:
+                            chosen[k] = min(chosen.get(k, (0, 0)), (-support[j - k], j - k))
+                    covered, of = ({k + n for k in x for n in range(size)} for x in (chosen, windows))
+                    if not windows or (2 * len(chosen) < len(windows) and 10 * len(covered) < 7 * len(of)):
+                        continue
+                    pairs = {(b[k + n][1], a[k + s + n][1]) for k, (_, s) in chosen.items() for n in range(size) if b[k + n][1]}
+                    numbers = [p for p in pairs if p[0].startswith("number:")]
+                    rest = [p for p in pairs if not p[0].startswith("number:")]
+                    if len({p[0] for p in pairs}) == len(pairs) and len({p[1] for p in rest}) == len(rest) and 3 * len({p[1] for p in numbers}) >= 2 * len(numbers):
+                        found.add((d, i))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    made = random.Random(3)
+    names, plain = ["Alice", "Bob", "Mary Ann", "NASA"], "the train goes to a town and then home with some red apples for tea".split()
+
+    def sentence():
+        return " ".join(made.choice([made.choice(plain)] * 5 + [made.choice(names), str(made.randint(1, 9)), "two", "5km", "7 hours"]) for _ in range(made.randint(4, 9))).capitalize() + "."
+
+    items = [(k, " ".join(sentence() for _ in range(made.randint(2, 5)))) for k in range(30)]
+    docs = []
+    for k in range(160):
+        text = items[k % 30][1]
+        for _ in range(made.randint(0, 4)):
+            words = text.split(" ")
+            at = made.randrange(len(words))
+            words[at : at + made.randint(0, 1)] = [made.choice([*names, *plain, "3", "five", "9 km"])]
+            text = " ".join(words)
+        docs.append((k, f"{sentence()} {text} {sentence()}" if k % 5 else " ".join(sentence() for _ in range(6))))
+    bench = [x for x in items if len(plain_words(x[1], 0)) >= 8 and len(plain_words(x[1], 1)) >= 8]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    want = plain_leaks(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 60 < len(want) < 400
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     import numpy as np
     import pyarrow as pa
 
-    text = f"{prose(3, 700)} Then Bob has 5 km. {ITEM} {prose(4, 900)} In 7 days Ann 9 kg. {ITEM}".encode()
+    text = f"{prose(3, 700)} Then Bob has 5km. {ITEM} {prose(4, 900)} In twenty three days Mary Ann Lee 9 kg. {ITEM} So it is. Yes.".encode()
     every = np.full(1 << (decontaminate.FILTER_BITS - 6), 2**64 - 1, np.uint64)
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text.decode()])], ["id", "text"])
-    rows = lambda: sorted((r["at"], r["size"], r["hash"], tuple(r["slots"])) for b in decontaminate._hits([batch], [5, 8], every) for r in b.to_pylist())
+    rows = lambda: sorted((r["at"], r["size"], r["hash"], tuple(r["slots"])) for b in decontaminate._hits([batch], [2, 5, 8], every, 3) for r in b.to_pylist())
     whole = rows()
     for size in (64, 700, 3_000):
         monkeypatch.setattr(decontaminate, "LONG", size)
