@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col
 def _joined(column) -> tuple[np.ndarray, np.ndarray]:
     """(units of all texts, one after another; bounds of the texts)."""
     parts = [np.frombuffer(x, "<u2") for x in column.to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, "<u2")).astype(np.int64), np.cumsum([0, *map(len, parts)])
+    return (np.concatenate(parts) if parts else np.zeros(0, "<u2")).astype(np.int32), np.cumsum([0, *map(len, parts)])
 
 
 class WindowModel:
@@ -164,13 +164,13 @@ class WindowModel:
 
     def padded(self, units: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(units with two edges before, between and after the texts; place of each word in them)."""
-        place = np.arange(len(units)) + 2 * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
-        out = np.full(len(units) + 2 * len(bounds), self.n_units, np.int64)
+        place = np.arange(len(units), dtype=np.int32) + np.repeat(np.arange(2, 2 * len(bounds), 2, dtype=np.int32), np.diff(bounds))
+        out = np.full(len(units) + 2 * len(bounds), self.n_units, np.int32)
         out[place] = units
         return out, place
 
     def hidden(self, sides: list[np.ndarray]) -> np.ndarray:
-        first, *rest = (t[s] for t, s in zip(self.layers, sides, strict=False))
+        first, *rest = (np.take(t, s, axis=0) for t, s in zip(self.layers, sides, strict=False))
         for more in rest:
             first += more
         first += self.layers[len(SIDES)]
@@ -207,15 +207,15 @@ class WindowModel:
         back *= 1 - hidden
         back /= len(own)
         self.layers[bias] -= rate * back.sum(axis=0)
+        columns = np.ascontiguousarray(back.T)
         for k, side in enumerate(sides):
-            order = np.argsort(side.astype(np.uint16), kind="stable")
-            ordered = side[order]
-            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            self._paced(k, ordered[begin], np.add.reduceat(back[order], begin, axis=0), rate)
+            rows = np.flatnonzero(np.bincount(side, minlength=len(self.layers[k])))
+            sums = np.array([np.bincount(side, x, len(self.layers[k])).astype(np.float32)[rows] for x in columns])
+            self._paced(k, rows, sums.T, rate)
 
     def flat(self) -> np.ndarray:
         """All that is trained, in one array."""
-        return np.concatenate([x.ravel() for x in [*self.layers, *self.seen]]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in [*self.layers, *self.seen]])
 
     def refilled(self, flat: np.ndarray) -> WindowModel:
         """A model of the same shapes from such an array."""
@@ -224,12 +224,11 @@ class WindowModel:
         return WindowModel(parts[: len(self.layers)], parts[len(self.layers) :])
 
     def train(self, units: np.ndarray, bounds: np.ndarray, turn: int, turns: int, rate: float) -> int:
-        """Steps on every position of the texts that is ``turn`` modulo ``turns``; their number."""
-        places = np.arange(len(units))
-        chosen = np.flatnonzero((places - np.repeat(bounds[:-1], np.diff(bounds))) % turns == turn)
+        """Steps on every position of the joined texts that is ``turn`` modulo ``turns``; their number."""
         padded, place = self.padded(units, bounds)
+        chosen = place[turn::turns]
         for k in range(0, len(chosen), BATCH):
-            at = place[chosen[k : k + BATCH]]
+            at = chosen[k : k + BATCH]
             self.step([padded[at + d] for d in SIDES], padded[at], rate * min(1.0, len(at) / 512))
         return len(chosen)
 
@@ -265,12 +264,13 @@ class WindowModel:
 
 
 def _averaged(trained: DataFrame, parts: int) -> np.ndarray | None:
-    """The mean of the partitions' models (part, piece, weight, floats), by weight; levels of sums keep every group small."""
+    """The mean of the partitions' models (part, piece, weight, floats), by weight; levels of means keep every group small."""
     import pyarrow as pa
 
     def added(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in rows["floats"].to_pylist())
-        columns = [rows["part"][:1].combine_chunks(), rows["piece"][:1].combine_chunks(), pa.array([sum(rows["weight"].to_pylist())], pa.float64()), pa.array([total.tobytes()], pa.binary())]
+        weights = rows["weight"].to_numpy()
+        mean = sum(np.frombuffer(x, np.float32) * w for x, w in zip(rows["floats"].to_pylist(), weights / weights.sum(), strict=True))
+        columns = [rows["part"][:1].combine_chunks(), rows["piece"][:1].combine_chunks(), pa.array([weights.sum()]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())]
         return pa.table(columns, ["part", "piece", "weight", "floats"])
 
     schema = "part int, piece int, weight double, floats binary"
@@ -278,11 +278,11 @@ def _averaged(trained: DataFrame, parts: int) -> np.ndarray | None:
         parts = -(-parts // FAN)
         trained = trained.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("part", "piece").applyInArrow(added, schema)
     rows = sorted(trained.collect(), key=lambda r: r.piece)  # PIECES rows
-    return np.concatenate([np.frombuffer(r.floats, np.float64) for r in rows]) / rows[0].weight if rows else None
+    return np.concatenate([np.frombuffer(r.floats, np.float32) for r in rows]) if rows else None
 
 
 def fit_window_model(words: DataFrame, counts: np.ndarray, hidden: int = 32, rounds: int = 4, rate: float = 0.3, seed: int = 5) -> WindowModel:
-    """Trains on (units) of all rows; round ``r`` takes the positions that are r modulo ``rounds``, so that each counts once."""
+    """Trains on (units) of all rows; round ``r`` takes the positions of a batch that are r modulo ``rounds``, so that each counts once."""
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -297,7 +297,7 @@ def fit_window_model(words: DataFrame, counts: np.ndarray, hidden: int = 32, rou
             for batch in batches:
                 weight += own.train(*_joined(batch.column(0)), turn, rounds, rate)
             if weight:
-                pieces = np.array_split(own.flat() * weight, PIECES)
+                pieces = np.array_split(own.flat(), PIECES)
                 part = TaskContext.get().partitionId()
                 columns = [pa.array(np.full(PIECES, part, np.int32)), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, float(weight)))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in pieces], pa.binary())], ["part", "piece", "weight", "floats"])
