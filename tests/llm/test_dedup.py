@@ -140,12 +140,48 @@ def test_sharding(spark, odd, none, tmp_path):
     split = [k for k, v in homes.items() if len(v) > 1]
     assert len(split) == 1  # only the group that no shard can hold
     assert sharding.shard(none).count() == 0
-    sharding.write_shards(odd, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == odd.count()
+    for docs in (odd, odd.selectExpr("doc_id", "text", "1 AS shard", "'x' AS slot", "2 AS home_id", "3 AS size")):
+        path = str(tmp_path / docs.columns[2])
+        home = sharding.write_shards(docs, path)
+        back = spark.read.parquet(path)
+        assert back.count() == odd.count() and set(back.columns) == {*docs.columns, home}
+
+
+def test_groups_are_packed_one_by_one(spark):
+    rows = [(k, prose(k % 70, 3 + k % 90)) for k in range(300)] + [(1000 + k, "a hot text") for k in range(150)]
+    got = {r.doc_id: r for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), fineness=8).collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    of = {t: np.array([len(ids) * (len(t) + 1), len(ids) * len(t.split()), len(ids)], float) for t, ids in groups.items()}
+    total = sum(of.values())
+    share = {t: v / total * 8 for t, v in of.items()}
+    homes = {t: {got[i].shard for i in ids} for t, ids in groups.items()}
+    assert all(len(x) == 1 for x in homes.values())  # no group has more bytes than a shard
+    left = np.ones((8, 3))
+    key = {r.text: r.grp for r in sharding.measured(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").select("text", "grp").distinct().collect()}
+    large = sorted((t for t in of if max(share[t]) > 1 / 8), key=lambda t: (-max(share[t]), key[t]))
+    for t in large:
+        best, fits = left @ (share[t] * sharding.WEIGHTS), left[:, 0] >= share[t][0]
+        best = np.where(fits, best, -np.inf) if fits.any() else best
+        at = homes[t].pop()
+        assert best[at] >= best.max() - 1e-9
+        left[at] -= share[t]
+    rest = [t for t in of if t not in large]
+    free = np.maximum(left, 1e-9)
+    free = free / free.sum(axis=0) * 8
+    own = sum(of[t] for t in rest)
+    for t in sorted(rest, key=lambda t: (-max(of[t] / own), key[t])):
+        item = of[t] / own * 8
+        best, fits = free @ (item * sharding.WEIGHTS), free[:, 0] >= item[0]
+        best = np.where(fits, best, -np.inf) if fits.any() else best
+        at = homes[t].pop()
+        assert best[at] >= best.max() - 1e-9
+        free[at] -= item
 
 
 def test_pack_keeps_dimensions_level():
     made = np.random.default_rng(1).lognormal(size=(3000, 3))
     load = np.zeros((8, 3))
-    np.add.at(load, sharding.pack(made, 8), made)
+    np.add.at(load, sharding.pack(made / made.sum(axis=0) * 8, np.ones((8, 3))), made)
     assert (load.max(axis=0) / load.min(axis=0)).max() < 1.05
