@@ -71,6 +71,41 @@ def test_licenses(spark, odd, none):
     assert licenses.license_report(made).count() == made.count() and licenses.license_report(none).count() == 0
 
 
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify it
+# under the terms of the GNU General Public License as published by the
+# Free Software Foundation, either version 3 of the License, or (at your
+# option) any later version."""
+MIT = """// Permission is hereby granted, free of charge, to any person obtaining a
+// copy of this software and associated documentation files (the "Software"),
+// to deal in the Software without restriction, including without limitation"""
+STRANGE = """Holders of the Frobnicate Community Covenant may recite this poem on
+Tuesdays, provided a licence fee in turnips is sent to the village elder."""
+
+
+def test_licenses_in_wrapped_paragraphs(spark):
+    texts = [BSD, f"{prose(3, 200)}\n\n{GPL}\n\n{prose(4, 90)}", MIT, "// SPDX-License-Identifier: MIT", STRANGE, f"/* SPDX-License-Identifier: EUPL-1.2 */\n{prose(5, 40)}", prose(6, 900), f"{prose(7, 300)} {MIT} {prose(8, 300)}"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.lines) for r in licenses.license_report(made).collect()}
+    assert [got[k][0] for k in range(8)] == ["BSD-3-Clause", "GPL-3.0", "MIT", "MIT", "", "EUPL-1.2", "", "MIT"]
+    assert got[0][1] == "0-2" and got[1][1] == "2-5" and got[3][1] == "0"
+
+
+def test_license_similarity_equals_brute_force(spark):
+    cut = lambda t: [w for w in re.split(r"[^a-z0-9.-]+|\.(?![0-9])", t.lower()) if w]
+    pairs = lambda w: {(a, b) for a, b in zip(w, w[1:])}
+    rows = [(k, cut(t)[k % 4 :], f) for k, (f, t) in enumerate(licenses.NOTICES)]
+    made = spark.createDataFrame(rows, "n int, words array<string>, family string")
+    for r in licenses._compared(made).collect():
+        of = [pairs(cut(t)) for f, t in licenses.NOTICES if f == r.family]
+        assert abs(r.similarity - max(len(x & pairs(r.words)) / len(x) for x in of)) < 1e-9
+    long = spark.createDataFrame([([str(k) for k in range(1_000)],)], "words array<string>")
+    got = long.select(licenses._windows(licenses.F.col("words")).alias("x")).first().x
+    assert [(int(w[0]), len(w)) for w in got] == [(0, 384), (256, 384), (512, 384), (768, 232)]
+
+
 ITEM = "A train travels 60 km in 2 hours, and then Alice walks 5 km. How far did Alice go in 2 hours?"
 
 
