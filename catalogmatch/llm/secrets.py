@@ -17,10 +17,12 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import table, written
+from catalogmatch.llm.common import sized, table, written
 
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,25 +49,15 @@ def _may_match(text: Column) -> Column:
     return base | (has["part_secret"] & (has["part_id"] | low.contains("://")))
 
 
-def _matches(texts: DataFrame, kind: str, pattern: str, value_group: int, least: Column) -> DataFrame:
-    """(key, kind, start, end, scope) of the matches of a pattern whose value passes ``least``."""
+def _matches(texts: DataFrame, kind: str, pattern: str, value_group: int) -> DataFrame:
+    """(key, kind, i, gap, size, v): per match of a pattern its number, the length of the gap before it, its own and its value's."""
     gaps = F.split("text", pattern, -1)
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all("text", F.lit(pattern), F.lit(value_group))
-    zipped = F.transform(
-        F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        lambda x: F.struct(
-            F.length(x["g"]).cast("long").alias("gap"),
-            F.length(x["m"]).cast("long").alias("size"),
-            F.length(x["v"]).alias("v"),
-            #: An empty line ends a scope; the part of the gap before the match counts.
-            F.regexp_count(x["g"], F.lit(r"\n[\x20\t\r]*(?=\n)")).alias("breaks"),
-        ),
-    )
-    rows = texts.where(F.col("text").rlike(pattern)).select("key", F.posexplode(zipped).alias("i", "x")).select("key", "i", "x.*")
-    before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.select("key", "v", "size", F.sum(F.col("gap") + F.col("size")).over(before).alias("end"))
-    return ends.where(least).select("key", F.lit(kind).alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end")
+    values = F.regexp_extract_all("text", F.lit(pattern), F.lit(value_group)) if value_group else found
+    lengths = lambda x: F.transform(x, F.length)
+    zipped = F.arrays_zip(lengths(F.slice(gaps, 1, F.size(found))).alias("gap"), lengths(found).alias("size"), lengths(values).alias("v"))
+    rows = texts.where(F.col("text").rlike(pattern)).select("key", F.posexplode(zipped).alias("i", "x"))
+    return rows.select("key", F.lit(kind).alias("kind"), "i", "x.gap", "x.size", "x.v")
 
 
 def _scopes(texts: DataFrame) -> DataFrame:
@@ -100,26 +92,26 @@ def _linked(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (doc_id, key) for every row; spans (key, kind, start, end).
 
-    Texts in which nothing can match get keys (n = -1) that no span has, spread by id so that they meet in no one task.
+    Texts in which nothing can match get keys (n = -1) that no span has, spread by id and text so that they meet in no one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.struct(F.xxhash64(F.col(id_col)).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(-1).alias("n"))
+    none = F.struct(F.xxhash64(F.col(id_col), text).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(-1).alias("n"))
     key = F.when(_may_match(text), F.struct(F.xxhash64(text).alias("h"), F.crc32(text).alias("c"), F.length(text).alias("n"))).otherwise(none)
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text.alias("text"))
-    hits = written(rows.where("key.n >= 0"), "secret-texts")
-    texts = hits.groupBy("key").agg(F.min("text").alias("text"))
-    found = [
-        _matches(texts, "assign", ASSIGN, 2, F.col("v") >= 8),
-        _matches(texts, "access", ACCESS, 0, F.col("size") >= 16),
-        _matches(texts, "hex", r"[0-9a-f]{32,}", 0, F.col("size") >= 32),  # the runs of HEX are maximal, so these are its long ones
-        _matches(texts, "part_id", PART_ID, 2, F.lit(True)),
-        _matches(texts, "part_secret", PART_SECRET, 2, F.lit(True)),
-        _matches(texts, "part_endpoint", PART_ENDPOINT, 0, F.lit(True)),
-    ]
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
-    spans = written(spans, "secret-matches")
+    texts = written(rows.where("key.n >= 0").groupBy("key").agg(F.min("text").alias("text")), "secret-texts")
+    patterns = {
+        "assign": (ASSIGN, 2),
+        "access": (ACCESS, 0),
+        "hex": (r"[0-9a-f]{32,}", 0),  # the runs of HEX are maximal, so these are its long ones
+        "part_id": (PART_ID, 2),
+        "part_secret": (PART_SECRET, 2),
+        "part_endpoint": (PART_ENDPOINT, 0),
+    }
+    found = functools.reduce(DataFrame.unionByName, (_matches(texts, kind, *how) for kind, how in patterns.items()))
+    before = Window.partitionBy("key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = found.withColumn("end", F.sum((F.col("gap") + F.col("size")).cast("long")).over(before))
+    least = F.when(F.col("kind") == "assign", 8).when(F.col("kind") == "access", 16).otherwise(0)
+    spans = written(ends.where(F.col("v") >= least).select("key", "kind", (F.col("end") - F.col("size")).alias("start"), "end"), "secret-matches")
     weak = F.col("kind").startswith("part_")
     return rows.select("doc_id", "key"), spans.where(~weak).unionByName(_linked(spans, texts, reach))
 
@@ -134,7 +126,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_text = spans.groupBy("key").agg(
         *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), listed(order <= 3).alias("base"), listed(F.lit(True)).alias("spans")
     )
-    per_text = written(per_text, "secret-per-text")
+    per_text = sized(written(per_text, "secret-per-text"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(per_text, "key", "left").select(
         "doc_id", *map(zero, ("n_assign", "n_access", "n_hex")), F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")

@@ -63,6 +63,36 @@ def test_long_parts_link_from_their_end(spark, text, kinds):
     test_parts_link_only_together(spark, text, kinds)
 
 
+PART = {k: re.compile(p.replace("(?i)", ""), re.I | re.A) for k, p in (("part_id", secrets.PART_ID), ("part_secret", secrets.PART_SECRET), ("part_endpoint", secrets.PART_ENDPOINT))}
+
+
+def plain_spans(text, reach=200):
+    """Base spans, and of all pairs of parts those that link."""
+    scopes = [0] + [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+    base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(text))]
+    parts = [(k, m.start(), m.end()) for k, p in PART.items() for m in p.finditer(text)]
+    role = {"assign": "s", "hex": "s", "part_secret": "s", "access": "i", "part_id": "i", "part_endpoint": "e"}
+    scope = lambda x: sum(s <= x[1] for s in scopes)
+    out = list(base)
+    for x in parts:
+        for y in [*base, *parts]:
+            gap = max(y[1] - x[2], x[1] - y[2])
+            if scope(x) == scope(y) and gap <= reach and (role[x[0]] == "s") != (role[y[0]] == "s"):
+                out.append(x)
+                break
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0]))))
+
+
+def test_links_equal_all_pairs(spark):
+    made, bits = random.Random(9), ["user_id=bobby", "login: anna_k", "pwd=hunter22", "passcode: 998877", "https://a.example/x", "redis://h:1/0", "token=abcdefgh12", "AKIA" + "A" * 14, "ab12" * 9, "\n\n", "\n", "x" * 90, "y " * 60, "z" * 150]
+    texts = [" ".join(made.choice(bits) for _ in range(made.randint(2, 14))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])] * 3, "doc_id long, text string")
+    got = secrets.secret_report(rows).collect()
+    assert len(got) == 303
+    for r in got:
+        assert r.spans == plain_spans(texts[r.doc_id or 0])
+
+
 def test_licenses(spark, odd, none):
     rows = [(1, "Text.\nReleased under the MIT License."), (2, "This work is licensed under the GNU General Public License, version 2."), (3, "My driving license expired and the licence office was closed"), (4, "Licensed under CC BY-SA 4.0.\nReleased under the MIT License."), (5, "All about rights and permission in the village")]
     made = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
