@@ -127,6 +127,33 @@ def grouped_join(rows: DataFrame, groups: DataFrame, keys: list[str], size_col:
     return rows.join(large, keys).unionByName(others.join(sized(groups.where(F.col(size_col) * most_groups <= total)), keys, "left"))
 
 
+def hub_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", most_keys: int = 1000) -> DataFrame:
+    """``rows`` (written) joined with ``one``, which has a narrow row per ``key`` at most.
+
+    Keys of more than one row in ``most_keys`` are fewer than that: their rows of ``one`` are broadcast, the others shuffled.
+    """
+    total = rows.count()
+    hot = written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * most_keys > total).select(key), "hot-keys")
+    hot = F.broadcast(hot)
+    near = rows.join(hot, key, "left_semi").join(F.broadcast(one.join(hot, key, "left_semi")), key, how)
+    return near.unionByName(rows.join(hot, key, "left_anti").join(one, key, how))
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str, most_keys: int = 1000) -> DataFrame:
+    """``rows`` (written) joined with ``one``, which has a row of any width per ``key`` at most.
+
+    The rows of a key that holds more than one in ``most_keys`` are dealt by ``spread`` into parts of that size, each of
+    which meets a copy of the key's row; all keys together have fewer than ``most_keys`` more copies than rows.
+    """
+    part = max(64, rows.count() // most_keys)
+    salts = written(rows.groupBy(key).agg(F.ceil(F.count("*") / part).cast("int").alias("salts")).where("salts > 1"), "salts")
+    salts = F.broadcast(salts)  # fewer than most_keys rows
+    n = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(salts, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), n).cast("int")).drop("salts")
+    copies = one.join(salts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
 # Words and shingles of a text as 64-bit numbers
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import written
+from catalogmatch.llm.common import hub_join, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,8 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )
         state = stamp
         least = now.select(F.col("hi").alias("lo"), F.col("lo").alias("m")).groupBy("lo").agg(F.min("m").alias("m"))
-        moved = now.join(least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        moved = hub_join(now, least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
         now = written(moved, "links-large")
         least = now.groupBy("hi").agg(F.min("lo").alias("m"))
-        both = now.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
+        both = hub_join(now, least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
         now = written(both.select("x.*").where("hi <> lo").distinct(), "links-small")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import batch_shingles, map_batches, mixed, shingles, sized, table, written
+from catalogmatch.llm.common import batch_shingles, grouped_join, hub_join, map_batches, mixed, salted_join, sized, table, written
 from catalogmatch.llm.graph import components
 
 HASHES, BAND, BANDS, BITS = 256, 5, 48, 2
@@ -200,15 +200,15 @@ def near_links(docs: DataFrame, heads: DataFrame, threshold: float = 0.75, id_co
     sets = written(_full_sets(docs, nodes, id_col, text_col), "near-sets")
     words = written(heads.select("node", "words").join(sized(nodes), "node", "left_semi"), "near-words")
 
-    pairs = members.where("node <> first").select("first", "node").distinct()
-    pairs = pairs.join(words, "node").join(words.select(F.col("node").alias("first"), F.col("words").alias("first_words")), "first")
+    pairs = written(members.where("node <> first").select("first", "node").distinct(), "near-pairs")
+    pairs = hub_join(pairs, words.select(F.col("node").alias("first"), F.col("words").alias("first_words")), "first").join(words, "node")
     differ = F.transform(F.arrays_zip("words", "first_words"), lambda x: x["words"].bitwiseXOR(x["first_words"]))
     unlike = F.aggregate(
         differ, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_ODD)))).cast("int")
     )
     estimate = ((1 - unlike / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
-    pairs = pairs.where(estimate >= threshold - MARGIN).select("first", "node")
-    pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("first"), F.col("elements").alias("first_elements")), "first")
+    pairs = written(pairs.where(estimate >= threshold - MARGIN).select("first", "node"), "near-passing")
+    pairs = salted_join(pairs, sets.select(F.col("node").alias("first"), F.col("elements").alias("first_elements")), "first", "node").join(sets, "node")
     common = F.size(F.array_intersect("elements", "first_elements"))
     confirmed = 100 * common >= F.lit(100 * threshold) * (F.size("elements") + F.size("first_elements") - common) - 1e-6
     stars = written(pairs.where(confirmed).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
@@ -236,17 +236,18 @@ def near_links(docs: DataFrame, heads: DataFrame, threshold: float = 0.75, id_co
 def near_groups(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = written(signatures(docs, id_col, text_col), "near-signatures")
-    with_sets = rows.where("bands IS NOT NULL AND doc_id IS NOT NULL")
-    classes = with_sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    takes = "bands IS NOT NULL AND doc_id IS NOT NULL"
+    keys = ["s1", "s2", "n_shingles"]
+    classes = rows.where(takes).groupBy(*keys).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     classes = written(classes, "near-classes")
-    #: Rows of no set or id take part in no class; their keys are made null.
-    takes = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
-    keyed = rows.select("doc_id", "n_shingles", "bands", "words", *(F.when(takes, F.col(c)).alias(c) for c in ("s1", "s2")))
-    headed = written(keyed.join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("head")), "near-heads")
-    heads = with_sets.join(classes, ["s1", "s2", "n_shingles"], "left").where("head IS NULL OR head = doc_id").select(F.col("doc_id").alias("node"), "bands", "words")
+    placed = grouped_join(rows.where(takes).select("doc_id", *keys), classes, keys, "n").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("head"))
+    #: Rows of no set or id take part in no class.
+    alone = rows.where(f"NOT ({takes})").select("doc_id", "n_shingles", F.col("doc_id").alias("head"))
+    headed = written(placed.unionByName(alone), "near-heads")
+    heads = rows.where(takes).join(sized(classes.select(*keys, "head")), keys, "left").where("head IS NULL OR head = doc_id").select(F.col("doc_id").alias("node"), "bands", "words")
     found = written(components(near_links(docs, heads, threshold, id_col, text_col)), "near-components").withColumnRenamed("node", "head")
     component = F.coalesce("component", "head")
-    return headed.join(found, "head", "left").select(
+    return hub_join(headed, found, "head", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
