@@ -1,12 +1,16 @@
-"""Byte-level BPE encoding and decoding by merge replay.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus.
 
-The texts of a batch are cut by the tokenizer's pattern. Words not met before are laid end to end as bytes, and an
-inverted index lists, for every mergeable pair of tokens, the positions where it stands. Merges are then replayed over
-all those words at once in rank order, each touching only the positions its pair is listed at and their neighbours.
-A worker keeps what it has learnt of a bounded number of words; texts are read back from the ids by the token table.
+All texts are cut by the tokenizer's pattern and their distinct words counted. This word table is dealt to tasks by hash;
+each task lays its words end to end as bytes, and an inverted index lists, for every mergeable pair of tokens, the
+positions where it stands. Merges are replayed over all those words at once in rank order, each touching only the
+positions its pair is listed at and their neighbours. The ids of the corpus's ``hot_words`` most frequent words are sent
+to every worker. Words beyond these are rare; they are replayed in the same way where they are met, all new words of a
+batch at once, because joining their ids back to every text would move more than the texts themselves. Texts are read
+back from the ids by the token table.
 
 Results in special cases: null and empty texts have no ids and decode to nothing; repeated rows give equal results; an
-empty table gives an empty result. Texts of any length are cut piece by piece and never shortened.
+empty table gives an empty result; other columns are not read. Texts of any length are cut piece by piece and never
+shortened.
 """
 
 from __future__ import annotations
@@ -15,14 +19,14 @@ import base64
 import hashlib
 import heapq
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm.common import map_batches, table
+from catalogmatch.llm.common import map_batches, table, written
 
 NO_RANK = np.iinfo(np.int32).max
 PIECES = 1 << 18
@@ -35,15 +39,20 @@ NOT_PLAIN = rf"[^\t\n\r -~{LATIN[6:]}]"
 
 
 class MergeReplay:
-    """Encoder and decoder for one rank file. ``most_words`` bounds the words whose ids are remembered."""
+    """Encoder and decoder for one rank file.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 250_000):
+    ``known`` are words and their ids, one after another, with the number of ids of each word; these are always
+    remembered, and ``most_words`` bounds the words that are remembered besides.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 150_000, known: tuple[list[str], np.ndarray, np.ndarray] | None = None):
         import regex
 
         self.cut = regex.compile(pattern)
         self.plain = re.compile(PLAIN) if pattern == DEFAULT_PATTERN else self.cut
         self.not_plain = re.compile(NOT_PLAIN)
         self.most_words = most_words
+        self.known = known or ([], np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
@@ -64,11 +73,10 @@ class MergeReplay:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = defaultdict()
+        words, self.ids, self.lengths = self.known
+        self.words: dict[str, int] = defaultdict(None, zip(words, range(len(words)), strict=True))
         self.words.default_factory = self.words.__len__
-        self.ids = np.zeros(0, np.int32)
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) * self.width + right
@@ -149,20 +157,24 @@ class MergeReplay:
             self.lengths = np.append(self.lengths, lengths)
             self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def _pieces(self, text: str):
-        """Numbers of the words of a text, in blocks."""
+    def cuts(self, text: str):
+        """The words of a text, in blocks."""
         cut = self.cut if self.not_plain.search(text) else self.plain
         if len(text) < PIECES:
-            words = cut.findall(text)
-            yield np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+            yield cut.findall(text)
             return
         found = cut.finditer(text)
-        while block := [self.words[m.group()] for m in islice(found, PIECES)]:
-            yield np.array(block, np.int32)
+        while block := [m.group() for m in islice(found, PIECES)]:
+            yield block
+
+    def _pieces(self, text: str):
+        """Numbers of the words of a text, in blocks."""
+        for words in self.cuts(text):
+            yield np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.words) > self.most_words:
+        if len(self.words) > len(self.known[0]) + self.most_words:
             self._forget()
         numbers = [np.concatenate([np.zeros(0, np.int32), *self._pieces(text)]) for text in texts]
         self._learn()
@@ -187,25 +199,68 @@ def read_ranks(path: str) -> dict[bytes, int]:
 _REPLAYS: dict[str, MergeReplay] = {}
 
 
-def _replay(key: str, ranks: dict[bytes, int], pattern: str) -> MergeReplay:
+def _replay(key: str, ranks: dict[bytes, int], pattern: str, known=None) -> MergeReplay:
     """This worker's replay for the vocabulary; a worker that is used again keeps it."""
     if key not in _REPLAYS:
         _REPLAYS.clear()
-        _REPLAYS[key] = MergeReplay(ranks, pattern)
+        _REPLAYS[key] = MergeReplay(ranks, pattern, known=known)
     return _REPLAYS[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def _digest(*what) -> str:
+    return hashlib.sha256(repr(what).encode()).hexdigest()
+
+
+def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", words_a_task: int = 200_000) -> DataFrame:
+    """(word, n, ids) of every distinct word of all texts, by replay over the whole table."""
+    import pyarrow as pa
+
+    context = docs.sparkSession.sparkContext
+    key, sent = _digest(sorted(ranks.items()), pattern), context.broadcast(ranks)
+
+    def count(batches):
+        replay = _replay(key, sent.value, pattern)
+        for batch in batches:
+            found = Counter()
+            for text in batch.column(0).to_pylist():
+                for words in replay.cuts(text or ""):
+                    found.update(words)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    counted = written(map_batches(docs.select(text_col), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    tasks = max(1, -(-counted.count() // words_a_task))
+
+    def merge(batches):
+        replay = _replay(key, sent.value, pattern)
+        for batch in batches:
+            ids, lengths = replay.replay([w.encode() for w in batch.column(0).to_pylist()])
+            bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))], ["word", "n", "ids"])
+
+    return map_batches(counted.repartition(tasks, "word"), merge, "word string, n long, ids array<int>")
+
+
+def hot_words(words: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The ``most`` most frequent rows of a word table, as ``MergeReplay`` takes them."""
+    rows = words.orderBy(F.desc("n"), "word").limit(most).select("word", "ids").toArrow()
+    ids = rows["ids"].combine_chunks()
+    return rows["word"].to_pylist(), ids.flatten().to_numpy().astype(np.int32), np.diff(ids.offsets.to_numpy()).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int = 150_000, batch_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, ids array<int>[, decoded binary]) of every row; ``decoded`` adds the bytes that the ids read back to.
 
-    The rank file at ``path`` (a vocabulary, of fixed size) is read on the driver and broadcast.
+    The rank file at ``path`` (a vocabulary, of fixed size) is read on the driver and broadcast, and so are the ids of the
+    corpus's ``hot`` most frequent words.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     ranks = read_ranks(path)
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    known = hot_words(word_table(docs, ranks, pattern, text_col), hot)
+    key = _digest(sorted(ranks.items()), pattern, hashlib.sha256("\n".join(known[0]).encode()).hexdigest(), len(known[0]))
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, known))
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
 
@@ -217,7 +272,8 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_c
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        replay = _replay(key, sent.value, pattern)
+        ranks, known = sent.value
+        replay = _replay(key, ranks, pattern, known)
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             first = 0
@@ -237,7 +293,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     import pyarrow as pa
 
     ranks = read_ranks(path)
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    key = _digest(sorted(ranks.items()), pattern)
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 

@@ -302,6 +302,23 @@ def test_tokens_equal_tiktoken(spark, odd, none):
     assert bpe.encode(none, path, P.PATTERN).count() == 0
 
 
+def test_word_table_equals_tiktoken(spark, none):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [prose(k % 7, 40) for k in range(60)] + ["naïve café 日本語 ９", "", None]
+    words = bpe.word_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), ranks, P.PATTERN, words_a_task=50)
+    import regex
+
+    want = Counter(w for t in texts for w in regex.findall(P.PATTERN, t or ""))
+    rows = words.collect()
+    assert {r.word: r.n for r in rows} == want and len(rows) == len(want)
+    assert all(r.ids == enc.encode_ordinary(r.word) for r in rows)
+    hot = bpe.hot_words(words, 5)
+    assert hot[0] == sorted(want, key=lambda w: (-want[w], w.encode()))[:5] and hot[2].sum() == len(hot[1])
+    assert bpe.hot_words(bpe.word_table(none, ranks, P.PATTERN), 5)[0] == []
+
+
 def test_forgetting_words_changes_nothing():
     replay = bpe.MergeReplay(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN, most_words=3)
     texts = [prose(k, 30) for k in range(5)]
