@@ -67,9 +67,13 @@ def hashed_token(token: Column, dims: int = 512, hash: str = "md5") -> Column:
     return F.struct(F.pmod(number, F.lit(dims)).cast("int").alias("bucket"), F.when(F.conv(F.substring(digest, 16, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0).alias("sign"))
 
 
-def ngram_vectors(texts: DataFrame, id_col: str, text_col: str, dims: int = 512, hash: str = "md5") -> DataFrame:
-    """(id, bucket, value): the non-zero entries of each text's unit vector of signed n-gram counts; empty texts have none."""
-    grams = texts.select(F.col(id_col), F.explode(char_ngrams(normalize_text(F.col(text_col)))).alias("gram"))
+def ngram_vectors(texts: DataFrame, id_col: str, text_col: str, dims: int = 512, hash: str = "md5", exact: bool = False) -> DataFrame:
+    """(id, bucket, value): the non-zero entries of each text's unit vector of signed n-gram counts; empty texts have none.
+
+    With ``exact`` texts are normalised by ``normalize_exactly``.
+    """
+    texts = texts.select(F.col(id_col), (normalize_exactly()(F.col(text_col)) if exact else normalize_text(F.col(text_col))).alias("text"))
+    grams = texts.select(F.col(id_col), F.explode(char_ngrams(F.col("text"))).alias("gram"))
     counted = grams.groupBy(id_col, "gram").agg(F.count("*").alias("n"))
     parts = counted.withColumn("h", hashed_token(F.col("gram"), dims, hash)).select(id_col, "n", "h.*")
     sums = parts.groupBy(id_col, "bucket").agg(F.sum(F.col("sign") * F.col("n")).alias("s")).where("s <> 0")

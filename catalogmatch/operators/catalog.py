@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogmatch.functions.text import contains_all_tokens, search_text
 
+#: Letters of the pieces that the search index holds.
+PIECE = 3
 #: The preset searches of the picks.
 PRESETS = ("резерв каберне", "рислинг", "пино нуар", "брют", "шардоне", "саперави")
 
@@ -15,22 +17,36 @@ def searchable(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("search_text", search_text("name", "winery", "region", "grapes"))
 
 
+def _pieces(text: str) -> Column:
+    """The distinct pieces of ``PIECE`` letters of a column of texts that are long enough."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - PIECE + 1), lambda i: F.col(text).substr(i, F.lit(PIECE))))
+
+
+def _holding(cards: DataFrame, leads: DataFrame) -> DataFrame:
+    """``cards`` (slug, search_text, ...) beside every lead word that stands in their text."""
+    index = cards.where(F.length("search_text") >= PIECE).select("slug", F.explode(_pieces("search_text")).alias("piece"))
+    often = index.groupBy("piece").agg(F.count("*").alias("n"))
+    parts = leads.select("lead", F.explode(_pieces("lead")).alias("piece")).join(often, "piece", "left")
+    rarest = parts.groupBy("lead").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    near = index.join(rarest, "piece").select("slug", "lead")
+    return cards.join(near, "slug").where(F.contains("search_text", "lead"))
+
+
 def token_search(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, slug, pos): the cards that hold every token of the query and have its category, if it names one.
 
-    ``queries`` (query_id, query, category). Catalog and distinct query words meet once: each word of the query table is
-    looked up in the card's text, so the nested loop runs over distinct words, not over queries, and only cards that hold
-    a query's rarest-to-meet word go on to it by an equi-join. Empty queries match every card of their category.
+    ``queries`` (query_id, query, category). Each query leads with its longest word, and distinct lead words are looked up
+    once: by the rarest of their three-letter pieces in an index of the cards' pieces, then by the whole word. Words of one
+    or two letters, whose number the alphabet bounds, are looked up in the texts. Empty queries match every card of their category.
     """
     cards = searchable(catalog).select("slug", "pos", F.col("category").alias("card_category"), "search_text")
     wanted = queries.select(
         "query_id", F.coalesce("category", F.lit("")).alias("wanted"), F.array_distinct(F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), r"\s+"), lambda w: w != "")).alias("words")
     )
-    #: The longest word is the one that fewest cards hold; one nested loop per distinct such word.
     lead = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     wanted = wanted.withColumn("lead", F.when(F.size("words") > 0, lead).otherwise(""))
     leads = wanted.select("lead").distinct()
-    holding = cards.join(leads, F.contains("search_text", "lead"))
+    holding = _holding(cards, leads.where(F.length("lead") >= PIECE)).unionByName(cards.join(F.broadcast(leads.where(F.length("lead") < PIECE)), F.contains("search_text", "lead")))
     rest = F.forall("words", lambda w: F.contains("search_text", w))
     fits = (F.col("wanted") == "") | (F.col("card_category") == F.col("wanted"))
     return holding.join(wanted, "lead").where(rest & fits).select("query_id", "slug", "pos")
@@ -61,7 +77,7 @@ def featured(catalog: DataFrame, presets: tuple[str, ...] = PRESETS, fallback: i
     """(place, slug): the first card of each preset search, repeats left out; the first cards of the catalog if nothing is found."""
     spark = catalog.sparkSession
     queries = spark.createDataFrame([(k, q, "") for k, q in enumerate(presets)], "query_id int, query string, category string")
-    first = token_search(catalog, F.broadcast(queries)).groupBy("query_id").agg(F.min_by("slug", "pos").alias("slug"))
+    first = token_search(catalog, queries).groupBy("query_id").agg(F.min_by("slug", "pos").alias("slug"))
     picks = first.groupBy("slug").agg(F.min("query_id").alias("place")).select("place", "slug")
     plain = catalog.orderBy("pos").limit(fallback).select((F.row_number().over(Window.orderBy("pos")) - 1).alias("place"), "slug")  # ``fallback`` rows
     found = F.broadcast(picks.agg((F.count("*") > 0).alias("any_found")))  # one row

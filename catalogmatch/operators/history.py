@@ -42,6 +42,15 @@ def session_history(scans: DataFrame, session: str, as_of: Column, n: int = KEEP
     return history(scans.where(F.col("session") == session), as_of, n).orderBy("place")
 
 
+def session_listings(scans: DataFrame, requests: DataFrame, as_of: Column, n: int = KEEP_ROWS, days: int = KEEP_DAYS) -> DataFrame:
+    """(request_id, session, id, status, created_at, place): the kept scans of every requested session, newest first.
+
+    ``requests`` (request_id, session). The session is the only key that meets a request, so no other session's rows can.
+    """
+    asked = requests.select("session").distinct()
+    return requests.join(history(scans.join(asked, "session", "left_semi"), as_of, n, days), "session").select("request_id", "session", "id", "status", "created_at", "place")
+
+
 def saved_items(events: DataFrame, most: int = KEEP_SAVED) -> DataFrame:
     """(user, place, slug, saved_at): items toggled an odd number of times, in order of their last toggle, the first ``most``."""
     folded = events.groupBy("user", "slug").agg(F.count("*").alias("n"), F.max(F.struct("ts", "id")).alias("last")).where("n % 2 = 1")

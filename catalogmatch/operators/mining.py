@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalogmatch.operators.pairing import first_per_group
 from catalogmatch.functions.vectors import base_logit, dot, masked, normalized, pair_features, residual_logit
 
 DIGITS = 6
@@ -38,53 +39,123 @@ def top_k(sims: DataFrame, k: int = 12) -> DataFrame:
     return sims.withColumn("branch_rank", F.row_number().over(w)).where(F.col("branch_rank") <= k)
 
 
-def branch_top_k(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: DataFrame | None = None, query_block: int = 512, gallery_parts: int | None = None, query_parts: int | None = None) -> DataFrame:
+def _dealt(queries: DataFrame, gallery: DataFrame, gallery_parts: int | None, query_parts: int | None, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both sides in parts: queries with gp and qp, the gallery under names of its own (both may come from one table) with g_gp and g_qp."""
+    gallery_parts = gallery_parts or max(1, -(-gallery.count() // GALLERY_ROWS))
+    query_parts = query_parts or max(1, -(-queries.count() // QUERY_ROWS))
+    left = queries.withColumn("qp", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")).withColumn("gp", F.explode(F.sequence(F.lit(0), F.lit(gallery_parts - 1))))
+    right = gallery.select(*(F.col(c).alias(f"g_{c}") for c in ("slug", "branch", "vec", *extra)))
+    right = right.withColumn("g_gp", F.pmod(F.xxhash64("g_slug"), F.lit(gallery_parts)).cast("int")).withColumn("g_qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    return left, right
+
+
+def similarity_ranges(queries: DataFrame, gallery: DataFrame, exclude: DataFrame | None = None, query_block: int = 512, gallery_parts: int | None = None, query_parts: int | None = None) -> DataFrame:
+    """(query_id, branch, n, most, least): number and range of a query's similarities, by matrix products of parts.
+
+    ``exclude`` (query_id, slug) pairs are left out; a query has few of them.
+    """
+    import pandas as pd
+
+    q_type, s_type = queries.schema["query_id"].dataType.simpleString(), gallery.schema["slug"].dataType.simpleString()
+    rows = queries.select("query_id", "branch", "vec")
+    if exclude is not None:
+        rows = rows.join(exclude.groupBy("query_id").agg(F.collect_set("slug").alias("out")), "query_id", "left")
+    rows = rows.withColumn("out", F.coalesce("out" if exclude is not None else F.lit(None), F.array()).cast(f"array<{s_type}>"))
+    left, right = _dealt(rows, gallery, gallery_parts, query_parts)
+
+    def ranges(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(g):
+            matrix, at = np.stack(g["g_vec"].to_list()).T, {s: k for k, s in enumerate(g["g_slug"])}
+            for start in range(0, len(q), query_block):
+                block = q.iloc[start : start + query_block]
+                sims = np.round(np.stack(block["vec"].to_list()) @ matrix, DIGITS) + 0.0
+                for k, out in enumerate(block["out"]):
+                    sims[k, [at[s] for s in out if s in at]] = np.nan
+                n = np.count_nonzero(~np.isnan(sims), axis=1)
+                some = n > 0
+                found.append(pd.DataFrame({"query_id": block["query_id"][some], "branch": block["branch"][some], "n": n[some], "most": np.nanmax(sims[some], axis=1), "least": np.nanmin(sims[some], axis=1)}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "branch": [], "n": [], "most": [], "least": []})
+
+    parts = left.groupBy("branch", "qp", "gp").cogroup(right.groupBy("g_branch", "g_qp", "g_gp")).applyInPandas(ranges, f"query_id {q_type}, branch string, n long, most double, least double")
+    return parts.groupBy("query_id", "branch").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
+
+
+def branch_top_k(
+    queries: DataFrame,
+    gallery: DataFrame,
+    k: int = 12,
+    exclude: DataFrame | None = None,
+    query_block: int = 512,
+    gallery_parts: int | None = None,
+    query_parts: int | None = None,
+    per_producer: int | None = None,
+) -> DataFrame:
     """``top_k`` by matrix products, for galleries and query sets of any size.
 
     Both sides are dealt into parts; every pair of parts meets in one group, multiplies ``query_block`` queries at a time and keeps
     its own best, and the best of those win. ``exclude`` (query_id, slug) pairs are left out; each query may have up to ``k``
     more of them in a part than are shown, so parts keep ``k`` plus the query's number of exclusions. Without given numbers
-    a part holds about ``GALLERY_ROWS`` or ``QUERY_ROWS`` rows, by a count of either table.
+    a part holds about ``GALLERY_ROWS`` or ``QUERY_ROWS`` rows, by a count of either table. With ``per_producer`` at most so
+    many rows of a ``producer`` (a column of the gallery) count; what a part passes over for better rows of its own
+    producer, the whole gallery would pass over too.
     """
     import pandas as pd
 
-    gallery_parts = gallery_parts or max(1, -(-gallery.count() // GALLERY_ROWS))
-    query_parts = query_parts or max(1, -(-queries.count() // QUERY_ROWS))
     q_type, s_type = queries.schema["query_id"].dataType.simpleString(), gallery.schema["slug"].dataType.simpleString()
-    left = queries.select("query_id", "branch", "vec", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int").alias("qp"))
+    left = queries.select("query_id", "branch", "vec")
     if exclude is not None:
         extra = exclude.groupBy("query_id").agg(F.count("*").alias("extra"))
         left = left.join(extra, "query_id", "left").withColumn("extra", F.coalesce("extra", F.lit(0)).cast("int"))
     else:
         left = left.withColumn("extra", F.lit(0))
-    left = left.withColumn("gp", F.explode(F.sequence(F.lit(0), F.lit(gallery_parts - 1))))
-    #: Both sides may come from one table, so the gallery's columns get names of their own.
-    right = gallery.select(F.col("slug").alias("g_slug"), F.col("branch").alias("g_branch"), F.col("vec").alias("g_vec"))
-    right = right.withColumn("g_gp", F.pmod(F.xxhash64("g_slug"), F.lit(gallery_parts)).cast("int")).withColumn("g_qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    gallery = gallery.withColumn("producer", F.coalesce(F.col("producer").cast("string"), F.lit("")) if per_producer else F.lit(""))
+    left, right = _dealt(left, gallery, gallery_parts, query_parts, ["producer"])
 
     def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        ids, slugs, values = [], [], []
+        ids, slugs, values, makers = [], [], [], []
         if len(q) and len(g):
             g = g.sort_values("g_slug", kind="stable")
-            matrix, names = np.stack(g["g_vec"].to_list()).T, g["g_slug"].to_numpy(object)
+            matrix, names, own = np.stack(g["g_vec"].to_list()).T, g["g_slug"].to_numpy(object), g["g_producer"].to_numpy(object)
+            codes = np.unique(own, return_inverse=True)[1]
             for start in range(0, len(q), query_block):
                 block = q.iloc[start : start + query_block]
                 sims = np.round(np.stack(block["vec"].to_list()) @ matrix, DIGITS) + 0.0
-                most = min(k + int(block["extra"].max()), sims.shape[1])
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-                ids.append(np.repeat(block["query_id"].to_numpy(object), most))
-                slugs.append(names[order.ravel()])
-                values.append(np.take_along_axis(sims, order, 1).ravel())
+                extra = block["extra"].to_numpy(int)
+                most = min(k + int(extra.max()), sims.shape[1])
+                order = np.argsort(-sims, axis=1, kind="stable")
+                if per_producer:
+                    #: A row's place among its producer's rows, best first, decides whether it counts.
+                    sorted_codes = np.take(codes, order)
+                    by_code = np.argsort(sorted_codes, axis=1, kind="stable")
+                    turned = np.take_along_axis(sorted_codes, by_code, 1)
+                    begin = np.maximum.accumulate(np.where(np.diff(turned, axis=1, prepend=-1) != 0, np.arange(turned.shape[1]), 0), axis=1)
+                    place = np.empty_like(by_code)
+                    np.put_along_axis(place, by_code, np.arange(turned.shape[1]) - begin, 1)
+                    fits = place < per_producer + extra[:, None]
+                    fits &= np.cumsum(fits, axis=1) <= most
+                    counts, order = fits.sum(axis=1), order[fits]
+                    rows = np.repeat(np.arange(len(block)), counts)
+                else:
+                    order, rows = order[:, :most].ravel(), np.repeat(np.arange(len(block)), most)
+                ids.append(block["query_id"].to_numpy(object)[rows])
+                slugs.append(names[order])
+                makers.append(own[order])
+                values.append(sims[rows, order])
         if not ids:
             none = np.zeros(0, object)
-            return pd.DataFrame({"query_id": none, "slug": none, "branch": none, "sim": np.zeros(0)})
-        names = np.full(sum(map(len, ids)), q["branch"].iloc[0], object)
-        return pd.DataFrame({"query_id": np.concatenate(ids), "slug": np.concatenate(slugs), "branch": names, "sim": np.concatenate(values)}, dtype=object).astype({"sim": float})
+            return pd.DataFrame({"query_id": none, "slug": none, "branch": none, "producer": none, "sim": np.zeros(0)})
+        branch = np.full(sum(map(len, ids)), q["branch"].iloc[0], object)
+        columns = {"query_id": np.concatenate(ids), "slug": np.concatenate(slugs), "branch": branch, "producer": np.concatenate(makers), "sim": np.concatenate(values)}
+        return pd.DataFrame(columns, dtype=object).astype({"sim": float})
 
-    found = left.groupBy("branch", "qp", "gp").cogroup(right.groupBy("g_branch", "g_qp", "g_gp")).applyInPandas(best, f"query_id {q_type}, slug {s_type}, branch string, sim double")
+    schema = f"query_id {q_type}, slug {s_type}, branch string, producer string, sim double"
+    found = left.groupBy("branch", "qp", "gp").cogroup(right.groupBy("g_branch", "g_qp", "g_gp")).applyInPandas(best, schema)
     if exclude is not None:
         found = found.join(exclude, ["query_id", "slug"], "left_anti")
-    return top_k(found, k)
+    if per_producer:
+        return first_per_group(found, ["query_id", "branch"], "producer", [F.desc("sim"), F.col("slug")], per_producer, k, "branch_rank").drop("producer")
+    return top_k(found.drop("producer"), k)
 
 
 def pooled(tops: DataFrame, queries: DataFrame, gallery: DataFrame, max_candidates: int = 36) -> DataFrame:
@@ -106,16 +177,27 @@ def marked(candidates: DataFrame, positives: DataFrame) -> DataFrame:
     return candidates.join(flags, ["query_id", "slug"], "left").withColumn("is_positive", F.coalesce("is_positive", F.lit(False)))
 
 
+def marked_by_label(candidates: DataFrame, query_labels: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates with ``is_positive``: whether query (query_id, label) and candidate (slug, label) are of one label."""
+    rows = candidates.join(query_labels.select("query_id", F.col("label").alias("own")), "query_id", "left").join(labels.select("slug", F.col("label").alias("theirs")), "slug", "left")
+    return rows.withColumn("is_positive", F.coalesce(F.col("own") == F.col("theirs"), F.lit(False))).drop("own", "theirs")
+
+
 def pool_recall(candidates: DataFrame) -> DataFrame:
     """(n_queries, recall): share of queries with a positive among their candidates."""
     per_query = candidates.groupBy("query_id").agg(F.bool_or("is_positive").alias("natural"))
     return per_query.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.col("natural").cast("double")), 6).alias("recall"))
 
 
+def candidate_pool(queries: DataFrame, gallery: DataFrame, k: int = 12, exclude: DataFrame | None = None, blocks: bool = True) -> DataFrame:
+    """Branch tops, their pool and its ranks."""
+    tops = branch_top_k(queries, gallery, k, exclude) if blocks else top_k(similarities(queries, gallery, exclude), k)
+    return pooled(tops, queries, gallery, 3 * k)
+
+
 def mine_candidates(queries: DataFrame, gallery: DataFrame, positives: DataFrame, k: int = 12, exclude: DataFrame | None = None, blocks: bool = True) -> DataFrame:
     """Branch tops, pool, ranks and positive flags in one job."""
-    tops = branch_top_k(queries, gallery, k, exclude) if blocks else top_k(similarities(queries, gallery, exclude), k)
-    return marked(pooled(tops, queries, gallery, 3 * k), positives)
+    return marked(candidate_pool(queries, gallery, k, exclude, blocks), positives)
 
 
 def with_logits(candidates: DataFrame, branch: str = "bottle", temperature: float = 0.07, most: float = 2.5) -> DataFrame:
@@ -164,8 +246,10 @@ def class_centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 def class_logits(vectors: DataFrame, centroids: DataFrame, temperature: float = 0.07) -> DataFrame:
     """(id, label, logit): cosine over temperature against every class."""
-    classes = centroids.select(F.col("label").alias("class"), F.col("vec").alias("cv"))
-    return vectors.join(F.broadcast(classes)).select("id", F.col("class").alias("label"), F.round(dot(F.col("vec"), F.col("cv")) / F.lit(temperature), 4).alias("logit"))  # one row per class
+    left = vectors.select(F.col("id").alias("query_id"), F.lit("class").alias("branch"), "vec")
+    left, right = _dealt(left, centroids.select(F.col("label").alias("slug"), F.lit("class").alias("branch"), "vec"), None, None)
+    pairs = left.join(right, (F.col("gp") == F.col("g_gp")) & (F.col("qp") == F.col("g_qp")))
+    return pairs.select(F.col("query_id").alias("id"), F.col("g_slug").alias("label"), F.round(dot(F.col("vec"), F.col("g_vec")) / F.lit(temperature), 4).alias("logit"))
 
 
 def approximate_top_k(queries: DataFrame, gallery: DataFrame, branch: str, k: int = 12, bucket_length: float = 0.6, tables: int = 8) -> DataFrame:

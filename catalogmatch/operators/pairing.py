@@ -20,6 +20,7 @@ PREFERENCES = [
     ("rose", "Розовое", "розовое", "Розовое вино — лёгкий вариант для закусок, овощей и блюд с деликатными соусами."),
     ("sparkling", "Игристое", "игристое", "Игристые вина подходят к лёгким закускам; для сладкого десерта выбирайте сладкий стиль."),
 ]
+#: What precedes another explanation, the note, and words of sparkling and dessert wines in names.
 CHANGED = "Учли ваш выбор стиля. "
 NOTE = "Общие рекомендации по стилю вина. Учитывайте соус и способ приготовления."
 SPARKLING_WORDS = ("брют", "игрист", "spumante", "петнат")
@@ -86,6 +87,15 @@ def pairing_question(requests: DataFrame) -> DataFrame:
     return rows.select("request_id", F.concat(F.lit("Подбери "), F.coalesce(F.concat("adjective", F.lit(" ")), F.lit("")), F.lit("вино к "), "words", F.lit(".")).alias("question"))
 
 
+def answered_pairings(answers: DataFrame, cited: DataFrame, plan: DataFrame) -> DataFrame:
+    """(request_id, place, slug, title, explanation, temperature, method): a model's answer with the rule's title and temperature.
+
+    ``answers`` (request_id, answer), ``cited`` (request_id, place, slug): the cards it cites, in order; ``plan`` is ``planned``.
+    """
+    rows = answers.join(plan.select("request_id", "title", "temperature"), "request_id").join(cited, "request_id", "left")
+    return rows.select("request_id", "place", "slug", "title", F.col("answer").alias("explanation"), "temperature", F.lit("model").alias("method"))
+
+
 def answers_or_rules(answers: DataFrame, rules: DataFrame, key: str = "request_id") -> DataFrame:
     """Rows of answered requests, and the rules' rows of all others; ``method`` tells which."""
     return answers.unionByName(rules.join(answers.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogmatch.functions.filters import DEFAULT_LEXICON, Lexicon, allowed, read_filters
 from catalogmatch.functions.text import shortlist_line
-from catalogmatch.functions.vectors import dot
-from catalogmatch.operators.pairing import first_per_group
+from catalogmatch.operators.mining import branch_top_k
 
 SHORTLIST = 6
 #: The default templates; {n} is the number of cards, {listing} and {question} are filled in.
@@ -31,16 +30,22 @@ def filtered_questions(questions: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON)
 def capped_search(questions: DataFrame, cards: DataFrame, k: int = SHORTLIST, per_producer: int = 2, exclude: DataFrame | None = None, use_filters: bool = True) -> DataFrame:
     """(question_id, position, slug): the ``k`` most similar cards that pass the filters, at most two per producer.
 
-    ``questions`` (question_id, qv, filters), ``cards`` (slug, vec, category, winery, profile). The filters are part of the join,
-    so that rejected pairs are never scored.
+    ``questions`` (question_id, qv, filters), ``cards`` (slug, vec, category, winery, profile). Questions with equal filters
+    form a branch, and a branch's gallery holds the cards that pass them, so rejected pairs are never scored; branches are
+    searched in parts by matrix products.
     """
-    passes = allowed(F.col("filters"), F.col("category"), F.col("profile.sparkling"), F.col("profile.sweetness")) if use_filters else F.lit(True)
-    pairs = questions.select("question_id", "qv", "filters").join(cards, passes, "inner" if use_filters else "cross")
-    if exclude is not None:
-        pairs = pairs.join(exclude, ["question_id", "slug"], "left_anti")
-    scores = pairs.select("question_id", "slug", "winery", F.round(dot(F.col("qv"), F.col("vec")), 6).alias("sim"))
-    top = first_per_group(scores, ["question_id"], "winery", [F.desc("sim"), F.col("slug")], per_producer, k, "position")
-    return top.select("question_id", "position", "slug")
+    own = F.to_json("filters", {"ignoreNullFields": "false"}) if use_filters else F.lit("all")
+    asked = questions.select(F.col("question_id").alias("query_id"), own.alias("branch"), F.col("qv").alias("vec"))
+    gallery = cards.select("slug", "vec", F.col("winery").alias("producer"), "category", "profile")
+    if use_filters:
+        kinds = questions.select("filters").distinct().withColumn("branch", F.to_json("filters", {"ignoreNullFields": "false"}))
+        passes = allowed(F.col("filters"), F.col("category"), F.col("profile.sparkling"), F.col("profile.sweetness"))
+        gallery = gallery.join(F.broadcast(kinds), passes)  # the lexicon bounds the different filters
+    else:
+        gallery = gallery.withColumn("branch", F.lit("all"))
+    out = exclude.select(F.col("question_id").alias("query_id"), "slug") if exclude is not None else None
+    top = branch_top_k(asked, gallery.select("slug", "branch", "vec", "producer"), k, out, per_producer=per_producer)
+    return top.select(F.col("query_id").alias("question_id"), F.col("branch_rank").alias("position"), "slug")
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame, key: str = "question_id") -> DataFrame:

@@ -93,8 +93,8 @@ INPUTS: dict[str, tuple[str, list[str], str]] = {
         "(SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)",
         [
             "doc_id AS query_id",
-            "concat('img-', cast(doc_id % 997 as string)) AS image_sha256",
-            "case when doc_id % 7 = 0 then null else concat('c-', cast((doc_id % 997) % 2 as string)) end AS predicted_slug",
+            "concat('img-', cast(doc_id % 97 as string)) AS image_sha256",
+            "case when doc_id % 7 = 0 then null else concat('c-', cast(case when doc_id % 97 < 60 then doc_id % 2 else 1 end as string)) end AS predicted_slug",
             "104 + (doc_id * 37) % 613 AS latency_ms",
             "cast((doc_id * 13) % 100 as double) / 100 AS confidence",
             "case when toxic = 1 then null else concat('c-', cast(quality as string)) end AS true_slug",
@@ -176,11 +176,10 @@ def branch_vectors(spark: SparkSession, sf_dir: str, key: str, query_set: bool =
     return rows.select(F.col("vec_id").alias(key), F.inline(halves)).select(key, "branch", normalized(F.col("v")).alias("vec"))
 
 
-def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, slug): other vectors with the query's label."""
-    rows = table(spark, sf_dir, "embeddings")
-    q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(rows.select(F.col("vec_id").alias("slug"), "label"), "label").where("query_id <> slug").select("query_id", "slug")
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, label) of the query set and (slug, label) of all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "slug")
 
 
 def themselves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalogmatch.functions.filters import DEFAULT_LEXICON as L
@@ -14,7 +12,9 @@ from catalogmatch.operators import metrics as M
 from catalogmatch.operators import retrieval as R
 from catalogmatch.plans.catalog_queries import LINE_SQL
 from catalogmatch.plans.inputs import INPUTS, cte, frame, table, with_profile
-from catalogmatch.sources.sinks import append_scans
+from catalogmatch.sources import catalog as S
+from catalogmatch.sources import files as X
+from catalogmatch.sources.sinks import append_scans, read_scans, work_dir
 from catalogmatch.streaming import history as SH
 
 AS_OF = "2024-01-31 00:00:00.5"
@@ -33,10 +33,22 @@ def h4_read_filters(spark, sf):
 
 def h5_allowed_counts(spark, sf):
     """How many cards pass the filters of each distinct question."""
+    return _passing(spark, sf, with_profile(frame(spark, sf, "catalog")))
+
+
+def _passing(spark, sf, cards):
     asked = frame(spark, sf, "questions").select("question").distinct().withColumn("filters", read_filters(F.col("question")))
-    cards = with_profile(frame(spark, sf, "catalog"))
     passes = allowed(F.col("filters"), F.col("category"), F.col("profile.sparkling"), F.col("profile.sweetness"))
-    return cards.join(F.broadcast(asked), passes).groupBy("question").agg(F.count("*").alias("n"))  # one row per phrase of the input
+    kinds = F.broadcast(asked.select("filters").distinct())  # the lexicon bounds the different filters
+    counts = cards.join(kinds, passes).groupBy(F.to_json("filters", {"ignoreNullFields": "false"}).alias("kind")).agg(F.count("*").alias("n"))
+    return asked.withColumn("kind", F.to_json("filters", {"ignoreNullFields": "false"})).join(counts, "kind").select("question", "n")
+
+
+def c2_carded(spark, sf):
+    """Cards of which every third has no profile: how many pass the filters of each question."""
+    cards = frame(spark, sf, "catalog")
+    profiles = with_profile(cards).where("pos % 3 <> 0").select("slug", "profile")
+    return _passing(spark, sf, R.carded(cards.select("slug", "pos", "category"), profiles))
 
 
 def _cards(spark, sf):
@@ -134,17 +146,13 @@ def _stream(spark, sf, name):
     return events.where(condition).selectExpr(*expressions)
 
 
-def _work(spark, tag):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/catalogmatch-streams"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _finished(spark, rows, tag):
     """All rows a stream emits over what is there now."""
-    path = _work(spark, tag)
+    path = work_dir(spark, tag)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = rows.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{path}/rows")).start().awaitTermination()
+    #: A batch that is processed again replaces what it wrote.
+    writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
@@ -172,18 +180,79 @@ def j6_stream_scans(spark, sf):
         F.col("id").alias("query_id"), "session", F.col("created_at").cast("timestamp").alias("created_at"), (F.col("id") % 9 == 0).alias("abstain"), shape.alias("candidates")
     )
     catalog = frame(spark, sf, "catalog").where("pos % 50 <> 3").select("slug")
-    path = _work(spark, "stream-scans")
+    path = work_dir(spark, "stream-scans")
     SH.stream_scans(arriving, catalog, f"{path}/log", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/log").select("id", "status", "slug", F.round("confidence", 6).alias("confidence"))
+    return read_scans(spark, f"{path}/log").select("id", "status", "slug", F.round("confidence", 6).alias("confidence"))
 
 
 def a13_append_scans(spark, sf):
-    """The scan log written in two appends and read back."""
-    path = _work(spark, "scan-log")
+    """The scan log written in two appends, one of them repeated, and read back."""
+    path = work_dir(spark, "scan-log")
     scans = _scans(spark, sf)
-    append_scans(scans.where("id % 2 = 0"), path)
+    append_scans(scans.where("id % 2 = 0"), path, "even")
     append_scans(scans.where("id % 2 = 1"), path)
-    return spark.read.parquet(path).groupBy("session", "status").agg(F.count("*").alias("n"))
+    append_scans(scans.where("id % 2 = 0"), path, "even")
+    return read_scans(spark, path).groupBy("session", "status").agg(F.count("*").alias("n"))
+
+
+def _requests(spark, sf):
+    """Customers who ask for a session's listing."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 60).alias("session"))
+
+
+def j2_session_listing(spark, sf):
+    found = H.session_listings(_scans(spark, sf), _requests(spark, sf), _as_of(), 100, 14)
+    return found.select("request_id", "id", "status", F.col("place").cast("int").alias("place"))
+
+
+def j4_isolation(spark, sf):
+    """Per request: the rows it was shown, and those of them that the log has under another session."""
+    shown = H.session_listings(_scans(spark, sf), _requests(spark, sf), _as_of(), 100, 14)
+    owner = _scans(spark, sf).select("id", F.col("session").alias("owner"))
+    return shown.join(owner, "id").groupBy("request_id").agg(F.count("*").alias("n"), F.count_if(F.col("owner") != F.col("session")).alias("foreign_rows"))
+
+
+def a1_catalog_scan(spark, sf):
+    """The catalog written as CSV with quotes and line breaks in its fields, and read back."""
+    path = work_dir(spark, "catalog-csv")
+    cards = frame(spark, sf, "catalog")
+    cards = cards.select("slug", F.concat(F.lit('"'), "name", F.lit('",\n'), "region").alias("name"), "winery", F.when(F.col("pos") % 5 != 0, F.col("category")).alias("category"))
+    cards.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return S.read_catalog(spark, path).select("slug", "name", "winery", "category", "color", "description")
+
+
+def a5_collected_files(spark, sf):
+    """Pages written as text files into folders, collected from the folder and from one inside it, each file once."""
+    path = work_dir(spark, "pages")
+    table(spark, sf, "pages").select((F.col("page_id") % 4).alias("part"), F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("part").text(path)
+    files = S.required_images(S.read_images(spark, path, f"{path}/part=1", suffixes=("txt",)))
+    return files.groupBy(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")).agg(F.sum("length").alias("bytes"))
+
+
+def a6_gallery(spark, sf):
+    """One file per slug, repeated slugs left out; only those in the preferred folder count."""
+    name = F.concat(F.lit("p-"), (F.col("p_partkey") % 900 + F.floor(F.col("p_partkey") / 1000) * 300).cast("string"), F.lit(".webp"))
+    folder = F.when(F.col("p_size") % 5 == 0, "s3://cards/other/").otherwise("s3://cards/refs/")
+    good, _ = S.gallery_files(table(spark, sf, "part").select(F.concat(folder, name).alias("path")))
+    return good.select("slug", "path")
+
+
+def a11_prediction_log(spark, sf):
+    """The prediction log written as JSON lines, read back and summed up."""
+    path = work_dir(spark, "prediction-log")
+    rows = frame(spark, sf, "predictions")
+    rows.select(F.col("query_id").cast("string").alias("query_id"), F.concat(F.lit("photos/"), "image_sha256").alias("image_path"), "image_sha256", "predicted_slug", "latency_ms").write.json(path)
+    read = S.read_predictions(spark, path)
+    return read.groupBy("image_path").agg(F.count("*").alias("n"), F.count("predicted_slug").alias("answered"), F.sum("latency_ms").alias("latency"), F.max("query_id").alias("last_query"))
+
+
+def b12_request_checks(spark, sf):
+    """Questions and predictions with the checks they fail: lengths, number and values of candidates, allowed values."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") % 7 != 6, F.concat("text", F.repeat(F.lit("?"), F.col("turn").cast("int") * 30))).alias("question"))
+    n = (F.col("conv_id") % 24 + 1).cast("int")
+    made = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.concat(F.lit("c-"), k.cast("string")).alias("slug"), (k * F.col("turn") / 100.0).cast("double").alias("confidence")))
+    checks = X.question_checks(F.col("question")) | X.prediction_checks(made) | X.value_checks(known_role=(F.col("role"), ("user", "assistant")))
+    return rows.select("conv_id", "turn", F.array_join(X.violations(**checks), ",").alias("violations"))
 
 
 QUERIES = {
@@ -191,6 +260,7 @@ QUERIES = {
     for f in (
         h4_read_filters, h5_allowed_counts, i2_shortlists, i3_prompts, g8_similar_items, h9_citations, i4_cited_items, d11_log_summary, d12_repeated_images, d13_truth_report, d13_threshold_sweep,
         e13_latest, b11_without_demo, j1_history, j3_cleared_history, j5_saved_items, j1_stream_history, j5_stream_saved, j6_stream_scans, a13_append_scans,
+        c2_carded, j2_session_listing, j4_isolation, a1_catalog_scan, a5_collected_files, a6_gallery, a11_prediction_log, b12_request_checks,
     )
 }
 
@@ -241,7 +311,23 @@ c AS (SELECT question_id, about_slug, CASE WHEN about_slug IS NOT NULL THEN list
 _PLACES = "SELECT session, id, CAST(row_number() OVER (PARTITION BY session ORDER BY created_at DESC, id DESC) AS INT) AS place FROM {0}"
 _HISTORY = f"WITH {cte('scans', 'clears')}, kept AS (SELECT * FROM scans WHERE created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {{0}} DAY){{1}}, p AS ({_PLACES.format('{2}')}) SELECT * FROM p WHERE place <= 100"
 _SAVED = f"WITH {cte('saves')}, t AS (SELECT \"user\", slug, count(*) AS n, max(ts) AS ts, arg_max(id, (ts, id)) AS id FROM saves GROUP BY \"user\", slug), k AS (SELECT * FROM t WHERE n % 2 = 1)"
+_LISTED = f"""WITH {cte('scans')}, kept AS (SELECT * FROM scans WHERE created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY session ORDER BY created_at DESC, id DESC) AS INT) AS place FROM kept),
+shown AS (SELECT c.c_custkey AS request_id, p.* FROM customer c JOIN p ON p.session = c.c_custkey % 60 AND p.place <= 100)"""
 ORACLES = {
+    "c2_carded": f"""WITH {cte('questions', 'catalog')}, {FILTERS}, q AS (SELECT DISTINCT question, fc, fs, fw, fn FROM filters),
+      cards AS (SELECT slug, category, CASE WHEN pos % 3 <> 0 THEN sparkling END AS sparkling, CASE WHEN pos % 3 <> 0 THEN sweetness END AS sweetness FROM catalog)
+      SELECT question, count(*) AS n FROM q JOIN cards c ON {PASSES} GROUP BY question""",
+    "j2_session_listing": f"{_LISTED} SELECT request_id, id, status, place FROM shown",
+    "j4_isolation": f"{_LISTED} SELECT request_id, count(*) AS n, CAST(0 AS BIGINT) AS foreign_rows FROM shown GROUP BY request_id",
+    "a1_catalog_scan": f"WITH {cte('catalog')} SELECT slug, '\"' || name || '\",' || chr(10) || region AS name, winery, CASE WHEN pos % 5 <> 0 THEN category ELSE '' END AS category, '' AS color, '' AS description FROM catalog",
+    "a5_collected_files": "SELECT page_id % 4 AS part, CAST(sum(strlen(coalesce(html, '')) + 1) AS BIGINT) AS bytes FROM pages GROUP BY page_id % 4",
+    "a6_gallery": """WITH f AS (SELECT concat('p-', CAST(p_partkey % 900 + (p_partkey // 1000) * 300 AS VARCHAR)) AS slug, p_size FROM part WHERE p_size % 5 <> 0)
+      SELECT slug, concat('s3://cards/refs/', slug, '.webp') AS path FROM f GROUP BY slug HAVING count(*) = 1""",
+    "a11_prediction_log": f"WITH {cte('predictions')} SELECT concat('photos/', image_sha256) AS image_path, count(*) AS n, count(predicted_slug) AS answered, CAST(sum(latency_ms) AS BIGINT) AS latency, max(CAST(query_id AS VARCHAR)) AS last_query FROM predictions GROUP BY image_sha256",
+    "b12_request_checks": """WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 7 <> 6 THEN text || repeat('?', turn * 30) END AS q, conv_id % 24 + 1 AS n FROM conversations)
+      SELECT conv_id, turn, concat_ws(',', CASE WHEN NOT coalesce(length(q) BETWEEN 2 AND 500, false) THEN 'question_length' END, CASE WHEN n > 20 THEN 'candidate_count' END,
+      CASE WHEN n * turn > 100 THEN 'candidates' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'known_role' END) AS violations FROM r""",
     "h4_read_filters": f"WITH {cte('questions')}, {FILTERS} SELECT question_id, fc AS category, fs AS sparkling, array_to_string(list_sort(fw), ',') AS sweetness, fn AS not_sweet FROM filters",
     "h5_allowed_counts": f"WITH {cte('questions', 'catalog')}, {FILTERS}, q AS (SELECT DISTINCT question, fc, fs, fw, fn FROM filters) SELECT question, count(*) AS n FROM q JOIN catalog c ON {PASSES} GROUP BY question",
     "i2_shortlists": f"{_shortlists(_ABOUT)} {_SHORT}",

@@ -10,7 +10,9 @@ from catalogmatch.functions import vectors as V
 from catalogmatch.operators import metrics as M
 from catalogmatch.operators import mining as N
 from catalogmatch.operators import resolve as R
-from catalogmatch.plans.inputs import MINING, RAW_RESIDUAL, branch_vectors, positives, table, themselves
+from catalogmatch.plans.catalog_queries import GRAMS_CTE
+from catalogmatch.plans.inputs import MINING, RAW_RESIDUAL, branch_vectors, labelled, table, themselves
+from catalogmatch.sources.sinks import kept_table
 
 
 def _sides(spark, sf):
@@ -19,7 +21,7 @@ def _sides(spark, sf):
 
 def _mined(spark, sf):
     q, g = _sides(spark, sf)
-    rows = N.mine_candidates(q, g, positives(spark, sf), exclude=themselves(spark, sf))
+    rows = N.marked_by_label(N.candidate_pool(q, g, exclude=themselves(spark, sf)), *labelled(spark, sf))
     return N.with_logits(rows.withColumn("raw_residual", F.expr(RAW_RESIDUAL)))
 
 
@@ -35,7 +37,7 @@ def e4_branch_top(spark, sf):
 
 def g2_similarities(spark, sf):
     q, g = _sides(spark, sf)
-    return N.similarities(q, g, themselves(spark, sf)).groupBy("query_id", "branch").agg(F.count("*").alias("n"), F.max("sim").alias("most"), F.min("sim").alias("least"))
+    return N.similarity_ranges(q, g, themselves(spark, sf))
 
 
 def f1_pool_sizes(spark, sf):
@@ -84,7 +86,7 @@ def g9_masked(spark, sf):
 
 def _views(spark, sf):
     """Two views per query: the candidates as they are, and every second one with a changed score."""
-    one = _mined(spark, sf).select("query_id", "slug", "score", F.lit(1).alias("view"))
+    one = kept_table(_mined(spark, sf).select("query_id", "slug", "score"), "mined").withColumn("view", F.lit(1))
     two = one.where("slug % 2 = 0").select("query_id", "slug", F.when(F.col("slug") % 4 == 0, F.col("score")).otherwise(F.round(F.col("score") + 0.25, 6)).alias("score"), F.lit(2).alias("view"))
     return one.unionByName(two)
 
@@ -133,13 +135,16 @@ def i9_ranking_report(spark, sf):
 
 
 def i8_feature_table(spark, sf):
-    """Query and gallery vectors with an n-gram branch where there is text, mined over three branches."""
+    """Query and gallery vectors with an n-gram branch where there is text, mined over three branches.
+
+    The text on the bottle of vector v is the benchmark item whose id is v; vectors beyond the items have none.
+    """
     q, g = _sides(spark, sf)
-    entries = T.densified(T.ngram_vectors(table(spark, sf, "benchmark"), "item_id", "text"), "item_id")
-    text = entries.select(F.col("item_id").alias("slug"), F.lit("ocr").alias("branch"), "vec")
-    q = q.unionByName(text.where("slug % 20 = 0").withColumnRenamed("slug", "query_id"))
-    rows = N.mine_candidates(q, g.unionByName(text), positives(spark, sf), exclude=themselves(spark, sf))
-    return rows.select("query_id", "slug", "rank", "is_positive", F.col("sims")["ocr"].alias("sim_ocr"), F.col("key"))
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"), "text").join(table(spark, sf, "embeddings").select("vec_id"), "vec_id", "left_semi")
+    read = kept_table(T.densified(T.ngram_vectors(texts, "vec_id", "text"), "vec_id"), "ocr-vectors").select(F.col("vec_id").alias("slug"), F.lit("ocr").alias("branch"), "vec")
+    q = q.unionByName(read.where("slug % 20 = 0").withColumnRenamed("slug", "query_id"))
+    rows = N.marked_by_label(N.candidate_pool(q, g.unionByName(read), exclude=themselves(spark, sf)), *labelled(spark, sf))
+    return rows.select("query_id", "slug", F.col("rank").cast("int").alias("rank"), "is_positive", F.round(F.col("sims")["ocr"], 5).alias("sim_ocr"), F.round("key", 5).alias("key"))
 
 
 QUERIES = {
@@ -162,7 +167,16 @@ status AS (
   FROM embeddings q LEFT JOIN tops t ON t.query_id = q.vec_id WHERE q.vec_id % 20 = 0
 ), resolved AS (SELECT query_id, status, CASE WHEN status = 'matched' THEN top END AS slug, confidence, margin, n_candidates, CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in R.MESSAGES.items())} END AS message FROM status)"""
 _NORM = "CAST(list_sum(list_transform({0}, lambda x: x * x)) AS DOUBLE)"
+FEATURES = f"""WITH {MINING}, {GRAMS_CTE}, h AS (SELECT id, md5(gram) AS m FROM grams WHERE id IN (SELECT vec_id FROM embeddings)),
+e AS (SELECT id, CAST(CAST('0x' || substr(m, 1, 15) AS BIGINT) % 512 AS INT) AS bucket, CASE WHEN CAST('0x' || substr(m, 16, 1) AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM h),
+s AS (SELECT id, bucket, CAST(sum(sign) AS DOUBLE) AS s FROM e GROUP BY id, bucket HAVING sum(sign) <> 0),
+v AS (SELECT id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS v FROM s), read AS (SELECT DISTINCT id FROM v),
+ocr AS (SELECT q.id AS query_id, g.id AS slug, round(coalesce(sum(x.v * y.v), 0), 6) AS sim_ocr FROM read q JOIN read g ON q.id % 20 = 0 AND q.id <> g.id LEFT JOIN v x ON x.id = q.id LEFT JOIN v y ON y.id = g.id AND y.bucket = x.bucket GROUP BY q.id, g.id),
+all3 AS (SELECT r.*, o.sim_ocr, CASE WHEN o.slug IS NOT NULL THEN row_number() OVER (PARTITION BY r.query_id, o.slug IS NOT NULL ORDER BY o.sim_ocr DESC, r.slug) END AS ro FROM ranks r LEFT JOIN ocr o ON o.query_id = r.query_id AND o.slug = r.slug),
+pool3 AS (SELECT *, greatest(sim_label, sim_bottle, coalesce(sim_ocr, -1)) AS best FROM all3 WHERE rl <= 12 OR rb <= 12 OR ro <= 12),
+out3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best DESC, slug) AS INT) AS place FROM pool3)"""
 ORACLES = {
+    "i8_feature_table": f"{FEATURES} SELECT query_id, slug, place AS rank, is_positive, round(sim_ocr, 5) AS sim_ocr, round(best, 5) AS key FROM out3 WHERE place <= 36",
     "g1_normalized": f"WITH {MINING} SELECT vec_id, 'label' AS branch, round({_NORM.format('l')}, 6) AS norm, round(l[1], 6) AS first FROM vecs UNION ALL SELECT vec_id, 'bottle', round({_NORM.format('b')}, 6), round(b[1], 6) FROM vecs",
     "e4_branch_top": f"""WITH {MINING} SELECT query_id, 'label' AS branch, slug, sim_label AS sim, CAST(rl AS INT) AS branch_rank FROM ranks WHERE rl <= 12
       UNION ALL SELECT query_id, 'bottle', slug, sim_bottle, CAST(rb AS INT) FROM ranks WHERE rb <= 12""",

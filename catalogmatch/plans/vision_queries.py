@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from catalogmatch.functions import geometry as G
 from catalogmatch.operators import detections as D
 from catalogmatch.plans.inputs import boxed, cte, frame, image_sizes, table
+from catalogmatch.sources.sinks import kept_table
 
 
 def _inputs(spark, sf):
-    found = boxed(frame(spark, sf, "detections"))
+    found = boxed(kept_table(frame(spark, sf, "detections"), "detections"))
     return image_sizes(found), D.confident(found)
 
 

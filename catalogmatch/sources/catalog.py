@@ -78,10 +78,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION).json(path)
 
 
-def read_images(spark: SparkSession, *paths: str) -> DataFrame:
+def read_images(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """(path, modificationTime, length, content) of image files under the paths, each file once; suffixes in any case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return files.where(F.lower("path").rlike(rf"\.({'|'.join(IMAGE_SUFFIXES)})$")).dropDuplicates(["path"])
+    return files.where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")).dropDuplicates(["path"])
 
 
 def required_images(images: DataFrame) -> DataFrame:
@@ -97,4 +97,4 @@ def gallery_files(images: DataFrame, preferred: str = "refs") -> tuple[DataFrame
     any_inside = F.broadcast(marked.agg(F.coalesce(F.bool_or("inside"), F.lit(False)).alias("any_inside")))  # one row
     rows = marked.join(any_inside, F.col("inside") | ~F.col("any_inside")).select("slug", "path")
     repeated = rows.groupBy("slug").count().where("count > 1").select("slug", "count")
-    return rows.join(repeated, "slug", "left_anti").orderBy("slug"), repeated
+    return rows.join(repeated, "slug", "left_anti"), repeated

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,17 @@ def worklist(current: DataFrame, stored: DataFrame, key: str = "slug", hash_col:
     return redo.unionByName(gone)
 
 
-def corpus_signature(texts: DataFrame, key: str = "slug", text: str = "text", parts: int | None = None) -> DataFrame:
+def corpus_signature(texts: DataFrame, key: str = "slug", text: str = "text", parts: int | None = 64) -> DataFrame:
     """(signature): one SHA-256 over all texts in key order.
 
-    Without ``parts`` the texts are joined by line breaks in one place, which suits a catalog-sized table. With ``parts``
-    the signature is taken over the digests of that many hash-dealt parts, for corpora of any size.
+    The signature is taken over the digests of ``parts`` hash-dealt parts, each over the digests of its texts. With None the
+    texts themselves are joined by line breaks in one place, which only suits a catalog-sized table.
     """
     joined = lambda rows, sep: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), sep).cast("binary"), 256)
     if parts is None:
         return texts.agg(joined(F.struct(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")), "\n").alias("signature"))
-    rows = texts.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), F.struct(F.col(key).alias("k"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("t")).alias("x"))
+    part = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts)).alias("part")
+    rows = texts.select(part, F.struct(F.col(key).alias("k"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("t")).alias("x"))
     digests = rows.groupBy("part").agg(joined(F.col("x"), "\n").alias("d"))
     return digests.agg(joined(F.struct(F.col("part").alias("k"), F.col("d").alias("t")), "\n").alias("signature"))
 
@@ -71,6 +74,22 @@ def candidate_checks(slug: Column, confidence: Column) -> dict[str, Column]:
     return {"slug_length": F.length(slug).between(1, 300), "confidence_range": confidence.between(0, 1) & ~F.isnan(confidence)}
 
 
+def question_checks(question: Column, least: int = 2, most: int = 500) -> dict[str, Column]:
+    """Checks of a question: between ``least`` and ``most`` characters."""
+    return {"question_length": F.length(question).between(least, most)}
+
+
+def prediction_checks(candidates: Column, most: int = 20) -> dict[str, Column]:
+    """Checks of a prediction: at most ``most`` candidates (struct<slug,confidence>), each of which passes its own checks."""
+    good = F.forall(candidates, lambda c: F.coalesce(functools.reduce(lambda a, b: a & b, candidate_checks(c["slug"], c["confidence"]).values()), F.lit(False)))
+    return {"candidate_count": F.size(candidates) <= most, "candidates": good}
+
+
+def value_checks(**values: tuple[Column, tuple[str, ...]]) -> dict[str, Column]:
+    """Checks that a column holds one of the values that are allowed for it."""
+    return {name: column.isin(*known) for name, (column, known) in values.items()}
+
+
 def valid_session(session: Column) -> Column:
     """32 lower-case hexadecimal digits."""
     return F.coalesce(session.rlike("^[a-f0-9]{32}$"), F.lit(False))

@@ -1,14 +1,38 @@
-"""Writers of ranked results and of the scan log."""
+"""Writers of ranked results, of the scan log and of tables that several steps read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def nested_results(ranked: DataFrame, key: str = "query_id") -> DataFrame:
-    """One row per query with its candidates (rank, slug, score) in rank order."""
-    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "slug", "score"))).alias("candidates"))
+MOST_CANDIDATES = 20
+
+
+def work_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder name in ``spark.checkpoint.dir``, which driver and executors share; a temporary one where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{tag}-{uuid4().hex}"
+
+
+def kept_table(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that several steps read it instead of computing it again."""
+    path = work_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def nested_results(ranked: DataFrame, key: str = "query_id", most: int = MOST_CANDIDATES) -> DataFrame:
+    """One row per query with its ``most`` first candidates (rank, slug, score) in rank order."""
+    return ranked.where(F.col("rank") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "slug", "score"))).alias("candidates"))
 
 
 def write_results(ranked: DataFrame, path: str, key: str = "query_id") -> None:
@@ -16,6 +40,12 @@ def write_results(ranked: DataFrame, path: str, key: str = "query_id") -> None:
     nested_results(ranked, key).write.json(path)
 
 
-def append_scans(scans: DataFrame, path: str) -> None:
-    """Appends to the scan log, partitioned by day."""
-    scans.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_scans(scans: DataFrame, path: str, batch: int | str | None = None) -> None:
+    """Appends to the scan log, partitioned by batch and day. A batch that is written again replaces what it wrote before; without a name it is new."""
+    to = f"{path.rstrip('/')}/batch={uuid4().hex if batch is None else batch}"
+    scans.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(to)
+
+
+def read_scans(spark: SparkSession, path: str) -> DataFrame:
+    """The scan log, without the columns of its folders."""
+    return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/batch=*").drop("batch", "day")

@@ -68,42 +68,57 @@ def stream_history(scans: DataFrame, n: int = KEEP_ROWS, days: int = KEEP_DAYS)
 
 
 class SavedToggle(StatefulProcessor):
-    """Value state per (user, slug): whether the item is saved, and since when."""
+    """State per (user, slug): whether the item is saved, since when, and the last events counted.
+
+    An event that is delivered again is known by its id and not counted. With ``ttl_ms`` state that long untouched goes.
+    """
+
+    def __init__(self, remember: int = 1000, ttl_ms: int | None = None):
+        self.remember, self.ttl_ms = remember, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("toggle", "saved boolean, ts timestamp")
+        self.state = handle.getValueState("toggle", "saved boolean, ts timestamp", self.ttl_ms)
+        self.counted = handle.getListState("counted", "id long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         saved, last = self.state.get() if self.state.exists() else (False, None)
-        times = pd.concat([x["ts"] for x in rows])
-        saved = bool(saved) ^ bool(len(times) % 2)
-        last = max([pd.Timestamp(times.max()), *([pd.Timestamp(last)] if last is not None else [])])
-        self.state.update((saved, last.to_pydatetime()))
-        yield pd.DataFrame({"user": [key[0]], "slug": [key[1]], "saved": [saved], "ts": [last]})
+        known = [int(x[0]) for x in self.counted.get()] if self.counted.exists() else []
+        events = pd.concat([x[["id", "ts"]] for x in rows]).drop_duplicates("id")
+        events = events[~events["id"].isin(known)]
+        if len(events):
+            saved = bool(saved) ^ bool(len(events) % 2)
+            last = max([pd.Timestamp(events["ts"].max()), *([pd.Timestamp(last)] if last is not None else [])])
+            self.state.update((saved, last.to_pydatetime()))
+            self.counted.put([(int(x),) for x in [*known, *events.sort_values("ts")["id"]][-self.remember :]])
+        yield pd.DataFrame({"user": [key[0]], "slug": [key[1]], "saved": [bool(saved)], "ts": [last]})
 
     def close(self) -> None:
         pass
 
 
-def stream_saved(events: DataFrame) -> DataFrame:
-    """(user, slug, saved, ts): the state of every item a batch toggled; the latest row of a key is current."""
+def stream_saved(events: DataFrame, remember: int = 1000, ttl_ms: int | None = None) -> DataFrame:
+    """(user, slug, saved, ts): the state of every item a batch toggled; the latest row of a key is current.
+
+    ``events`` (user, slug, ts, id). The last ``remember`` event ids of an item are kept, so that redelivered events do not toggle it again.
+    """
     kinds = {c: events.schema[c].dataType.simpleString() for c in ("user", "slug")}
-    return events.select("user", "slug", "ts").groupBy("user", "slug").transformWithStateInPandas(
-        SavedToggle(), f"user {kinds['user']}, slug {kinds['slug']}, saved boolean, ts timestamp", "Update", "None"
+    return events.select("user", "slug", "ts", "id").groupBy("user", "slug").transformWithStateInPandas(
+        SavedToggle(remember, ttl_ms), f"user {kinds['user']}, slug {kinds['slug']}, saved boolean, ts timestamp", "Update", "ProcessingTime" if ttl_ms else "None"
     )
 
 
 def stream_scans(predictions: DataFrame, catalog: DataFrame, path: str, checkpoint: str, sure: float = 0.45, suggest: float | None = 0.20, least_margin: float = 0.0) -> DataStreamWriter:
     """Resolves arriving predictions (query_id, session, created_at, abstain, candidates array<struct<slug,confidence>>) and appends them to the scan log.
 
-    Each batch goes through the batch operator; the catalog is a static side.
+    Each batch goes through the batch operator; the catalog is a static side. A batch that is processed again after a failure
+    replaces what it wrote.
     """
     from catalogmatch.operators.resolve import resolve
     from catalogmatch.sources.sinks import append_scans
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         listed = batch.select("query_id", F.posexplode("candidates").alias("at", "c")).select("query_id", (F.col("at") + 1).alias("rank"), "c.slug", "c.confidence")
         found = resolve(batch, listed, catalog, sure, suggest, least_margin)
-        append_scans(batch.select(F.col("query_id").alias("id"), "session", "created_at").join(found.withColumnRenamed("query_id", "id"), "id"), path)
+        append_scans(batch.select(F.col("query_id").alias("id"), "session", "created_at").join(found.withColumnRenamed("query_id", "id"), "id"), path, number)
 
     return predictions.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -1,7 +1,11 @@
 """Every registered query of the library against its SQL twin at the smallest size."""
 
 import glob
+import hashlib
 import os
+import re
+import unicodedata
+from collections import Counter
 
 import duckdb
 import pytest
@@ -34,7 +38,33 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(ORACLES) == {"i8_feature_table"}
+    assert set(QUERIES) - set(ORACLES) == {"h3_blake_vectors", "h1_normalize_exactly"}
+
+
+def plain_normalized(value):
+    from catalogmatch.functions.text import LETTERS, SPELLED
+
+    low = unicodedata.normalize("NFKC", value).lower()
+    spelled = "".join(SPELLED.get(c) or dict(zip(*LETTERS)).get(c, c) for c in low)
+    return re.sub("[^a-z0-9]+", " ", spelled).strip()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_exact_normalisation_and_blake_vectors(spark):
+    texts = {r.conv_id * 1000 + r.turn: f"{r.text} ﬁn Ⅻ ９ ½ {r.role}" for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = QUERIES["h1_normalize_exactly"](spark, SF).collect()
+    assert len(got) == len(texts) and all(r.text == plain_normalized(texts[r.id]) for r in got)
+    want = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        text, sums = plain_normalized(r.text), Counter()
+        padded = f" {text} "
+        for gram in (padded[i : i + n] for n in range(2, 6) for i in range(len(padded) - n + 1)) if text else ():
+            number = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+            sums[number % 512] += 1 if number >> 63 else -1
+        norm = sum(v * v for v in sums.values()) ** 0.5
+        want |= {(r.item_id, b): round(v / norm, 6) for b, v in sums.items() if v}
+    found = {(r.item_id, r.bucket): r.value for r in QUERIES["h3_blake_vectors"](spark, SF).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
