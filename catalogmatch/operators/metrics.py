@@ -65,7 +65,10 @@ def ranking_report(
 
 
 def log_summary(predictions: DataFrame, exact: bool = True) -> DataFrame:
-    """(n, answered, abstained, images, latency min, mean, p50, p90, p95, p99, max) of a prediction log."""
+    """(n, answered, abstained, images, latency min, mean, p50, p90, p95, p99, max) of a prediction log.
+
+    Exact percentiles keep one count per distinct latency, of which whole milliseconds have few; other logs take ``exact=False``.
+    """
     at = (lambda p: F.percentile("latency_ms", F.lit(p))) if exact else (lambda p: F.percentile_approx("latency_ms", p, 10_000).cast("double"))
     return predictions.agg(
         F.count("*").alias("n"), F.count("predicted_slug").alias("answered"), F.count_if(F.col("predicted_slug").isNull()).alias("abstained"), F.count_distinct("image_sha256").alias("images"),

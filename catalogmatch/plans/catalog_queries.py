@@ -96,10 +96,10 @@ def b4_lookup(spark, sf):
 
 
 def _slugs_of_lines(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity > 20").select(F.concat(F.lit("p-"), (F.col("l_partkey") * 3 - 50).cast("string")).alias("slug"))
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("p-"), (F.col("l_partkey") * 3 - 50).cast("string")).alias("slug"))
 
 
-LINES_CTE = "lines AS (SELECT concat('p-', CAST(l_partkey * 3 - 50 AS VARCHAR)) AS slug FROM lineitem WHERE l_quantity > 20)"
+LINES_CTE = "lines AS (SELECT concat('p-', CAST(l_partkey * 3 - 50 AS VARCHAR)) AS slug FROM lineitem)"
 
 
 def b5_missing_photos(spark, sf):

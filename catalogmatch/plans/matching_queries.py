@@ -144,7 +144,7 @@ def i8_feature_table(spark, sf):
     read = kept_table(T.densified(T.ngram_vectors(texts, "vec_id", "text"), "vec_id"), "ocr-vectors").select(F.col("vec_id").alias("slug"), F.lit("ocr").alias("branch"), "vec")
     q = q.unionByName(read.where("slug % 20 = 0").withColumnRenamed("slug", "query_id"))
     rows = N.marked_by_label(N.candidate_pool(q, g.unionByName(read), exclude=themselves(spark, sf)), *labelled(spark, sf))
-    return rows.select("query_id", "slug", F.col("rank").cast("int").alias("rank"), "is_positive", F.round(F.col("sims")["ocr"], 5).alias("sim_ocr"), F.round("key", 5).alias("key"))
+    return rows.select("query_id", "slug", F.col("rank").cast("int").alias("rank"), "is_positive", F.col("sims")["ocr"].alias("sim_ocr"), "key")
 
 
 QUERIES = {
@@ -176,7 +176,7 @@ all3 AS (SELECT r.*, o.sim_ocr, CASE WHEN o.slug IS NOT NULL THEN row_number() O
 pool3 AS (SELECT *, greatest(sim_label, sim_bottle, coalesce(sim_ocr, -1)) AS best FROM all3 WHERE rl <= 12 OR rb <= 12 OR ro <= 12),
 out3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best DESC, slug) AS INT) AS place FROM pool3)"""
 ORACLES = {
-    "i8_feature_table": f"{FEATURES} SELECT query_id, slug, place AS rank, is_positive, round(sim_ocr, 5) AS sim_ocr, round(best, 5) AS key FROM out3 WHERE place <= 36",
+    "i8_feature_table": f"{FEATURES} SELECT query_id, slug, place AS rank, is_positive, sim_ocr, best AS key FROM out3 WHERE place <= 36",
     "g1_normalized": f"WITH {MINING} SELECT vec_id, 'label' AS branch, round({_NORM.format('l')}, 6) AS norm, round(l[1], 6) AS first FROM vecs UNION ALL SELECT vec_id, 'bottle', round({_NORM.format('b')}, 6), round(b[1], 6) FROM vecs",
     "e4_branch_top": f"""WITH {MINING} SELECT query_id, 'label' AS branch, slug, sim_label AS sim, CAST(rl AS INT) AS branch_rank FROM ranks WHERE rl <= 12
       UNION ALL SELECT query_id, 'bottle', slug, sim_bottle, CAST(rb AS INT) FROM ranks WHERE rb <= 12""",
