@@ -20,6 +20,38 @@ def test_stages_take_special_cases(spark, odd, none, place):
         assert out.count() <= docs.count()
 
 
+CLASHES = "id key n k row gone gone_id gone_sha text_sha256 keep_id group_size piece hash words ids size shard slot grp part units tails label score stats head node component_id bands kind family line".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(1, "one two three four five six. token=abcdefgh12"), (1, "one two three four five six. token=abcdefgh12"), (2, "Released under the MIT License."), (3, None), (None, ""), (4, "one  two three four five six. token=abcdefgh12")]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *(f"{k} AS {name}" for k, name in enumerate(CLASHES)))
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_pass_clashing_columns_through(spark, clashing, place):
+    out = corpus_pipeline.STAGES[place][1](spark, clashing, SF)
+    if place < 4:
+        assert out.columns == clashing.columns
+        assert all([r[name] for name in CLASHES] == list(range(len(CLASHES))) for r in out.collect())
+    assert 0 < out.count() <= clashing.count()
+
+
+def test_operators_take_clashing_columns(spark, clashing):
+    from catalogmatch.llm import decontaminate, exact, licenses, lm, minhash, secrets, sharding, toxicity
+
+    n = clashing.count()
+    labels = clashing.selectExpr("doc_id", "cast(doc_id = 2 AS int) AS toxic")
+    counts = (
+        exact.exact_groups(clashing).count(), minhash.near_groups(clashing).count(), sharding.shard(clashing).count(), secrets.secret_report(clashing).count(),
+        licenses.license_report(clashing).count(), lm.score_documents(clashing, n_words=lm.WIDTH).count(), toxicity.fit_toxicity(clashing, labels).score(clashing).count(),
+    )
+    assert counts == (n,) * 7
+    bench = clashing.where("doc_id = 1").selectExpr("doc_id AS item_id", "text", "1 AS id", "2 AS hash")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(clashing, bench).collect()} == {(1, 1), (4, 1)}
+
+
 def test_run_follows_the_operators(spark):
     from catalogmatch.llm.decontaminate import leaks
     from catalogmatch.llm.exact import exact_groups
