@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalogmatch.functions import text as T
 from catalogmatch.operators import catalog as C
 from catalogmatch.operators import pairing as P
+from catalogmatch.operators import retrieval as R
 from catalogmatch.plans.inputs import cte, frame, table, with_profile
 from catalogmatch.sources import catalog as S
 from catalogmatch.sources import files as X
@@ -152,6 +153,18 @@ def f4_answers_or_rules(spark, sf):
     return P.answers_or_rules(answers, rules)
 
 
+def f4_model_pairings(spark, sf):
+    """Every third request is answered by a model that cites cards of the request's shortlist; the rules answer the others."""
+    requests, cards = frame(spark, sf, "requests"), frame(spark, sf, "catalog")
+    rules = P.recommend(cards, requests)
+    answers = requests.where("request_id % 3 = 0").select("request_id", F.concat(F.lit("Берите ["), (F.col("request_id") % 4).cast("string"), F.lit("] и [2].")).alias("answer"))
+    asked = answers.select(F.col("request_id").alias("question_id"), "answer", F.lit(None).cast("string").alias("about_slug"))
+    shortlist = rules.where("slug IS NOT NULL").select(F.col("request_id").alias("question_id"), F.col("place").alias("position"), "slug")
+    cited = R.cited_items(asked, shortlist).select(F.col("question_id").alias("request_id"), "place", "slug")
+    found = P.answers_or_rules(P.answered_pairings(answers, cited, P.planned(requests)), rules.drop("note"))
+    return found.withColumn("place", F.col("place").cast("int"))
+
+
 def h11_pairing_question(spark, sf):
     return P.pairing_question(frame(spark, sf, "requests"))
 
@@ -242,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a2_catalog_checks, a3_urls, a4_profiles, a8_manifest, a9_worklist, a10_signature, a12_results, a14_image_gate, b2_token_search, b3_paging, b4_lookup, b5_missing_photos,
-        b6_not_in_catalog, b7_one_sided, f2_key_difference, b10_splits, b12_violations, h21_sessions, d1_facets, e1_featured, i1_pairing, f4_answers_or_rules, h11_pairing_question,
+        b6_not_in_catalog, b7_one_sided, f2_key_difference, b10_splits, b12_violations, h21_sessions, d1_facets, e1_featured, i1_pairing, f4_answers_or_rules, f4_model_pairings, h11_pairing_question,
         h6_card_text, h7_shortlist_line, h1_normalize, h2_ngrams, h3_ngram_vectors, h3_blake_vectors, h1_normalize_exactly,
     )
 }
@@ -289,6 +302,14 @@ ORACLES = {
     "i1_pairing": f"WITH {cte('catalog', 'requests')}, {RULES_CTE} SELECT * FROM recommended",
     "f4_answers_or_rules": f"""WITH {cte('catalog', 'requests')}, {RULES_CTE} SELECT request_id, 1 AS place, 'p-1' AS slug, 'llm' AS method FROM requests WHERE request_id % 3 = 0
       UNION ALL SELECT request_id, place, slug, method FROM recommended WHERE request_id % 3 <> 0""",
+    "f4_model_pairings": f"""WITH {cte('catalog', 'requests')}, {RULES_CTE},
+      a AS (SELECT request_id, 'Берите [' || CAST(request_id % 4 AS VARCHAR) || '] и [2].' AS answer, CASE WHEN request_id % 4 = 2 THEN [2] ELSE [request_id % 4, 2] END AS said FROM requests WHERE request_id % 3 = 0),
+      z AS (SELECT request_id, count(slug) AS n FROM recommended GROUP BY request_id),
+      i AS (SELECT a.*, list_filter(said, lambda x: x >= 1 AND x <= z.n) AS inside FROM a JOIN z USING (request_id)),
+      u AS (SELECT request_id, unnest(CASE WHEN len(inside) > 0 THEN inside ELSE [1] END) AS position, generate_subscripts(CASE WHEN len(inside) > 0 THEN inside ELSE [1] END, 1) AS place FROM i),
+      c AS (SELECT u.request_id, u.place, r.slug FROM u JOIN recommended r ON r.request_id = u.request_id AND r.place = u.position AND r.slug IS NOT NULL)
+      SELECT a.request_id, CAST(c.place AS INT) AS place, c.slug, p.title, a.answer AS explanation, p.temperature, 'model' AS method FROM a JOIN plan p ON p.request_id = a.request_id LEFT JOIN c ON c.request_id = a.request_id
+      UNION ALL SELECT request_id, place, slug, title, explanation, temperature, method FROM recommended WHERE request_id % 3 <> 0""",
     "h11_pairing_question": f"""WITH {cte("requests")}, prefs AS (SELECT * FROM {_values(P.PREFERENCES, 'preference, wanted, adjective, wanted_text')}), dishes AS (SELECT * FROM {_values(P.DISH_WORDS, 'dish, words')})
       SELECT r.request_id, 'Подбери ' || coalesce(p.adjective || ' ', '') || 'вино к ' || d.words || '.' AS question FROM requests r JOIN dishes d ON r.dish = d.dish LEFT JOIN prefs p ON r.preference = p.preference""",
     "h6_card_text": f"WITH {cte('catalog')} SELECT slug, {CARD_SQL} AS text FROM catalog",
