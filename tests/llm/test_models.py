@@ -112,6 +112,25 @@ def test_partition_sums_equal_one_sum(spark):
     assert np.allclose(gram, z.T @ z) and np.allclose(right, z.T @ y)
 
 
+def test_quality_equals_a_plain_fit(spark):
+    docs, labels = planted(spark, lambda t: t.upper().replace(" ", "!! ### "))
+    model = quality.fit_quality(docs, labels, n_features=24)
+    part = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("part")
+    rows = docs.join(labels, "doc_id").where(~is_held_out(F.col("doc_id"))).select("text", "quality", part).collect()
+    stats, y, of = np.array([quality.text_statistics(r.text) for r in rows]), np.array([r.quality for r in rows], float), np.array([r.part for r in rows])
+    made = np.random.default_rng(7)
+    waves, phases = made.normal(0, 1 / 4.0, (quality.N_STATS, 24)), made.uniform(0, 2 * np.pi, 24)
+    spread = stats.std(axis=0)
+    scaled = np.clip((stats - stats.mean(axis=0)) / np.where(spread > 1e-9, spread, 1), -8, 8)
+    z = np.hstack([np.sqrt(2 / 24) * np.cos(scaled @ waves + phases), np.ones((len(y), 1))])
+    fit = of > 0
+    weights = np.linalg.solve(z[fit].T @ z[fit] + 1e-3 * fit.sum() * np.eye(25), z[fit].T @ y[fit])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    steps = quality.isotonic(z[~fit] @ weights, y[~fit])
+    plain = np.clip(np.interp(z @ weights, *steps), 0, 1)
+    assert np.allclose(model.score_texts([r.text for r in rows]), plain, atol=1e-4)
+
+
 def test_labels_that_contradict_or_are_held_out_are_left_out(spark):
     rows = [(k, 1) for k in range(40)] + [(1, 0), (2, 1), (None, 1), (3, None), (4, 7)]
     kept = {r.doc_id for r in clean_labels(spark.createDataFrame(rows, "doc_id long, toxic int"), "toxic").collect()}
