@@ -26,6 +26,8 @@ from catalogmatch.llm.common import digest, labelled_sample, map_batches, scored
 SIZES = (3, 4, 5)
 BITS = 21
 BLOCK = 1 << 20
+#: Rows whose features a worker holds at a time.
+ROWS = 128
 
 
 def gram_buckets(text: str, keep: np.ndarray | None = None) -> np.ndarray:
@@ -133,7 +135,7 @@ def fit_toxicity(
         buckets, ratios = sent.value
         keep = np.zeros(1 << BITS, bool)
         keep[buckets] = True
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             held = [np.searchsorted(buckets, gram_buckets(x, keep)).astype(np.int32) for x in batch.column("text").to_pylist()]
             n = len(held)
             parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(buckets), np.int32)), pa.array(held, pa.list_(pa.int32())), pa.array([ratios[x] for x in held], pa.list_(pa.float64()))]
