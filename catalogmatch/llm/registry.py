@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from catalogmatch.llm import bpe, decontaminate, exact, licenses, lm, minhash, quality, secrets, sharding, toxicity
+from catalogmatch.llm import bpe, decontaminate, exact, licenses, lm, minhash, pieces, quality, ranking, secrets, sharding, toxicity, variants
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,5 +13,8 @@ QUERIES: dict = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_ranked_search": ranking.op11_ranked_search,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
-ORACLES: dict = {"op2_near_dedup": minhash.OP2_SQL, "op5_exact_dedup": exact.OP5_SQL}
+ORACLES: dict = {"op2_near_dedup": minhash.OP2_SQL, "op5_exact_dedup": exact.OP5_SQL, "op11_ranked_search": ranking.OP11_SQL}
