@@ -14,7 +14,7 @@ from catalogmatch.plans.catalog_queries import LINE_SQL
 from catalogmatch.plans.inputs import INPUTS, cte, frame, table, with_profile
 from catalogmatch.sources import catalog as S
 from catalogmatch.sources import files as X
-from catalogmatch.sources.sinks import append_scans, read_scans, work_dir
+from catalogmatch.sources.sinks import append_scans, compact_scans, read_scans, work_dir
 from catalogmatch.streaming import history as SH
 
 AS_OF = "2024-01-31 00:00:00.5"
@@ -172,19 +172,50 @@ def j5_stream_saved(spark, sf):
     return current.where("saved").select("user", "slug")
 
 
-def j6_stream_scans(spark, sf):
-    """Predictions that arrive as a stream, resolved and appended to the scan log, then read back."""
+def _predicted(spark, sf):
+    """Predictions that arrive as a stream."""
     shape = F.array(F.struct(F.concat(F.lit("p-"), (F.col("id") % 50).cast("string")).alias("slug"), ((F.col("id") * 7 % 100) / 100.0).cast("double").alias("confidence")),
                     F.struct(F.concat(F.lit("p-"), (F.col("id") % 30).cast("string")).alias("slug"), ((F.col("id") * 7 % 100) / 300.0).cast("double").alias("confidence")))
-    arriving = _stream(spark, sf, "scans").select(
+    return _stream(spark, sf, "scans").select(
         F.col("id").alias("query_id"), "session", F.col("created_at").cast("timestamp").alias("created_at"), (F.col("id") % 9 == 0).alias("abstain"), shape.alias("candidates")
     )
+
+
+def j6_stream_scans(spark, sf):
+    """Predictions that arrive as a stream, resolved and appended to the scan log, then read back."""
     catalog = frame(spark, sf, "catalog").where("pos % 50 <> 3").select("slug")
     path = work_dir(spark, "stream-scans")
-    SH.stream_scans(arriving, catalog, f"{path}/log", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    SH.stream_scans(_predicted(spark, sf), catalog, f"{path}/log", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return read_scans(spark, f"{path}/log").select("id", "status", "slug", F.round("confidence", 6).alias("confidence"))
 
 
+def _in_any_order(spark, rows, tag):
+    """``rows`` as a stream of eight files in an order of their own, every fifth row once more in a later one."""
+    path = work_dir(spark, tag)
+    at = F.pmod(F.xxhash64("id"), F.lit(7)).cast("int")
+    dealt = rows.withColumn("file", F.explode(F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, F.array(at, F.lit(7))).otherwise(F.array(at))))
+    dealt.repartition(8, "file").write.partitionBy("file").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/file=*")
+
+
+def j3_stream_cleared(spark, sf):
+    """Scans and clears as streams, in any order and partly delivered twice; the last lists, cut at the same moment as the batch view."""
+    scans = _in_any_order(spark, _scans(spark, sf).select("session", "id", "created_at", "status"), "scans-in")
+    clears = _in_any_order(spark, _clears(spark, sf).withColumn("id", F.xxhash64("session", "ts")), "clears-in")
+    rows = _finished(spark, SH.stream_cleared_history(scans, clears, 100, 30, hide_demo=True), "stream-cleared")
+    return H.history(SH.current_lists(rows), _as_of(), 100, 30).select("session", "id", F.col("place").cast("int").alias("place"))
+
+
+def j6_shared_log(spark, sf):
+    """One log, two streams with overlapping scans, and the first again after its checkpoint was lost: every scan is in the log once."""
+    path, log = work_dir(spark, "stream-shared"), work_dir(spark, "shared-log")
+    catalog = frame(spark, sf, "catalog").where("pos % 50 <> 3").select("slug")
+    for name, part in (("one", "query_id % 3 < 2"), ("two", "query_id % 3 > 0"), ("one-again", "query_id % 3 < 2")):
+        SH.stream_scans(_predicted(spark, sf).where(part), catalog, log, f"{path}/{name}").trigger(availableNow=True).start().awaitTermination()
+    compact_scans(spark, log)
+    return read_scans(spark, log).select("id", "status", "slug", F.round("confidence", 6).alias("confidence"))
+
+
 def a13_append_scans(spark, sf):
     """The scan log written in two appends, one of them repeated, and read back."""
     path = work_dir(spark, "scan-log")
@@ -259,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         h4_read_filters, h5_allowed_counts, i2_shortlists, i3_prompts, g8_similar_items, h9_citations, i4_cited_items, d11_log_summary, d12_repeated_images, d13_truth_report, d13_threshold_sweep,
-        e13_latest, b11_without_demo, j1_history, j3_cleared_history, j5_saved_items, j1_stream_history, j5_stream_saved, j6_stream_scans, a13_append_scans,
+        e13_latest, b11_without_demo, j1_history, j3_cleared_history, j5_saved_items, j1_stream_history, j5_stream_saved, j6_stream_scans, j3_stream_cleared, j6_shared_log, a13_append_scans,
         c2_carded, j2_session_listing, j4_isolation, a1_catalog_scan, a5_collected_files, a6_gallery, a11_prediction_log, b12_request_checks,
     )
 }
@@ -364,3 +395,4 @@ ORACLES = {
       SELECT id, status, CASE WHEN status = 'matched' THEN s1 END AS slug, round(c1, 6) AS confidence FROM t""",
     "a13_append_scans": f"WITH {cte('scans')} SELECT session, status, count(*) AS n FROM scans GROUP BY session, status",
 }
+ORACLES |= {"j3_stream_cleared": ORACLES["j3_cleared_history"], "j6_shared_log": ORACLES["j6_stream_scans"]}

@@ -67,51 +67,121 @@ def stream_history(scans: DataFrame, n: int = KEEP_ROWS, days: int = KEEP_DAYS)
     )
 
 
+class ClearedScans(LatestScans):
+    """As ``LatestScans``, over scans and clears: a session's last clear stays in state as a tombstone, and scans that are not newer
+    stay out, whenever they arrive. Every emission has a ``revision`` of its own and starts with a row at place 0, so that an empty list
+    replaces an older one, too.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.session = handle.getValueState("session", "cleared timestamp, newest timestamp, revision long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([x[["id", "created_at", "status", "clears"]] for x in rows])
+        cleared, newest, revision = self.session.get() if self.session.exists() else (None, None, 0)
+        times = [pd.Timestamp(x) for x in (cleared, *new.loc[new["clears"], "created_at"]) if x is not None]
+        cleared = max(times) if times else None
+        newest = max([*new["created_at"], *([pd.Timestamp(newest)] if newest is not None else [])])
+        found = {int(i): (int(i), pd.Timestamp(t), s) for i, t, s in self.kept.get()} if self.kept.exists() else {}
+        found |= {int(i): (int(i), pd.Timestamp(t), s) for i, t, s, c in new.itertuples(index=False) if not c}
+        oldest = newest.floor("s") - pd.Timedelta(days=self.days)
+        kept = sorted((x for x in found.values() if x[1] >= oldest and (cleared is None or x[1] > cleared)), key=lambda x: (x[1], x[0]), reverse=True)[: self.n]
+        self.kept.put([(i, t.to_pydatetime(), s) for i, t, s in kept]) if kept else self.kept.clear()
+        self.session.update((cleared.to_pydatetime() if cleared is not None else None, newest.to_pydatetime(), revision + 1))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(newest.timestamp() * 1000) + self.days * 86_400_000)
+        listed = [(None, newest, None), *kept]
+        yield pd.DataFrame(
+            {"session": key[0], "id": pd.array([x[0] for x in listed], "Int64"), "created_at": [x[1] for x in listed], "status": [x[2] for x in listed], "place": range(len(listed)), "revision": revision + 1}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, newest, revision = self.session.get()
+        self.kept.clear()
+        self.session.update((None, newest, revision + 1))
+        yield pd.DataFrame({"session": [key[0]], "id": pd.array([None], "Int64"), "created_at": [pd.Timestamp(newest)], "status": [None], "place": [0], "revision": [revision + 1]})
+
+
+def stream_cleared_history(scans: DataFrame, clears: DataFrame, n: int = KEEP_ROWS, days: int = KEEP_DAYS, hide_demo: bool = False) -> DataFrame:
+    """(session, id, created_at, status, place, revision): after each batch the kept scans of the sessions it touched, without those that a clear removed.
+
+    ``scans`` (session, id, created_at, status) and ``clears`` (session, ts), both streams with timestamps; events may come in any order
+    and more than once. Place 0 is no scan: it says that the list was made. ``current_lists`` keeps each session's last list. The
+    watermark lies ``days`` behind the newest event; what is older than that is no part of a history, so dropped clears change none.
+    """
+    kinds = scans.schema["session"].dataType.simpleString()
+    rows = scans.where("status <> 'demo'") if hide_demo else scans
+    rows = rows.select("session", "id", "created_at", "status", F.lit(False).alias("clears"))
+    both = rows.unionByName(clears.select("session", F.lit(0).cast("long").alias("id"), F.col("ts").alias("created_at"), F.lit("").alias("status"), F.lit(True).alias("clears")))
+    return both.withWatermark("created_at", f"{days} days").groupBy("session").transformWithStateInPandas(
+        ClearedScans(n, days), f"session {kinds}, id long, created_at timestamp, status string, place int, revision long", "Update", "EventTime"
+    )
+
+
+def current_lists(emitted: DataFrame) -> DataFrame:
+    """(session, id, created_at, status, place): the rows of each session's last revision, from all that ``stream_cleared_history`` emitted."""
+    last = emitted.groupBy("session").agg(F.max("revision").alias("revision"))
+    return emitted.join(last, ["session", "revision"]).where("place > 0").select("session", "id", "created_at", "status", "place").distinct()
+
+
 class SavedToggle(StatefulProcessor):
-    """State per (user, slug): whether the item is saved, since when, and the last events counted.
+    """State per (user, slug): whether the item is saved, since when, and the events counted that could still be delivered again.
 
-    An event that is delivered again is known by its id and not counted. With ``ttl_ms`` state that long untouched goes.
+    An event is known by its id until the watermark has passed its time; then the stream drops it before it comes here, and a timer
+    at the end of its day forgets the id.
     """
 
-    def __init__(self, remember: int = 1000, ttl_ms: int | None = None):
-        self.remember, self.ttl_ms = remember, ttl_ms
+    DAY = 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("toggle", "saved boolean, ts timestamp", self.ttl_ms)
-        self.counted = handle.getListState("counted", "id long", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("toggle", "saved boolean, ts timestamp")
+        self.counted = handle.getMapState("counted", "id long", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         saved, last = self.state.get() if self.state.exists() else (False, None)
-        known = [int(x[0]) for x in self.counted.get()] if self.counted.exists() else []
         events = pd.concat([x[["id", "ts"]] for x in rows]).drop_duplicates("id")
-        events = events[~events["id"].isin(known)]
-        if len(events):
+        events = [(int(i), pd.Timestamp(t)) for i, t in events.itertuples(index=False) if not self.counted.containsKey((int(i),))]
+        for number, ts in events:
+            ms = int(ts.timestamp() * 1000)
+            self.counted.updateValue((number,), (ms,))
+            self.handle.registerTimer((ms // self.DAY + 1) * self.DAY)
+        if events:
             saved = bool(saved) ^ bool(len(events) % 2)
-            last = max([pd.Timestamp(events["ts"].max()), *([pd.Timestamp(last)] if last is not None else [])])
+            last = max([*(t for _, t in events), *([pd.Timestamp(last)] if last is not None else [])])
             self.state.update((saved, last.to_pydatetime()))
-            self.counted.put([(int(x),) for x in [*known, *events.sort_values("ts")["id"]][-self.remember :]])
         yield pd.DataFrame({"user": [key[0]], "slug": [key[1]], "saved": [bool(saved)], "ts": [last]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        for number in [k for k, (ms,) in self.counted.iterator() if ms < passed]:
+            self.counted.removeKey(number)
+        yield pd.DataFrame(columns=["user", "slug", "saved", "ts"])
+
     def close(self) -> None:
         pass
 
 
-def stream_saved(events: DataFrame, remember: int = 1000, ttl_ms: int | None = None) -> DataFrame:
+def stream_saved(events: DataFrame, delay: str = "30 days") -> DataFrame:
     """(user, slug, saved, ts): the state of every item a batch toggled; the latest row of a key is current.
 
-    ``events`` (user, slug, ts, id). The last ``remember`` event ids of an item are kept, so that redelivered events do not toggle it again.
+    ``events`` (user, slug, ts, id) with timestamps. An event delivered again does not toggle its item again, however many lie between; one
+    that is older than the newest event by more than ``delay`` is dropped.
     """
     kinds = {c: events.schema[c].dataType.simpleString() for c in ("user", "slug")}
-    return events.select("user", "slug", "ts", "id").groupBy("user", "slug").transformWithStateInPandas(
-        SavedToggle(remember, ttl_ms), f"user {kinds['user']}, slug {kinds['slug']}, saved boolean, ts timestamp", "Update", "ProcessingTime" if ttl_ms else "None"
+    return events.select("user", "slug", "ts", "id").withWatermark("ts", delay).groupBy("user", "slug").transformWithStateInPandas(
+        SavedToggle(), f"user {kinds['user']}, slug {kinds['slug']}, saved boolean, ts timestamp", "Update", "EventTime"
     )
 
 
 def stream_scans(predictions: DataFrame, catalog: DataFrame, path: str, checkpoint: str, sure: float = 0.45, suggest: float | None = 0.20, least_margin: float = 0.0) -> DataStreamWriter:
     """Resolves arriving predictions (query_id, session, created_at, abstain, candidates array<struct<slug,confidence>>) and appends them to the scan log.
 
-    Each batch goes through the batch operator; the catalog is a static side. A batch that is processed again after a failure
-    replaces what it wrote.
+    Each batch goes through the batch operator; the catalog is a static side. The log is kept by stream and batch: the id of a
+    stream lives in its checkpoint, so several streams may share a log, and one that has lost its checkpoint is a new one. A scan that
+    the log has, from whichever stream, is not appended again.
     """
     from catalogmatch.operators.resolve import resolve
     from catalogmatch.sources.sinks import append_scans
@@ -119,6 +189,7 @@ def stream_scans(predictions: DataFrame, catalog: DataFrame, path: str, checkpoi
     def append(batch: DataFrame, number: int) -> None:
         listed = batch.select("query_id", F.posexplode("candidates").alias("at", "c")).select("query_id", (F.col("at") + 1).alias("rank"), "c.slug", "c.confidence")
         found = resolve(batch, listed, catalog, sure, suggest, least_margin)
-        append_scans(batch.select(F.col("query_id").alias("id"), "session", "created_at").join(found.withColumnRenamed("query_id", "id"), "id"), path, number)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_scans(batch.select(F.col("query_id").alias("id"), "session", "created_at").join(found.withColumnRenamed("query_id", "id"), "id"), path, number, stream, "id")
 
     return predictions.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
