@@ -252,18 +252,6 @@ def class_logits(vectors: DataFrame, centroids: DataFrame, temperature: float =
     return pairs.select(F.col("query_id").alias("id"), F.col("g_slug").alias("label"), F.round(dot(F.col("vec"), F.col("g_vec")) / F.lit(temperature), 4).alias("logit"))
 
 
-def approximate_top_k(queries: DataFrame, gallery: DataFrame, branch: str, k: int = 12, bucket_length: float = 0.6, tables: int = 8) -> DataFrame:
-    """``top_k`` of one branch behind random-projection buckets; fewer pairs are scored and some neighbours may be missed (see ``recall_against``)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = lambda x: x.where(F.col("branch") == branch).withColumn("features", array_to_vector("vec"))
-    q, g = vectors(queries), vectors(gallery)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=1).fit(g)
-    pairs = lsh.approxSimilarityJoin(q, g, 2.0, "d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.slug").alias("slug"), F.round(1 - F.col("d") * F.col("d") / 2, DIGITS).alias("sim"))
-    return top_k(pairs.withColumn("branch", F.lit(branch)), k)
-
-
 def recall_against(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(recall): share of the exact rows that were found."""
     hit = exact.join(found.select("query_id", "slug", F.lit(1).alias("hit")), ["query_id", "slug"], "left")

@@ -11,7 +11,8 @@ from catalogmatch.operators import retrieval as R
 from catalogmatch.plans.inputs import cte, frame, table, with_profile
 from catalogmatch.sources import catalog as S
 from catalogmatch.sources import files as X
-from catalogmatch.sources.sinks import nested_results
+from catalogmatch.sources import versions as V
+from catalogmatch.sources.sinks import kept_table, nested_results, work_dir
 
 SEARCH_SQL = "lower(concat_ws(' ', name, winery, region, grapes))"
 
@@ -55,6 +56,36 @@ def a10_signature(spark, sf):
     return X.corpus_signature(frame(spark, sf, "catalog").select("slug", F.concat("name", F.lit(". "), "winery").alias("text")), parts=16)
 
 
+def _cards_text(spark, sf):
+    return frame(spark, sf, "catalog").select("slug", "pos", F.concat("name", F.lit(". "), "winery").alias("text"))
+
+
+def a10_signature_tree(spark, sf):
+    """All nodes of the tree over the catalog."""
+    return X.SignatureTree.of(_cards_text(spark, sf), levels=3).nodes
+
+
+def a10_updated_tree(spark, sf):
+    """The same nodes, from a tree over an older catalog: some texts changed, some cards were missing, some are gone since."""
+    cards = _cards_text(spark, sf)
+    older = cards.where("pos % 40 <> 1").withColumn("text", F.when(F.col("pos") % 50 == 2, "as it was").otherwise(F.col("text")))
+    gone = cards.where("pos % 30 = 3").select(F.concat("slug", F.lit("-old")).alias("slug"), F.lit("gone").alias("text"))
+    tree = X.SignatureTree.of(older.select("slug", "text").unionByName(gone), levels=3)
+    return tree.updated(cards.where("pos % 40 = 1 OR pos % 50 = 2"), gone).nodes
+
+
+def a9_versions(spark, sf):
+    """Work lists of successive versions: all rows at first, then changes alone, nothing where nothing changed, all rows after another setting."""
+    known = V.FeatureVersions(spark, work_dir(spark, "versions"))
+    expected, found = (x.select(F.col("path").alias("slug"), F.col("sha256").alias("hash")) for x in _manifest(spark, sf))
+    out = None
+    for step, (rows, settings) in enumerate([(expected, {"size": "384"}), (found, {"size": "384"}), (found, {"size": "384"}), (found, {"size": "512"})], 1):
+        todo = kept_table(known.worklist(rows, settings).withColumn("step", F.lit(step)), "worklist")
+        known.commit(rows, settings)
+        out = todo if out is None else out.unionByName(todo)
+    return out
+
+
 def a12_results(spark, sf):
     ranked = frame(spark, sf, "catalog").select(F.col("winery").alias("query_id"), "slug", F.col("pos").cast("double").alias("score"), F.row_number().over(C.Window.partitionBy("winery").orderBy(F.desc("pos"))).alias("rank"))
     return nested_results(ranked).select("query_id", F.array_join(F.transform("candidates", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["slug"])), ",").alias("candidates"))
@@ -254,7 +285,7 @@ recommended AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        a2_catalog_checks, a3_urls, a4_profiles, a8_manifest, a9_worklist, a10_signature, a12_results, a14_image_gate, b2_token_search, b3_paging, b4_lookup, b5_missing_photos,
+        a2_catalog_checks, a3_urls, a4_profiles, a8_manifest, a9_worklist, a10_signature, a10_signature_tree, a10_updated_tree, a9_versions, a12_results, a14_image_gate, b2_token_search, b3_paging, b4_lookup, b5_missing_photos,
         b6_not_in_catalog, b7_one_sided, f2_key_difference, b10_splits, b12_violations, h21_sessions, d1_facets, e1_featured, i1_pairing, f4_answers_or_rules, f4_model_pairings, h11_pairing_question,
         h6_card_text, h7_shortlist_line, h1_normalize, h2_ngrams, h3_ngram_vectors, h3_blake_vectors, h1_normalize_exactly,
     )
@@ -321,3 +352,18 @@ ORACLES = {
       s AS (SELECT id, bucket, CAST(sum(sign) AS DOUBLE) AS s FROM e GROUP BY id, bucket HAVING sum(sign) <> 0)
       SELECT id AS item_id, bucket, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS value FROM s""",
 }
+_FOLD = "CAST(count(*) AS BIGINT) AS n, sha256(string_agg({0}, chr(10) ORDER BY {1})) AS digest"
+_TREE = f"""WITH {cte("catalog")}, rows AS (SELECT md5(slug) AS place, concat(slug, ':', sha256(concat(name, '. ', winery)), ':1') AS row FROM catalog),
+l3 AS (SELECT substr(place, 1, 3) AS node, {_FOLD.format("row", "row")} FROM rows GROUP BY 1),
+l2 AS (SELECT substr(node, 1, 2) AS node, {_FOLD.format("concat(node, ':', digest)", "node")} FROM l3 GROUP BY 1),
+l1 AS (SELECT substr(node, 1, 1) AS node, {_FOLD.format("concat(node, ':', digest)", "node")} FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS node, {_FOLD.format("concat(node, ':', digest)", "node")} FROM l1)
+SELECT 3 AS level, * FROM l3 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0"""
+ORACLES |= {
+    "a10_signature_tree": _TREE,
+    "a10_updated_tree": _TREE,
+    "a9_versions": """WITH d AS (SELECT doc_id, concat('doc/', CAST(doc_id AS VARCHAR)) AS slug, doc_id % 11 <> 0 AS a, doc_id % 7 <> 0 AS b, doc_id % 5 = 0 AS other FROM documents)
+      SELECT 1 AS step, slug, 'recompute' AS action, 'new' AS reason FROM d WHERE a
+      UNION ALL SELECT 2, slug, CASE WHEN b THEN 'recompute' ELSE 'drop' END, CASE WHEN NOT b THEN 'gone' WHEN a THEN 'changed' ELSE 'new' END FROM d WHERE a <> b OR (a AND b AND other)
+      UNION ALL SELECT 4, slug, 'recompute', 'size' FROM d WHERE b""",
+}

@@ -10,6 +10,7 @@ from catalogmatch.functions import vectors as V
 from catalogmatch.operators import metrics as M
 from catalogmatch.operators import mining as N
 from catalogmatch.operators import resolve as R
+from catalogmatch.operators.vector_index import build_index
 from catalogmatch.plans.catalog_queries import GRAMS_CTE
 from catalogmatch.plans.inputs import MINING, RAW_RESIDUAL, branch_vectors, labelled, table, themselves
 from catalogmatch.sources.sinks import kept_table
@@ -35,6 +36,22 @@ def e4_branch_top(spark, sf):
     return N.branch_top_k(q, g, exclude=themselves(spark, sf)).select("query_id", "branch", "slug", "sim", F.col("branch_rank").cast("int").alias("branch_rank"))
 
 
+def e4_indexed_top(spark, sf):
+    """The same by an inverted-file index, which scores only what its bounds cannot rule out."""
+    q, g = _sides(spark, sf)
+    found = build_index(g).top_k(q, exclude=themselves(spark, sf))
+    return found.select("query_id", "branch", "slug", "sim", F.col("branch_rank").cast("int").alias("branch_rank"))
+
+
+def c5_index_recall(spark, sf):
+    """Whether the nearest cells alone, as many as a sample of queries needs for 0.95 of its neighbours, hold 0.9 of all."""
+    q, g = _sides(spark, sf)
+    q, g = (x.where("branch = 'label'") for x in (q, g))
+    index, own = build_index(g), themselves(spark, sf)
+    near = index.top_k(q, exclude=own, probes=index.probes_for(q, 12, 0.95, own)["label"], exact=False)
+    return N.recall_against(near, N.branch_top_k(q, g, exclude=own)).select((F.col("recall") >= 0.9).alias("reached"))
+
+
 def g2_similarities(spark, sf):
     q, g = _sides(spark, sf)
     return N.similarity_ranges(q, g, themselves(spark, sf))
@@ -150,7 +167,7 @@ def i8_feature_table(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        g1_normalized, e4_branch_top, g2_similarities, f1_pool_sizes, g3_mining, d4_pool_recall, g4_pair_features, g5_fused_evidence, g6_logits, g7_class_logits, g9_masked, d3_view_fusion,
+        g1_normalized, e4_branch_top, e4_indexed_top, c5_index_recall, g2_similarities, f1_pool_sizes, g3_mining, d4_pool_recall, g4_pair_features, g5_fused_evidence, g6_logits, g7_class_logits, g9_masked, d3_view_fusion,
         i6_ranking, e10_confidences, i7_scan_resolution, h19_evaluation, e14_alternatives, e11_distinct_candidates, i9_ranking_report, i8_feature_table,
     )
 }
@@ -211,3 +228,4 @@ ORACLES = {
       SELECT n_queries, round(ranking, 6) AS ranking, round(pairwise, 6) AS pairwise, round(base_correct_rate, 6) AS base_correct_rate, round(protection, 6) AS protection, round(residual_guard, 6) AS residual_guard,
         round(ranking + 0.25 * pairwise + 0.75 * protection + 0.02 * residual_guard, 6) AS total FROM m""",
 }
+ORACLES |= {"e4_indexed_top": ORACLES["e4_branch_top"], "c5_index_recall": "SELECT true AS reached"}

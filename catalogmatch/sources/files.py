@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogmatch.sources.sinks import kept_table
 
 def with_sha256(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, sha256) of binary files."""
@@ -42,6 +43,95 @@ def corpus_signature(texts: DataFrame, key: str = "slug", text: str = "text", pa
     return digests.agg(joined(F.struct(F.col("part").alias("k"), F.col("d").alias("t")), "\n").alias("signature"))
 
 
+#: Children of an inner node of a signature tree (a hexadecimal digit), rows of a leaf on average at most, and rows it may hold.
+FAN_OUT, LEAF_ROWS, MOST_LEAF_ROWS = 16, 16, 128
+
+
+def _folded(rows: DataFrame, key: list[str], item: str, order: str) -> DataFrame:
+    """One digest for each ``key`` over its items in order; a group has as many as the tree allows."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"))))
+    folded = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(listed, lambda x: x["i"]), "\n").cast("binary"), 256).alias("digest"))
+    full = F.raise_error(F.concat(F.lit("too many rows for a node of the signature tree: "), F.col("n").cast("string"))).cast("string")
+    return folded.withColumn("digest", F.when(F.col("n") <= MOST_LEAF_ROWS, F.col("digest")).otherwise(full))
+
+
+def tree_leaves(texts: DataFrame, key: str = "slug", text: str = "text") -> DataFrame:
+    """(place, key, row): what a signature tree is made of, a row for each distinct key and text: the key's place in the tree and both digested."""
+    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = texts.select(F.md5(k.cast("binary")).alias("place"), k.alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("own"))
+    counted = rows.groupBy("place", "key", "own").agg(F.count("*").alias("times"))
+    return counted.select("place", "key", F.concat_ws(":", "key", "own", F.col("times").cast("string")).alias("row"))
+
+
+def _nodes(leaves: DataFrame, levels: int) -> DataFrame:
+    """(level, node, n, digest) of the leaves that hold ``leaves``."""
+    return _folded(leaves.select(F.substring("place", 1, levels).alias("node"), "row"), ["node"], "row", "row").select(F.lit(levels).alias("level"), "node", "n", "digest")
+
+
+def _above(nodes: DataFrame, level: int) -> DataFrame:
+    """The parents of all nodes of a level."""
+    rows = nodes.select(F.substring("node", 1, level - 1).alias("parent"), "node", F.concat_ws(":", "node", "digest").alias("child"))
+    return _folded(rows, ["parent"], "child", "node").select(F.lit(level - 1).alias("level"), F.col("parent").alias("node"), "n", "digest")
+
+
+def levels_for(n_rows: int) -> int:
+    """How deep a tree over ``n_rows`` rows is."""
+    levels = 0
+    while n_rows > LEAF_ROWS * FAN_OUT**levels:
+        levels += 1
+    return levels
+
+
+class SignatureTree:
+    """A hash tree over a corpus: ``leaves`` (place, key, row) and ``nodes`` (level, node, n, digest), both written.
+
+    A leaf holds the rows whose key's MD5 begins with its name, an inner node digests its children; no group of any level holds more than
+    ``FAN_OUT`` children or ``MOST_LEAF_ROWS`` rows, however large the corpus.
+    """
+
+    def __init__(self, leaves: DataFrame, nodes: DataFrame, levels: int):
+        self.leaves, self.nodes, self.levels = leaves, nodes, levels
+
+    @staticmethod
+    def of(texts: DataFrame, key: str = "slug", text: str = "text", levels: int | None = None) -> SignatureTree:
+        leaves = kept_table(tree_leaves(texts, key, text), "tree-leaves")
+        levels = levels_for(leaves.count()) if levels is None else levels
+        nodes = level = kept_table(_nodes(leaves, levels), "tree-nodes")
+        for k in range(levels, 0, -1):
+            level = _above(level, k)
+            nodes = nodes.unionByName(level)
+        return SignatureTree(leaves, kept_table(nodes, "tree-nodes"), levels)
+
+    def root(self) -> DataFrame:
+        """(signature): the root's digest; of an empty corpus the digest of nothing."""
+        return self.nodes.where("level = 0").agg(F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("signature"))
+
+    def updated(self, changed: DataFrame, removed: DataFrame | None = None, key: str = "slug", text: str = "text") -> SignatureTree:
+        """The tree after ``changed`` rows (key, text) have replaced those of their keys and ``removed`` keys have gone.
+
+        Only leaves that hold such a key, and the nodes above them, are computed; all others keep their digests.
+        """
+        new = kept_table(tree_leaves(changed, key, text), "tree-changes")
+        keys = new.select("place", "key")
+        if removed is not None:
+            gone = F.coalesce(F.col(key).cast("string"), F.lit(""))
+            keys = keys.unionByName(removed.select(F.md5(gone.cast("binary")).alias("place"), gone.alias("key")))
+        keys = kept_table(keys.distinct(), "tree-keys")
+        leaves = kept_table(self.leaves.join(keys, ["place", "key"], "left_anti").unionByName(new), "tree-leaves")
+        touched = kept_table(keys.select(F.substring("place", 1, self.levels).alias("node")).distinct(), "tree-touched")
+        level = _nodes(leaves.withColumn("node", F.substring("place", 1, self.levels)).join(touched, "node", "left_semi").drop("node"), self.levels)
+        nodes = None
+        for k in range(self.levels, -1, -1):
+            names = touched.select(F.substring("node", 1, k).alias("node")).distinct()
+            old = self.nodes.where(F.col("level") == k).join(names, "node", "left_anti")
+            whole = kept_table(old.unionByName(level), "tree-level")
+            nodes = whole if nodes is None else nodes.unionByName(whole)
+            if k:
+                parents = touched.select(F.substring("node", 1, k - 1).alias("parent")).distinct()
+                level = _above(whole.withColumn("parent", F.substring("node", 1, k - 1)).join(parents, "parent", "left_semi").drop("parent"), k)
+        return SignatureTree(leaves, nodes, self.levels)
+
+
 def image_format(content: Column) -> Column:
     """JPEG, PNG or WEBP by the first bytes; null for anything else."""
     head = F.hex(F.substring(content, 1, 12))

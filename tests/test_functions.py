@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogmatch.functions import filters, geometry, text, vectors
-from catalogmatch.operators import catalog, detections, history, metrics, mining, pairing, resolve, retrieval
+from catalogmatch.operators import vector_index, catalog, detections, history, metrics, mining, pairing, resolve, retrieval
 from catalogmatch.sources import catalog as sources
 from catalogmatch.sources import files
 
@@ -216,7 +216,32 @@ def test_blocks_equal_expressions(spark):
         two = mining.branch_top_k(queries, gallery, 5, exclude, query_block=4, gallery_parts=3, query_parts=2)
         key = lambda df: sorted((r.query_id, r.branch, r.slug, r.branch_rank) for r in df.collect())
         assert key(one) == key(two)
-    assert 0.5 <= mining.recall_against(mining.approximate_top_k(queries, gallery, "label", 5), mining.top_k(mining.similarities(queries, gallery), 5).where("branch = 'label'")).first().recall <= 1
+    near = vector_index.approximate_top_k(queries, gallery, "label", 5)
+    assert 0.9 <= mining.recall_against(near, mining.top_k(mining.similarities(queries, gallery), 5).where("branch = 'label'")).first().recall <= 1
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_an_index_finds_the_exact_top_and_scores_few_pairs_of_clusters(spark, tmp_path, clustered):
+    import numpy as np
+
+    made = np.random.default_rng(7)
+    centres = made.normal(size=(12, 6)) * 4
+    rows = [(k, "label", (centres[k % 12] + made.normal(size=6) * (0.1 if clustered else 9)).tolist()) for k in range(600)]
+    rows += [(k, "bottle", made.normal(size=6).tolist()) for k in range(40)] + [(700, "label", [0.0] * 6), (701, "label", rows[3][2]), (702, "label", None), (703, "label", rows[3][2])]
+    gallery = mining.prepared(spark.createDataFrame(rows, "slug int, branch string, vec array<double>"))
+    queries = gallery.where("slug % 25 = 3 OR slug = 700").withColumnRenamed("slug", "query_id").unionByName(spark.createDataFrame([(1, "none", [1.0] * 6)], "query_id int, branch string, vec array<double>"))
+    skip = queries.select("query_id", F.col("query_id").alias("slug")).distinct()
+    index = vector_index.build_index(gallery.where("slug < 500"), str(tmp_path / "index"), cells=12).append(gallery.where("slug >= 500"))
+    key = lambda df: sorted((r.query_id, r.branch, r.slug, r.sim, r.branch_rank) for r in df.collect())
+    for exclude, probes in ((None, 1), (skip, 3)):
+        assert key(index.top_k(queries, 5, exclude, probes)) == key(mining.top_k(mining.similarities(queries, gallery, exclude), 5))
+    again = vector_index.VectorIndex(spark, str(tmp_path / "index"))
+    assert key(again.top_k(queries, 700)) == key(mining.top_k(mining.similarities(queries, gallery), 700))  # more than any cell holds
+    found = again.scored(queries, 5, probes=1, part_rows=30)
+    assert key(mining.top_k(found.where("slug IS NOT NULL").drop("scored"), 5)) == key(mining.top_k(mining.similarities(queries, gallery), 5))
+    work = {r.branch: r.share for r in vector_index.index_work(found, queries, gallery).collect()}
+    assert work["label"] < 0.2 if clustered else work["label"] <= 1
+    assert vector_index.build_index(gallery.limit(0)).top_k(queries, 5).count() == 0
 
 
 def test_fused_evidence(spark):
