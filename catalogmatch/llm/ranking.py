@@ -196,7 +196,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20, item_id: str =
     """(item_id, rank, doc_id, score) of each item's ``k`` best documents.
 
     ``items_a_pass`` and ``bytes_a_pass`` bound what is broadcast, not the items: beyond them the items are dealt by hash into more
-    passes. ``first_blocks`` are searched ahead where there are eight times as many.
+    passes. About ``first_blocks``, chosen by hash, are searched ahead where there are eight times as many.
     """
     asked = written(items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct(), "items")
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -230,7 +230,7 @@ def _search(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: st
 
     floors = {}
     if n_blocks >= 8 * first_blocks:
-        ahead = index.orderBy(F.xxhash64("lengths")).limit(first_blocks).repartition(first_blocks)
+        ahead = index.where(F.pmod(F.xxhash64("lengths"), F.lit(n_blocks // first_blocks)) == 0)
         last = _ranked(_searched(ahead, sent({}), id_type, k), k).where(F.col("rank") == k)
         floors = {r.item: r.score for r in last.select("item", "score").collect()}  # a row for each item at most
     named = spark.createDataFrame([(number, r.item_id) for number, r in enumerate(rows)], f"item int, item_id {asked.schema['item_id'].dataType.simpleString()}")
