@@ -17,39 +17,66 @@ def searchable(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("search_text", search_text("name", "winery", "region", "grapes"))
 
 
-def _pieces(text: str) -> Column:
-    """The distinct pieces of ``PIECE`` letters of a column of texts that are long enough."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - PIECE + 1), lambda i: F.col(text).substr(i, F.lit(PIECE))))
+def _pieces(text: str, length: Column | int = PIECE) -> Column:
+    """The distinct pieces of ``length`` letters of a column of texts; none of a shorter one."""
+    n = F.lit(length) if isinstance(length, int) else length
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.col(text).substr(i, n)))
 
 
-def _holding(cards: DataFrame, leads: DataFrame) -> DataFrame:
-    """``cards`` (slug, search_text, ...) beside every lead word that stands in their text."""
-    index = cards.where(F.length("search_text") >= PIECE).select("slug", F.explode(_pieces("search_text")).alias("piece"))
-    often = index.groupBy("piece").agg(F.count("*").alias("n"))
-    parts = leads.select("lead", F.explode(_pieces("lead")).alias("piece")).join(often, "piece", "left")
-    rarest = parts.groupBy("lead").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    near = index.join(rarest, "piece").select("slug", "lead")
-    return cards.join(near, "slug").where(F.contains("search_text", "lead"))
+def postings(cards: DataFrame, lengths: tuple[int, ...] = tuple(range(1, PIECE + 1))) -> DataFrame:
+    """(piece, slug, pos): the pieces of one to ``PIECE`` letters that stand in each card's ``search_text``."""
+    return cards.select("slug", "pos", F.explode(F.flatten(F.array(*(_pieces("search_text", n) for n in lengths)))).alias("piece"))
+
+
+def wanted_words(queries: DataFrame) -> DataFrame:
+    """(query_id, wanted, words, lead) of queries (query_id, query, category): distinct lower-case words, and the longest of them, "" without any."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), r"\s+"), lambda w: w != ""))
+    rows = queries.select("query_id", F.coalesce("category", F.lit("")).alias("wanted"), words.alias("words"))
+    lead = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    return rows.withColumn("lead", F.when(F.size("words") > 0, lead).otherwise(""))
+
+
+def rarest_pieces(leads: DataFrame, often: DataFrame) -> DataFrame:
+    """(lead, piece): the piece of each lead word that fewest cards hold; ``often`` (piece, n)."""
+    parts = leads.select("lead", F.explode(_pieces("lead", F.least(F.length("lead"), F.lit(PIECE)))).alias("piece")).join(often, "piece", "left")
+    return parts.groupBy("lead").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+
+
+def search_cards(catalog: DataFrame) -> DataFrame:
+    """(slug, pos, card_category, search_text) of a catalog."""
+    return searchable(catalog).select("slug", "pos", F.col("category").alias("card_category"), "search_text")
+
+
+def verified(near: DataFrame, cards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, slug, pos): the cards near a lead word (slug, lead) that hold all words of its queries and have their category."""
+    rest = F.forall("words", lambda w: F.contains("search_text", w))
+    fits = (F.col("wanted") == "") | (F.col("card_category") == F.col("wanted"))
+    holding = cards.join(near, "slug").where(F.contains("search_text", "lead"))
+    return holding.join(wanted, "lead").where(rest & fits).select("query_id", "slug", "pos")
+
+
+def by_category(cards: DataFrame) -> DataFrame:
+    """Cards under the categories that find them: their own and "", which names none."""
+    return cards.withColumn("wanted", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("card_category", F.lit(""))))))
 
 
 def token_search(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, slug, pos): the cards that hold every token of the query and have its category, if it names one.
 
     ``queries`` (query_id, query, category). Each query leads with its longest word, and distinct lead words are looked up
-    once: by the rarest of their three-letter pieces in an index of the cards' pieces, then by the whole word. Words of one
-    or two letters, whose number the alphabet bounds, are looked up in the texts. Empty queries match every card of their category.
+    once: by the rarest of their three-letter pieces (a word of one or two letters is its own piece) in an index of the cards' pieces, then
+    by the whole word. Empty queries match every card of their category, by an equality join of their own.
     """
-    cards = searchable(catalog).select("slug", "pos", F.col("category").alias("card_category"), "search_text")
-    wanted = queries.select(
-        "query_id", F.coalesce("category", F.lit("")).alias("wanted"), F.array_distinct(F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), r"\s+"), lambda w: w != "")).alias("words")
-    )
-    lead = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    wanted = wanted.withColumn("lead", F.when(F.size("words") > 0, lead).otherwise(""))
-    leads = wanted.select("lead").distinct()
-    holding = _holding(cards, leads.where(F.length("lead") >= PIECE)).unionByName(cards.join(F.broadcast(leads.where(F.length("lead") < PIECE)), F.contains("search_text", "lead")))
-    rest = F.forall("words", lambda w: F.contains("search_text", w))
-    fits = (F.col("wanted") == "") | (F.col("card_category") == F.col("wanted"))
-    return holding.join(wanted, "lead").where(rest & fits).select("query_id", "slug", "pos")
+    cards = search_cards(catalog)
+    wanted = wanted_words(queries)
+    leads = wanted.where("lead <> ''").select("lead").distinct()
+    long, short = postings(cards, (PIECE,)), postings(cards, tuple(range(1, PIECE)))
+    often = long.groupBy("piece").agg(F.count("*").alias("n"))
+    near = long.join(rarest_pieces(leads.where(F.length("lead") >= PIECE), often), "piece").select("slug", "lead")
+    near = near.unionByName(short.join(leads.where(F.length("lead") < PIECE), F.col("piece") == F.col("lead")).select("slug", "lead"))
+    empty = by_category(cards).join(wanted.where("lead = ''"), "wanted").select("query_id", "slug", "pos")
+    return verified(near, cards, wanted.where("lead <> ''")).unionByName(empty)
 
 
 def search_one(catalog: DataFrame, query: str = "", category: str = "", offset: int = 0, limit: int = 24) -> DataFrame:

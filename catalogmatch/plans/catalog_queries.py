@@ -8,6 +8,7 @@ from catalogmatch.functions import text as T
 from catalogmatch.operators import catalog as C
 from catalogmatch.operators import pairing as P
 from catalogmatch.operators import retrieval as R
+from catalogmatch.operators.search_index import SearchIndex
 from catalogmatch.plans.inputs import cte, frame, table, with_profile
 from catalogmatch.sources import catalog as S
 from catalogmatch.sources import files as X
@@ -120,6 +121,23 @@ def b3_paging(spark, sf):
     return C.paged(C.token_search(cards, _queries(cards)), offset=1, limit=3).select("query_id", "slug", "n", "total")
 
 
+def _indexed(spark, sf):
+    """The catalog in a stored index, written in two parts."""
+    cards, rows = frame(spark, sf, "catalog"), 256
+    return SearchIndex.write(cards.where("pos % 1000 < 800"), segment_rows=rows).append(cards.where("pos % 1000 >= 800"), rows)
+
+
+def b2_indexed_search(spark, sf):
+    return _indexed(spark, sf).search(_queries(frame(spark, sf, "catalog")))
+
+
+def b3_indexed_page(spark, sf):
+    """Pages of the same queries and of an empty one for every category, from the stored index."""
+    cards = frame(spark, sf, "catalog")
+    empty = cards.select("category").distinct().select(F.lit(None).cast("string").alias("query"), "category", F.concat(F.lit("all/"), "category").alias("query_id"))
+    return _indexed(spark, sf).page(_queries(cards).unionByName(empty), offset=1, limit=3).select("query_id", "slug", "n")
+
+
 def b4_lookup(spark, sf):
     cards = table(spark, sf, "customer").where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("slug"), F.col("c_name").alias("name"), "c_nationkey")
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
@@ -285,7 +303,7 @@ recommended AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        a2_catalog_checks, a3_urls, a4_profiles, a8_manifest, a9_worklist, a10_signature, a10_signature_tree, a10_updated_tree, a9_versions, a12_results, a14_image_gate, b2_token_search, b3_paging, b4_lookup, b5_missing_photos,
+        a2_catalog_checks, a3_urls, a4_profiles, a8_manifest, a9_worklist, a10_signature, a10_signature_tree, a10_updated_tree, a9_versions, a12_results, a14_image_gate, b2_token_search, b3_paging, b2_indexed_search, b3_indexed_page, b4_lookup, b5_missing_photos,
         b6_not_in_catalog, b7_one_sided, f2_key_difference, b10_splits, b12_violations, h21_sessions, d1_facets, e1_featured, i1_pairing, f4_answers_or_rules, f4_model_pairings, h11_pairing_question,
         h6_card_text, h7_shortlist_line, h1_normalize, h2_ngrams, h3_ngram_vectors, h3_blake_vectors, h1_normalize_exactly,
     )
@@ -367,3 +385,9 @@ ORACLES |= {
       UNION ALL SELECT 2, slug, CASE WHEN b THEN 'recompute' ELSE 'drop' END, CASE WHEN NOT b THEN 'gone' WHEN a THEN 'changed' ELSE 'new' END FROM d WHERE a <> b OR (a AND b AND other)
       UNION ALL SELECT 4, slug, 'recompute', 'size' FROM d WHERE b""",
 }
+ORACLES |= {
+    "b2_indexed_search": ORACLES["b2_token_search"],
+    "b3_indexed_page": f"""{FOUND_SQL}, everything AS (SELECT concat('all/', k.category) AS query_id, c.slug, c.pos FROM (SELECT DISTINCT category FROM catalog) k JOIN catalog c ON k.category = '' OR c.category = k.category),
+      both_found AS (SELECT query_id, slug, pos FROM found UNION ALL SELECT * FROM everything),
+      p AS (SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM both_found) SELECT query_id, slug, n - 1 AS n FROM p WHERE n > 1 AND n <= 4""",
+}
