@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalogmatch.functions import spelling as SP
 from catalogmatch.functions import text as T
 from catalogmatch.operators import catalog as C
 from catalogmatch.operators import pairing as P
@@ -254,6 +255,24 @@ def h1_normalize_exactly(spark, sf):
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.normalize_exactly()(wide).alias("text"))
 
 
+#: Words of other scripts and compatibility forms that the documents do not have.
+WIDER = ("Ωμέγα Łódź", "ﬁn Ⅻ ９ ½ №", "かたな ｱ ꜰ", "თბილისი Ереван", "שלום ٪", "𝓪㎏ ĳ", "Việt Nam đ", "Їжак ґ")
+
+
+def h1_spelled(spark, sf):
+    """Whole documents, and words of other scripts, spelled in Latin letters by the full table."""
+    more = F.element_at(F.array(*map(F.lit, WIDER)), (F.col("doc_id") % len(WIDER) + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", SP.normalize_spelled(F.concat("text", F.lit(" "), more)).alias("text"))
+
+
+def _spelled_sql():
+    listed = ", ".join(f"('{s}', '{t.replace(chr(39), chr(39) * 2)}')" for s, t in SP.spelling_table().items() if len(s) == 1)
+    more = "[" + ", ".join(f"'{w}'" for w in WIDER) + f"][doc_id % {len(WIDER)} + 1]"
+    return f"""WITH letters(source, target) AS (VALUES {listed}), cut AS (SELECT doc_id, string_split(lower(concat(text, ' ', {more})), '') AS cs FROM documents),
+      one AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM cut)
+      SELECT doc_id, trim(regexp_replace(string_agg(coalesce(target, c), '' ORDER BY i), '[^a-z0-9]+', ' ', 'g')) AS text FROM one LEFT JOIN letters ON source = c GROUP BY doc_id"""
+
+
 def _spell(x):
     out = f"translate(lower({x}), '{T.LETTERS[0]}', '{T.LETTERS[1]}')"
     for letter, spelling in T.SPELLED.items():
@@ -305,7 +324,7 @@ QUERIES = {
     for f in (
         a2_catalog_checks, a3_urls, a4_profiles, a8_manifest, a9_worklist, a10_signature, a10_signature_tree, a10_updated_tree, a9_versions, a12_results, a14_image_gate, b2_token_search, b3_paging, b2_indexed_search, b3_indexed_page, b4_lookup, b5_missing_photos,
         b6_not_in_catalog, b7_one_sided, f2_key_difference, b10_splits, b12_violations, h21_sessions, d1_facets, e1_featured, i1_pairing, f4_answers_or_rules, f4_model_pairings, h11_pairing_question,
-        h6_card_text, h7_shortlist_line, h1_normalize, h2_ngrams, h3_ngram_vectors, h3_blake_vectors, h1_normalize_exactly,
+        h6_card_text, h7_shortlist_line, h1_normalize, h1_spelled, h2_ngrams, h3_ngram_vectors, h3_blake_vectors, h1_normalize_exactly,
     )
 }
 MANIFEST_CTE = """found AS (SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
@@ -386,6 +405,7 @@ ORACLES |= {
       UNION ALL SELECT 4, slug, 'recompute', 'size' FROM d WHERE b""",
 }
 ORACLES |= {
+    "h1_spelled": _spelled_sql(),
     "b2_indexed_search": ORACLES["b2_token_search"],
     "b3_indexed_page": f"""{FOUND_SQL}, everything AS (SELECT concat('all/', k.category) AS query_id, c.slug, c.pos FROM (SELECT DISTINCT category FROM catalog) k JOIN catalog c ON k.category = '' OR c.category = k.category),
       both_found AS (SELECT query_id, slug, pos FROM found UNION ALL SELECT * FROM everything),

@@ -14,7 +14,7 @@ from catalogmatch.plans.catalog_queries import LINE_SQL
 from catalogmatch.plans.inputs import INPUTS, cte, frame, table, with_profile
 from catalogmatch.sources import catalog as S
 from catalogmatch.sources import files as X
-from catalogmatch.sources.sinks import append_scans, compact_scans, read_scans, work_dir
+from catalogmatch.sources.sinks import append_scans, compact_scans, kept_table, read_scans, work_dir
 from catalogmatch.streaming import history as SH
 
 AS_OF = "2024-01-31 00:00:00.5"
@@ -96,6 +96,22 @@ def d11_log_summary(spark, sf):
     return M.log_summary(frame(spark, sf, "predictions"))
 
 
+def d11_sketched_summary(spark, sf):
+    """Summaries of each of four quarters and of all days from sketches kept per day: what is exact, and whether the estimates keep their bounds."""
+    rows = kept_table(frame(spark, sf, "predictions").withColumn("day", (F.col("query_id") % 28).cast("int")), "log-days")
+    kept = kept_table(M.log_sketches(rows.where("query_id % 3 = 0")).unionByName(M.log_sketches(rows.where("query_id % 3 > 0"))), "log-sketches")
+    quarter = F.floor(F.col("day") / 7).cast("int").alias("quarter")
+    found = M.merged_summary(kept.withColumn("quarter", quarter), ("quarter",)).unionByName(M.merged_summary(kept).withColumn("quarter", F.lit(-1)))
+    both = rows.withColumn("quarter", F.explode(F.array(F.lit(-1), quarter)))
+    share = lambda p: (F.count_if(F.col("latency_ms") < F.col(f"p{p}")) / F.count("latency_ms"), F.count_if(F.col("latency_ms") <= F.col(f"p{p}")) / F.count("latency_ms"))
+    near = lambda p: (share(p)[0] <= p / 100 + 0.014) & (share(p)[1] >= p / 100 - 0.014)
+    asked = F.broadcast(found.select("quarter", F.col("images").alias("estimate"), *(F.col(f"latency_p{p}").alias(f"p{p}") for p in (50, 90, 95, 99))))  # a row for each range
+    held = both.join(asked, "quarter").groupBy("quarter").agg(
+        *(near(p).alias(f"p{p}_within") for p in (50, 90, 95, 99)), (F.abs(F.count_distinct("image_sha256") - F.max("estimate")) <= 0.05 * F.count_distinct("image_sha256")).alias("images_within")
+    )
+    return found.select("quarter", "n", "answered", "abstained", "latency_min", "latency_mean", "latency_max").join(held, "quarter")
+
+
 def d12_repeated_images(spark, sf):
     return M.repeated_images(frame(spark, sf, "predictions"))
 
@@ -289,7 +305,7 @@ def b12_request_checks(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        h4_read_filters, h5_allowed_counts, i2_shortlists, i3_prompts, g8_similar_items, h9_citations, i4_cited_items, d11_log_summary, d12_repeated_images, d13_truth_report, d13_threshold_sweep,
+        h4_read_filters, h5_allowed_counts, i2_shortlists, i3_prompts, g8_similar_items, h9_citations, i4_cited_items, d11_log_summary, d11_sketched_summary, d12_repeated_images, d13_truth_report, d13_threshold_sweep,
         e13_latest, b11_without_demo, j1_history, j3_cleared_history, j5_saved_items, j1_stream_history, j5_stream_saved, j6_stream_scans, j3_stream_cleared, j6_shared_log, a13_append_scans,
         c2_carded, j2_session_listing, j4_isolation, a1_catalog_scan, a5_collected_files, a6_gallery, a11_prediction_log, b12_request_checks,
     )
@@ -396,3 +412,6 @@ ORACLES = {
     "a13_append_scans": f"WITH {cte('scans')} SELECT session, status, count(*) AS n FROM scans GROUP BY session, status",
 }
 ORACLES |= {"j3_stream_cleared": ORACLES["j3_cleared_history"], "j6_shared_log": ORACLES["j6_stream_scans"]}
+ORACLES["d11_sketched_summary"] = f"""WITH {cte('predictions')}, r AS (SELECT *, CAST((query_id % 28) // 7 AS INT) AS quarter FROM predictions UNION ALL SELECT *, -1 FROM predictions)
+  SELECT quarter, count(*) AS n, count(predicted_slug) AS answered, count(*) - count(predicted_slug) AS abstained, min(latency_ms) AS latency_min, round(avg(latency_ms), 6) AS latency_mean, max(latency_ms) AS latency_max,
+  true AS p50_within, true AS p90_within, true AS p95_within, true AS p99_within, true AS images_within FROM r GROUP BY quarter"""

@@ -85,6 +85,16 @@ def g5_fused_evidence(spark, sf):
     return N.fused_evidence(rows, gates)
 
 
+def g5_fused_vectors(spark, sf):
+    """The gallery vectors of mined candidates fused over the branches that a query has; two elements, and the square of the length."""
+    _, g = _sides(spark, sf)
+    rows = _mined(spark, sf).select("query_id", "slug").join(g.withColumnRenamed("vec", "value"), "slug")
+    rows = rows.withColumn("available", ~((F.col("branch") == "label") & (F.col("query_id") % 40 == 0)) & (F.col("query_id") % 60 != 0))
+    gates = spark.createDataFrame([("label", 0.4), ("bottle", 1.1)], "branch string, gate double")
+    fused = N.fused_vectors(rows, gates)
+    return fused.select("query_id", "slug", F.element_at("fused", 1).alias("first"), F.element_at("fused", -1).alias("last"), F.round(V.dot(F.col("fused"), F.col("fused")), 4).alias("square"))
+
+
 def g6_logits(spark, sf):
     return _mined(spark, sf).select("query_id", "slug", "base_logit", "residual", "score")
 
@@ -167,7 +177,7 @@ def i8_feature_table(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        g1_normalized, e4_branch_top, e4_indexed_top, c5_index_recall, g2_similarities, f1_pool_sizes, g3_mining, d4_pool_recall, g4_pair_features, g5_fused_evidence, g6_logits, g7_class_logits, g9_masked, d3_view_fusion,
+        g1_normalized, e4_branch_top, e4_indexed_top, c5_index_recall, g2_similarities, f1_pool_sizes, g3_mining, d4_pool_recall, g4_pair_features, g5_fused_evidence, g5_fused_vectors, g6_logits, g7_class_logits, g9_masked, d3_view_fusion,
         i6_ranking, e10_confidences, i7_scan_resolution, h19_evaluation, e14_alternatives, e11_distinct_candidates, i9_ranking_report, i8_feature_table,
     )
 }
@@ -229,3 +239,8 @@ ORACLES = {
         round(ranking + 0.25 * pairwise + 0.75 * protection + 0.02 * residual_guard, 6) AS total FROM m""",
 }
 ORACLES |= {"e4_indexed_top": ORACLES["e4_branch_top"], "c5_index_recall": "SELECT true AS reached"}
+ORACLES |= {
+    "g5_fused_vectors": f"""WITH {MINING}, w AS (SELECT c.query_id, c.slug, v.l, v.b, CASE WHEN c.query_id % 40 = 0 OR c.query_id % 60 = 0 THEN 0.0 ELSE exp(0.4 - 1.1) END AS wl, CASE WHEN c.query_id % 60 = 0 THEN 0.0 ELSE 1.0 END AS wb FROM cands c JOIN vecs v ON v.vec_id = c.slug),
+      f AS (SELECT query_id, slug, list_transform(range(1, 33), lambda i: CASE WHEN wb = 0 THEN 0.0 ELSE round((wl * l[i] + wb * b[i]) / greatest(wl + wb, 1e-6), 6) END) AS fused FROM w)
+      SELECT query_id, slug, CAST(fused[1] AS DOUBLE) AS first, CAST(fused[32] AS DOUBLE) AS last, round(CAST(list_sum(list_transform(fused, lambda x: x * x)) AS DOUBLE), 4) AS square FROM f""",
+}
