@@ -7,7 +7,6 @@ and letters spelled by their names. A table may be longer, shorter or another; i
 from __future__ import annotations
 
 import functools
-import json
 import re
 import unicodedata
 
@@ -75,28 +74,39 @@ def spelling_table() -> dict[str, str]:
     return table
 
 
-def _listed(characters) -> str:
-    return "[" + "".join(re.escape(c) for c in sorted(characters)) + "]"
+def _ranges(characters) -> str:
+    """The inside of a character class, neighbours as ranges."""
+    codes, out = sorted(map(ord, characters)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
 
 
 def spelled(text: Column, table: dict[str, str] | None = None) -> Column:
     """``text`` in lower case with every source of the table replaced, the longest that fits first; in the JVM.
 
-    Sources that are one character and become one or none go through one translation; the others are cut out by a pattern and looked up.
+    Characters that become one or none, and begin or continue no longer source, are translated first; of what is left, a pattern
+    cuts out the sources, each of which is looked up, and runs of other characters.
     """
     table = spelling_table() if table is None else table
-    plain = {s: t for s, t in table.items() if len(s) == 1 and len(t) <= 1}
-    rest = {s: t for s, t in table.items() if s not in plain}
-    text = F.lower(text.cast("string"))
-    if rest:
-        longer = sorted((s for s in rest if len(s) > 1), key=lambda s: (-len(s), s))
-        first = {s[0] for s in rest}
-        cut = "|".join([*map(re.escape, longer), _listed(first), f"[^{_listed(first)[1:-1]}]+"])
-        known = F.from_json(F.lit(json.dumps(rest)), "map<string,string>")
-        cuts = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
-        text = F.when(text.rlike(_listed(first)), F.array_join(F.transform(cuts, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")).otherwise(text)
-    order = sorted(plain, key=lambda s: (plain[s] == "", s))
-    return F.translate(text, "".join(order), "".join(plain[s] for s in order)) if plain else text
+    longer = sorted((s for s in table if len(s) > 1), key=lambda s: (-len(s), s))
+    inside = {c for s in longer for c in s}
+    plain = sorted((s for s, t in table.items() if len(s) == 1 and len(t) <= 1 and s not in inside and not {*table[s]} & {*table, *inside}), key=lambda s: (table[s] == "", s))
+    text = F.translate(F.lower(text.cast("string")), "".join(plain), "".join(table[s] for s in plain)) if plain else F.lower(text.cast("string"))
+    rest = {s: t for s, t in table.items() if s not in {*plain}}
+    if not rest:
+        return text
+    single = _ranges({s for s in rest if len(s) == 1} | {s[0] for s in longer})
+    ascii_too = any(s[0].isascii() for s in rest)
+    cut = "|".join([*([] if ascii_too else [r"[\x00-\x7f]+"]), *map(re.escape, longer), f"[{single}]", f"[^{single}]+" if ascii_too else rf"[^{single}\x00-\x7f]+"])
+    known = F.str_to_map(F.lit("\x01".join(f"{s}\x02{t}" for s, t in rest.items())), F.lit("\x01"), F.lit("\x02"))  # folded to a constant
+    most = max(map(len, rest))
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s){cut}"), F.lit(0))
+    looked_up = F.array_join(F.transform(cuts, lambda x: F.when(F.length(x) > most, x).otherwise(F.coalesce(F.try_element_at(known, x), x))), "")
+    return looked_up if ascii_too else F.when(text.rlike(r"[^\x00-\x7f]"), looked_up).otherwise(text)
 
 
 def normalize_spelled(text: Column, table: dict[str, str] | None = None) -> Column:

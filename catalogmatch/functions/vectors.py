@@ -11,9 +11,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    """Unit vector; a zero vector stays zero. The norm is the one element of an array, so that it is computed once and not for every element."""
+    scaled = F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)))
+    return F.element_at(scaled, 1)
 
 
 def pair_features(q: Column, r: Column) -> Column:

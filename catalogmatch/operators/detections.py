@@ -101,36 +101,59 @@ def _crops(rows: DataFrame, threshold: float, low: str) -> DataFrame:
     )
 
 
+def _ambiguous(one, two, rule: Selection):
+    """Whether the second box stays beside the best; false without a second."""
+    close = (
+        (F.abs(one["score"] - two["score"]) <= rule.score_gap)
+        & (F.abs(one["distance"] - two["distance"]) <= rule.distance_gap)
+        & (G.iou(one["box"], two["box"]) < rule.overlap)
+        & (F.least(one["confidence"], two["confidence"]) >= rule.least_confidence)
+    )
+    return F.coalesce(close, F.lit(False))
+
+
+def _rivalry(label, box, confidence, det):
+    """What orders the bottles of a label, the best first: as in ``pair_bottles``."""
+    x, y = (label["box"].x1 + label["box"].x2) * 0.5, (label["box"].y1 + label["box"].y2) * 0.5
+    inside = x.between(box.x1, box.x2) & y.between(box.y1, box.y2)
+    return F.struct(
+        (-inside.cast("int")).alias("outside"), F.when(inside, -G.iou(label["box"], box)).otherwise(0.0).alias("overlap"), F.when(inside, -confidence).otherwise(0.0).alias("doubt"),
+        F.when(inside, 0.0).otherwise(G.point_distance(x, y, box)).alias("away"), det.alias("det_id"), confidence.alias("confidence"), box.alias("box"),
+    )
+
+
 def views(images: DataFrame, detections: DataFrame, axis_x: float = 0.5, threshold: float = 0.75, low: str = "original_low_bottle_confidence") -> DataFrame:
     """One or two views per image: label and bottle with confidences, crops and mode; diagnostics repeat on every view.
 
-    Without a label the view is the whole frame with the best selected bottle.
+    Without a label the view is the whole frame with the best selected bottle. Images and boxes are shuffled once, together; windows
+    and one aggregation over the image do the rest in the same partitions, and no image's boxes are gathered in a row.
     """
-    rows = scored(detections, images, axis_x)
-    labels = select_targets(rows.where(F.col("class_id") == LABEL), LABELS)
-    bottles = rows.where(F.col("class_id") == BOTTLE)
-    paired = pair_bottles(labels, bottles).select(
-        "image_id", F.col("place").alias("view"), F.col("det_id").alias("label_det"), F.col("confidence").alias("label_confidence"), F.col("box").alias("label_box"),
-        "bottle_det", "bottle_confidence", "bottle_box", F.col("ambiguous").alias("label_ambiguous"),
-    )
-    top = select_targets(bottles, BOTTLES).where("place = 1")
-    whole = images.join(labels.select("image_id").distinct(), "image_id", "left_anti").join(
-        top.select("image_id", F.col("det_id").alias("bottle_det"), F.col("confidence").alias("bottle_confidence"), F.col("box").alias("bottle_box")), "image_id", "left"
-    )
-    null = lambda c: F.lit(None).cast(paired.schema[c].dataType).alias(c)
-    whole = whole.select(
-        "image_id", F.lit(1).alias("view"), null("label_det"), null("label_confidence"), null("label_box"), "bottle_det", "bottle_confidence", "bottle_box", F.lit(False).alias("label_ambiguous")
+    whole = Window.partitionBy("image_id")
+    none = lambda *names: [F.lit(None).cast(detections.schema[c].dataType).alias(c) for c in names]
+    boxes = ("det_id", "class_id", "confidence", "box")
+    sizes = images.select("image_id", "width", "height", F.lit(True).alias("known"), *none(*boxes))
+    rows = sizes.unionByName(detections.select("image_id", *boxes), allowMissingColumns=True)
+    rows = rows.withColumns({c: F.max(c).over(whole) for c in ("width", "height", "known")}).where("known").drop("known")
+    there = F.col("det_id").isNotNull()
+    rows = rows.withColumn("distance", F.when(there, G.axis_distance(F.col("box"), F.col("width"), axis_x)))
+    rows = rows.withColumn("score", F.when(there, G.selection_score(F.col("confidence"), F.col("distance"))))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("image_id", "class_id").orderBy(F.desc("score"), "det_id")))
+    target = F.struct("det_id", "score", "distance", "confidence", "box")
+    is_label, is_bottle = there & (F.col("class_id") == LABEL), there & (F.col("class_id") == BOTTLE)
+    rows = rows.withColumns({f"label_{k}": F.max(F.when(is_label & (F.col("place") == k), target)).over(whole) for k in (1, 2)})
+    rival = lambda k: F.min(F.when(is_bottle & F.col(f"label_{k}").isNotNull(), _rivalry(F.col(f"label_{k}"), F.col("box"), F.col("confidence"), F.col("det_id")))).alias(f"rival_{k}")
+    found = rows.groupBy("image_id", "width", "height").agg(
+        F.count_if(is_bottle).alias("bottle_detections"), F.count_if(is_label).alias("label_detections"), *(F.first(f"label_{k}").alias(f"label_{k}") for k in (1, 2)),
+        *(F.max(F.when(is_bottle & (F.col("place") == k), target)).alias(f"bottle_{k}") for k in (1, 2)), rival(1), rival(2),
     )
-    made = _crops(paired.unionByName(whole).join(images, "image_id"), threshold, low)
-    per_image = class_counts(detections).withColumnsRenamed({"bottles": "bottle_detections", "labels": "label_detections"})
-    made = made.join(per_image, "image_id", "left").join(top.select("image_id", F.col("ambiguous").alias("bottle_ambiguous")), "image_id", "left")
-    return made.withColumns(
-        {
-            "bottle_detections": F.coalesce("bottle_detections", F.lit(0)),
-            "label_detections": F.coalesce("label_detections", F.lit(0)),
-            "bottle_ambiguous": F.coalesce("bottle_ambiguous", F.lit(False)),
-        }
+    found = found.withColumn("label_ambiguous", _ambiguous(F.col("label_1"), F.col("label_2"), LABELS)).withColumn("bottle_ambiguous", _ambiguous(F.col("bottle_1"), F.col("bottle_2"), BOTTLES))
+    view = lambda k, label, bottle: F.struct(
+        F.lit(k).alias("view"), *(F.col(label)[c].alias(f"label_{n}") for c, n in (("det_id", "det"), ("confidence", "confidence"), ("box", "box"))),
+        *(F.col(bottle)[c].alias(f"bottle_{n}") for c, n in (("det_id", "det"), ("confidence", "confidence"), ("box", "box"))),
     )
+    made = F.when(F.col("label_1").isNull(), F.array(view(1, "label_1", "bottle_1"))).when(F.col("label_ambiguous"), F.array(view(1, "label_1", "rival_1"), view(2, "label_2", "rival_2"))).otherwise(F.array(view(1, "label_1", "rival_1")))
+    kept = ["image_id", "width", "height", "bottle_detections", "label_detections", "bottle_ambiguous", "label_ambiguous"]
+    return _crops(found.select(*kept, F.inline(made)), threshold, low)
 
 
 def crop_names(view_rows: DataFrame, paths: DataFrame) -> DataFrame:

@@ -41,8 +41,10 @@ def top_k(sims: DataFrame, k: int = 12) -> DataFrame:
 
 def _dealt(queries: DataFrame, gallery: DataFrame, gallery_parts: int | None, query_parts: int | None, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Both sides in parts: queries with gp and qp, the gallery under names of its own (both may come from one table) with g_gp and g_qp."""
-    gallery_parts = gallery_parts or max(1, -(-gallery.count() // GALLERY_ROWS))
-    query_parts = query_parts or max(1, -(-queries.count() // QUERY_ROWS))
+    if not (gallery_parts and query_parts):
+        sides = queries.select("branch", F.lit(1).alias("q"), F.lit(0).alias("g")).unionByName(gallery.select("branch", F.lit(0).alias("q"), F.lit(1).alias("g")))
+        largest = sides.groupBy("branch").agg(F.sum("q").alias("q"), F.sum("g").alias("g")).agg(F.coalesce(F.max("q"), F.lit(0)), F.coalesce(F.max("g"), F.lit(0))).first()
+        query_parts, gallery_parts = query_parts or max(1, -(-largest[0] // QUERY_ROWS)), gallery_parts or max(1, -(-largest[1] // GALLERY_ROWS))
     left = queries.withColumn("qp", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")).withColumn("gp", F.explode(F.sequence(F.lit(0), F.lit(gallery_parts - 1))))
     right = gallery.select(*(F.col(c).alias(f"g_{c}") for c in ("slug", "branch", "vec", *extra)))
     right = right.withColumn("g_gp", F.pmod(F.xxhash64("g_slug"), F.lit(gallery_parts)).cast("int")).withColumn("g_qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
@@ -96,7 +98,7 @@ def branch_top_k(
     Both sides are dealt into parts; every pair of parts meets in one group, multiplies ``query_block`` queries at a time and keeps
     its own best, and the best of those win. ``exclude`` (query_id, slug) pairs are left out; each query may have up to ``k``
     more of them in a part than are shown, so parts keep ``k`` plus the query's number of exclusions. Without given numbers
-    a part holds about ``GALLERY_ROWS`` or ``QUERY_ROWS`` rows, by a count of either table. With ``per_producer`` at most so
+    a part of the largest branch holds about ``GALLERY_ROWS`` or ``QUERY_ROWS`` rows, by a count of both tables. With ``per_producer`` at most so
     many rows of a ``producer`` (a column of the gallery) count; what a part passes over for better rows of its own
     producer, the whole gallery would pass over too.
     """
@@ -123,8 +125,8 @@ def branch_top_k(
                 sims = np.round(np.stack(block["vec"].to_list()) @ matrix, DIGITS) + 0.0
                 extra = block["extra"].to_numpy(int)
                 most = min(k + int(extra.max()), sims.shape[1])
-                order = np.argsort(-sims, axis=1, kind="stable")
                 if per_producer:
+                    order = np.argsort(-sims, axis=1, kind="stable")
                     #: A row's place among its producer's rows, best first, decides whether it counts.
                     sorted_codes = np.take(codes, order)
                     by_code = np.argsort(sorted_codes, axis=1, kind="stable")
@@ -137,7 +139,13 @@ def branch_top_k(
                     counts, order = fits.sum(axis=1), order[fits]
                     rows = np.repeat(np.arange(len(block)), counts)
                 else:
-                    order, rows = order[:, :most].ravel(), np.repeat(np.arange(len(block)), most)
+                    #: All that reach the last place, then these alone in order.
+                    last = np.partition(sims, sims.shape[1] - most, axis=1)[:, sims.shape[1] - most]
+                    rows, order = np.nonzero(sims >= last[:, None])
+                    by_row = np.lexsort((order, -sims[rows, order], rows))
+                    rows, order = rows[by_row], order[by_row]
+                    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    rows, order = rows[place < most], order[place < most]
                 ids.append(block["query_id"].to_numpy(object)[rows])
                 slugs.append(names[order])
                 makers.append(own[order])

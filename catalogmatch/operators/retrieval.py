@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from catalogmatch.functions.filters import DEFAULT_LEXICON, Lexicon, allowed, read_filters
 from catalogmatch.functions.text import shortlist_line
-from catalogmatch.operators.mining import branch_top_k
+from catalogmatch.operators.mining import GALLERY_ROWS, QUERY_ROWS, branch_top_k
+from catalogmatch.sources.sinks import kept_table
 
 SHORTLIST = 6
+#: The branch of questions whose filters leave nothing.
+EVERY = "every card"
 #: The default templates; {n} is the number of cards, {listing} and {question} are filled in.
 TEMPLATES = {
     "question": "Выбери от одного до трёх вин из списка и назови их номера в квадратных скобках.\n\nСписок вин:\n{listing}\n\nВопрос гостя: {question}",
@@ -27,48 +30,45 @@ def filtered_questions(questions: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON)
     return questions.withColumn("filters", read_filters(F.col("question"), lexicon))
 
 
-def capped_search(questions: DataFrame, cards: DataFrame, k: int = SHORTLIST, per_producer: int = 2, exclude: DataFrame | None = None, use_filters: bool = True) -> DataFrame:
-    """(question_id, position, slug): the ``k`` most similar cards that pass the filters, at most two per producer.
-
-    ``questions`` (question_id, qv, filters), ``cards`` (slug, vec, category, winery, profile). Questions with equal filters
-    form a branch, and a branch's gallery holds the cards that pass them, so rejected pairs are never scored; branches are
-    searched in parts by matrix products.
-    """
-    own = F.to_json("filters", {"ignoreNullFields": "false"}) if use_filters else F.lit("all")
-    asked = questions.select(F.col("question_id").alias("query_id"), own.alias("branch"), F.col("qv").alias("vec"))
-    gallery = cards.select("slug", "vec", F.col("winery").alias("producer"), "category", "profile")
-    if use_filters:
-        kinds = questions.select("filters").distinct().withColumn("branch", F.to_json("filters", {"ignoreNullFields": "false"}))
-        passes = allowed(F.col("filters"), F.col("category"), F.col("profile.sparkling"), F.col("profile.sweetness"))
-        gallery = gallery.join(F.broadcast(kinds), passes)  # the lexicon bounds the different filters
-    else:
-        gallery = gallery.withColumn("branch", F.lit("all"))
-    out = exclude.select(F.col("question_id").alias("query_id"), "slug") if exclude is not None else None
-    top = branch_top_k(asked, gallery.select("slug", "branch", "vec", "producer"), k, out, per_producer=per_producer)
-    return top.select(F.col("query_id").alias("question_id"), F.col("branch_rank").alias("position"), "slug")
-
-
-def with_fallback(filtered: DataFrame, unfiltered: DataFrame, key: str = "question_id") -> DataFrame:
-    """The filtered rows, and the unfiltered rows of keys that have no filtered one."""
-    return filtered.unionByName(unfiltered.join(filtered.select(key).distinct(), key, "left_anti"))
+def _kinds(asked: DataFrame, cards: DataFrame) -> DataFrame:
+    """(kind, filters, n): every different filter of some questions, and how many cards pass it; the lexicon bounds how many there are."""
+    kinds = asked.select("kind", "filters").distinct()
+    passes = allowed(F.col("filters"), F.col("category"), F.col("profile.sparkling"), F.col("profile.sweetness"))
+    counts = cards.select("category", "profile").join(F.broadcast(kinds), passes).groupBy("kind").agg(F.count("*").alias("n"))
+    return kinds.join(counts, "kind", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def shortlists(questions: DataFrame, cards: DataFrame, k: int = SHORTLIST, per_producer: int = 2) -> DataFrame:
-    """(question_id, position, slug) of questions (question_id, question, about_slug, vec).
+    """(question_id, position, slug) of questions (question_id, question, about_slug, vec): the ``k`` most similar cards that pass the
+    question's filters, at most ``per_producer`` of a producer. ``cards`` (slug, vec, category, winery, profile).
 
     A question about an item starts from that item's vector, has the item itself at position 1 and no fallback; any other falls back
     to similarity alone where its filters leave nothing.
+
+    All questions are searched at once: those with equal filters form a branch, whose gallery holds the cards that pass, so
+    rejected pairs are never scored. Whether a filter leaves nothing is known from a count of its cards, before any search.
     """
-    asked = filtered_questions(questions)
-    free = asked.where("about_slug IS NULL").withColumn("qv", F.col("vec"))
-    found = capped_search(free, cards, k, per_producer)
-    empty = free.join(found.select("question_id").distinct(), "question_id", "left_anti")
-    fallback = capped_search(empty, cards, k, per_producer, use_filters=False)
-    own = cards.select(F.col("slug").alias("about_slug"), F.col("vec").alias("qv"))
-    about = asked.where("about_slug IS NOT NULL").join(own, "about_slug")
-    selves = about.select("question_id", F.col("about_slug").alias("slug"))
-    similar = capped_search(about, cards, k - 1, per_producer, exclude=selves).withColumn("position", F.col("position") + 1)
-    return found.unionByName(fallback).unionByName(similar).unionByName(selves.select("question_id", F.lit(1).alias("position"), "slug"))
+    kind = F.to_json("filters", {"ignoreNullFields": "false"})
+    asked = filtered_questions(questions).withColumn("kind", kind)
+    own = cards.select(F.col("slug").alias("about_slug"), F.col("vec").alias("own"))
+    asked = asked.join(own, "about_slug", "left").where("about_slug IS NULL OR own IS NOT NULL")
+    asked = kept_table(asked.select("question_id", "about_slug", F.coalesce("own", "vec").alias("vec"), "filters", "kind"), "questions")
+    cards = kept_table(cards.select("slug", "vec", F.col("winery").alias("producer"), "category", "profile"), "cards")
+    kinds = kept_table(_kinds(asked, cards), "kinds")
+    falls_back = F.col("about_slug").isNull() & (F.col("n") == 0)
+    searched = asked.join(F.broadcast(kinds.select("kind", "n")), "kind").select(F.col("question_id").alias("query_id"), F.when(falls_back, EVERY).otherwise(F.col("kind")).alias("branch"), "vec", "about_slug")
+    branches = kinds.where("n > 0").select(F.col("kind").alias("branch"), "filters").unionByName(
+        searched.where(F.col("branch") == EVERY).select("branch").distinct().withColumn("filters", F.lit(None).cast(kinds.schema["filters"].dataType))
+    )
+    passes = allowed(F.col("filters"), F.col("category"), F.col("profile.sparkling"), F.col("profile.sweetness"))
+    gallery = cards.join(F.broadcast(branches), F.col("filters").isNull() | passes).select("slug", "branch", "vec", "producer")
+    most = kinds.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    selves = searched.where("about_slug IS NOT NULL").select("query_id", F.col("about_slug").alias("slug"))
+    parts = {"gallery_parts": max(1, -(-max(most, cards.count()) // GALLERY_ROWS)), "query_parts": max(1, -(-asked.count() // QUERY_ROWS))}
+    top = branch_top_k(searched.select("query_id", "branch", "vec"), gallery, k, selves, per_producer=per_producer, **parts)
+    about = top.join(selves.select("query_id", F.lit(1).alias("shift")), "query_id", "left").withColumn("position", F.col("branch_rank") + F.coalesce("shift", F.lit(0))).where(F.col("position") <= k)
+    found = about.select(F.col("query_id").alias("question_id"), "position", "slug")
+    return found.unionByName(selves.select(F.col("query_id").alias("question_id"), F.lit(1).alias("position"), "slug"))
 
 
 def prompts(questions: DataFrame, shortlist: DataFrame, cards: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -113,9 +113,10 @@ def g9_masked(spark, sf):
 
 def _views(spark, sf):
     """Two views per query: the candidates as they are, and every second one with a changed score."""
-    one = kept_table(_mined(spark, sf).select("query_id", "slug", "score"), "mined").withColumn("view", F.lit(1))
-    two = one.where("slug % 2 = 0").select("query_id", "slug", F.when(F.col("slug") % 4 == 0, F.col("score")).otherwise(F.round(F.col("score") + 0.25, 6)).alias("score"), F.lit(2).alias("view"))
-    return one.unionByName(two)
+    changed = F.when(F.col("slug") % 4 == 0, F.col("score")).otherwise(F.round(F.col("score") + 0.25, 6))
+    second = F.when(F.col("slug") % 2 == 0, F.struct(changed.alias("score"), F.lit(2).alias("view")))
+    both = F.array_compact(F.array(F.struct("score", F.lit(1).alias("view")), second))
+    return _mined(spark, sf).select("query_id", "slug", F.inline(both))
 
 
 def d3_view_fusion(spark, sf):
