@@ -3,8 +3,8 @@
 All texts are cut by the tokenizer's pattern and their distinct words counted. This word table is dealt to tasks by hash;
 each task lays its words end to end as bytes, and an inverted index lists, for every mergeable pair of tokens, the
 positions where it stands. Merges are replayed over all those words at once in rank order, each touching only the
-positions its pair is listed at and their neighbours. The ids of the corpus's ``hot_words`` most frequent words are sent
-to every worker. Words beyond these are rare; they are replayed in the same way where they are met, all new words of a
+positions its pair is listed at and their neighbours. This is done once for the corpus's most frequent words, whose ids are
+sent to every worker. Words beyond these are rare; they are replayed in the same way where they are met, all new words of a
 batch at once, because joining their ids back to every text would move more than the texts themselves. Texts are read
 back from the ids by the token table.
 
@@ -211,12 +211,11 @@ def _digest(*what) -> str:
     return hashlib.sha256(repr(what).encode()).hexdigest()
 
 
-def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", words_a_task: int = 200_000) -> DataFrame:
-    """(word, n, ids) of every distinct word of all texts, by replay over the whole table."""
+def corpus_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+    """(word, n) of every distinct word of all texts; written."""
     import pyarrow as pa
 
-    context = docs.sparkSession.sparkContext
-    key, sent = _digest(sorted(ranks.items()), pattern), context.broadcast(ranks)
+    key, sent = _digest(sorted(ranks.items()), pattern), docs.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches):
         replay = _replay(key, sent.value, pattern)
@@ -228,7 +227,30 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
-    counted = written(map_batches(docs.select(text_col), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    return written(map_batches(docs.select(text_col), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+
+
+def frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, ``most`` at most: all from some number of occurrences on, so that no task ranks them.
+
+    The numbers are looked at in classes (single ones below 1,024, then 64 for each doubling), of which a few thousand exist.
+    """
+    kind = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor((F.log2("n") - 10) * 64)).cast("int")
+    sizes = counted.groupBy(kind.alias("kind")).agg(F.count("*").alias("words")).collect()
+    least, room = None, most
+    for row in sorted(sizes, reverse=True):
+        room -= row.words
+        if room < 0:
+            break
+        least = row.kind
+    return counted.where(kind >= least) if least is not None else counted.limit(0)
+
+
+def word_table(counted: DataFrame, ranks: dict[bytes, int], pattern: str, words_a_task: int = 50_000) -> DataFrame:
+    """(word, n, ids) of a table of distinct words, by replay over all of them."""
+    import pyarrow as pa
+
+    key, sent = _digest(sorted(ranks.items()), pattern), counted.sparkSession.sparkContext.broadcast(ranks)
     tasks = max(1, -(-counted.count() // words_a_task))
 
     def merge(batches):
@@ -241,9 +263,9 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
     return map_batches(counted.repartition(tasks, "word"), merge, "word string, n long, ids array<int>")
 
 
-def hot_words(words: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The ``most`` most frequent rows of a word table, as ``MergeReplay`` takes them."""
-    rows = words.orderBy(F.desc("n"), "word").limit(most).select("word", "ids").toArrow()
+def _known(words: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A word table of bounded size, as ``MergeReplay`` takes it."""
+    rows = words.select("word", "ids").toArrow()
     ids = rows["ids"].combine_chunks()
     return rows["word"].to_pylist(), ids.flatten().to_numpy().astype(np.int32), np.diff(ids.offsets.to_numpy()).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
 
@@ -258,7 +280,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_c
     import pyarrow.compute as pc
 
     ranks = read_ranks(path)
-    known = hot_words(word_table(docs, ranks, pattern, text_col), hot)
+    known = _known(word_table(frequent(corpus_words(docs, ranks, pattern, text_col), hot), ranks, pattern))
     key = _digest(sorted(ranks.items()), pattern, hashlib.sha256("\n".join(known[0]).encode()).hexdigest(), len(known[0]))
     sent = docs.sparkSession.sparkContext.broadcast((ranks, known))
     id_type = docs.schema[id_col].dataType.simpleString()

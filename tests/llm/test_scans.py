@@ -307,16 +307,25 @@ def test_word_table_equals_tiktoken(spark, none):
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [prose(k % 7, 40) for k in range(60)] + ["naïve café 日本語 ９", "", None]
-    words = bpe.word_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), ranks, P.PATTERN, words_a_task=50)
+    counted = bpe.corpus_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), ranks, P.PATTERN)
+    words = bpe.word_table(counted, ranks, P.PATTERN, words_a_task=50)
     import regex
 
     want = Counter(w for t in texts for w in regex.findall(P.PATTERN, t or ""))
     rows = words.collect()
     assert {r.word: r.n for r in rows} == want and len(rows) == len(want)
     assert all(r.ids == enc.encode_ordinary(r.word) for r in rows)
-    hot = bpe.hot_words(words, 5)
-    assert hot[0] == sorted(want, key=lambda w: (-want[w], w.encode()))[:5] and hot[2].sum() == len(hot[1])
-    assert bpe.hot_words(bpe.word_table(none, ranks, P.PATTERN), 5)[0] == []
+    for most in (5, 40, 10_000):
+        hot = {r.word: r.n for r in bpe.frequent(counted, most).collect()}
+        least = min(hot.values(), default=max(want.values()) + 1)
+        assert len(hot) <= most and hot == {w: n for w, n in want.items() if n >= least}
+        below = max((n for n in want.values() if n < least), default=0)
+        assert len(hot) == len(want) or sum(n >= below for n in want.values()) > most
+    known = bpe._known(bpe.word_table(bpe.frequent(counted, 40), ranks, P.PATTERN))
+    assert set(known[0]) == {r.word for r in bpe.frequent(counted, 40).collect()} and known[2].sum() == len(known[1])
+    large = spark.createDataFrame([(f"w{k}", 1000 + 37 * k) for k in range(300)], "word string, n long")
+    assert 60 < bpe.frequent(large, 100).count() <= 100 and bpe.frequent(large, 100).agg({"n": "max"}).first()[0] == 1000 + 37 * 299
+    assert bpe._known(bpe.word_table(bpe.frequent(bpe.corpus_words(none, ranks, P.PATTERN), 5), ranks, P.PATTERN))[0] == []
 
 
 def test_forgetting_words_changes_nothing():
