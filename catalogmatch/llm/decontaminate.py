@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of canonical words: lower-case, without punctuation, numbers, names and units replaced by typed
-placeholders. A number starts with a digit or is a number word; a unit is a known unit word after a number, also one
-written onto it; a name is a capitalised word. Number words that follow one another are one number, and so are names one
+placeholders. A number starts with a digit or is a number word ("half", with an article behind it, is one); a unit is a known
+unit word after a number, also one written onto it; a name is a word that begins with a capital letter, of any script. Number words that follow one another are one number, and so are names one
 name, so that "Alice" and "Mary Ann" fill one slot. A capitalised word that opens a sentence or a line may be a name or
 an ordinary word, so every text has two readings: openers as words, and openers as names; each reading is compared with
 the same reading. Windows of canonical words are hash-joined between documents and benchmark items, so that a question
@@ -49,7 +49,7 @@ UNITS = (
 #: Number words.
 ONES = "one two three four five six seven eight nine".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-NUMBERS = [*ONES, *TENS, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(), *(t + o for t in TENS for o in ONES)]
+NUMBERS = [*ONES, *TENS, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen half".split(), *(t + o for t in TENS for o in ONES)]
 TYPES = ["", "number", "name", "unit"]
 READINGS = (0, 1)
 _KEEP = np.zeros(256, bool)
@@ -98,10 +98,14 @@ class Canonical:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(np.where(keep, (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * ahead[rank[:-1]], np.uint64(0)))])
         size = (rank[last] - rank[first]).astype(np.uint64)
         words = mixed((sums[last] - sums[first]) * back[rank[first]] + size)
-        lead = raw[np.append(np.flatnonzero(keep), len(raw) - 1)[rank[first]]]
+        at = np.append(np.flatnonzero(keep), len(raw) - 1)[rank[first]]
+        lead = raw[at]
         spelled = np.isin(words, _NUMBER_WORDS)
+        halved = np.zeros(len(first), bool)
+        halved[1:] = (words[:-1] == _HALF) & np.isin(words[1:], _ARTICLES) & follows[1:]
+        spelled |= halved
         types = np.zeros(len(first), np.int8)
-        types[(lead >= 65) & (lead <= 90) & (size > 1) & (~opens | (reading == 1))] = 2
+        types[_is_name(raw, at, size) & (~opens | (reading == 1))] = 2
         types[spelled | ((lead >= 48) & (lead <= 57))] = 1
         bounds = np.searchsorted(first, starts)
         after_number = np.concatenate([[False], types[:-1] == 1])[: len(first)]
@@ -145,6 +149,21 @@ class Canonical:
         return 4 * np.count_nonzero(self.types[at : at + size] == 0) >= size
 
 
+#: Capital letters of all scripts that have them, by code point.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
+
+
+def _is_name(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the words that begin ``at``, of ``size`` bytes, begin with a capital letter and have more than that."""
+    more = np.append(raw, [0, 0])
+    lead = raw[at].astype(np.int32)
+    second, third = (more[at + k].astype(np.int32) & 63 for k in (1, 2))
+    width = np.select([lead < 128, (lead >= 0xC0) & (lead < 0xE0), (lead >= 0xE0) & (lead < 0xF0)], [1, 2, 3], 4)
+    code = np.select([width == 1, width == 2, width == 3], [lead, (lead & 31) << 6 | second, (lead & 15) << 12 | second << 6 | third], 0)
+    return _CAPITAL[code] & (size > width.astype(np.uint64))
+
+
+_HALF, _ARTICLES = word_hashes(b"half")[0], word_hashes(b"a an")
 _UNIT_WORDS = word_hashes(" ".join(UNITS).encode())
 _NUMBER_WORDS = word_hashes(" ".join(NUMBERS).encode())
 
