@@ -9,7 +9,8 @@ predicted within the unit by its count in the rest of the corpus, the text's own
 Spark table that grows with the corpus and is joined to the texts' words. A text's score is the sum over all its words of
 log P(unit | both sides) + log P(word | unit).
 
-The trained network depends on how rows are dealt to partitions, in the last digits of a score or, on small inputs, more.
+The trained network depends on the order of rows and on how they are dealt to trainers, in the last digits of a score or, on small
+inputs, more; what it gains from the words around does not depend on the number of partitions.
 
 Results in special cases: null and empty texts have no words, a sum of 0 and no mean; rows that repeat a text score alike
 (but for the last digits); rows without an id are scored like others; an empty table gives an empty result.
@@ -32,6 +33,8 @@ WIDTH = 64
 TAILS = 512
 #: Added to the count of every tail word.
 PRIOR = 0.1
+#: Positions that a trainer has at least, in all rounds, where the input has so many.
+POSITIONS = 2_000_000
 #: A model travels in so many pieces, and so many partitions' models are added up in one task.
 PIECES, FAN = 16, 64
 
@@ -223,12 +226,12 @@ class WindowModel:
         parts = [p.astype(np.float32).reshape(x.shape) for p, x in zip(np.split(flat, np.cumsum(sizes)[:-1]), [*self.layers, *self.seen], strict=True)]
         return WindowModel(parts[: len(self.layers)], parts[len(self.layers) :])
 
-    def train(self, units: np.ndarray, bounds: np.ndarray, turn: int, turns: int, rate: float) -> int:
+    def train(self, units: np.ndarray, bounds: np.ndarray, turn: int, turns: int, rate: float, batch: int = BATCH) -> int:
         """Steps on every position of the joined texts that is ``turn`` modulo ``turns``; their number."""
         padded, place = self.padded(units, bounds)
         chosen = place[turn::turns]
-        for k in range(0, len(chosen), BATCH):
-            at = chosen[k : k + BATCH]
+        for k in range(0, len(chosen), batch):
+            at = chosen[k : k + batch]
             self.step([padded[at + d] for d in SIDES], padded[at], rate * min(1.0, len(at) / 512))
         return len(chosen)
 
@@ -282,12 +285,19 @@ def _averaged(trained: DataFrame, parts: int) -> np.ndarray | None:
 
 
 def fit_window_model(words: DataFrame, counts: np.ndarray, hidden: int = 32, rounds: int = 4, rate: float = 0.3, seed: int = 5) -> WindowModel:
-    """Trains on (units) of all rows; round ``r`` takes the positions of a batch that are r modulo ``rounds``, so that each counts once."""
+    """Trains on (units) of all rows; round ``r`` takes the positions of a batch that are r modulo ``rounds``, so that each counts once.
+
+    A trainer has ``POSITIONS`` positions at least: partitions with less are read together, so that what is learnt between two
+    averages does not depend on how many partitions there are. Larger inputs have as many trainers as partitions.
+    """
     import pyarrow as pa
     from pyspark import TaskContext
 
     model = WindowModel.begin(counts, hidden, seed)
     context, parts = words.sparkSession.sparkContext, words.select("units").rdd.getNumPartitions()
+    parts = max(1, min(parts, int(counts.sum() // POSITIONS)))
+    words = words.select("units").coalesce(parts)
+    steps = int(np.clip(counts.sum() / parts / 128, 512, BATCH))  # positions of a step; small inputs take smaller ones
     for turn in range(rounds):
         sent = context.broadcast((model.layers, model.seen))
 
@@ -295,14 +305,14 @@ def fit_window_model(words: DataFrame, counts: np.ndarray, hidden: int = 32, rou
             layers, seen = sent.value
             own, weight = WindowModel([x.copy() for x in layers], [x.copy() for x in seen]), 0
             for batch in batches:
-                weight += own.train(*_joined(batch.column(0)), turn, rounds, rate)
+                weight += own.train(*_joined(batch.column(0)), turn, rounds, rate, steps)
             if weight:
                 pieces = np.array_split(own.flat(), PIECES)
                 part = TaskContext.get().partitionId()
                 columns = [pa.array(np.full(PIECES, part, np.int32)), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, float(weight)))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in pieces], pa.binary())], ["part", "piece", "weight", "floats"])
 
-        flat = _averaged(map_batches(words.select("units"), train, "part int, piece int, weight double, floats binary"), parts)
+        flat = _averaged(map_batches(words, train, "part int, piece int, weight double, floats binary"), parts)
         if flat is None:
             break
         model = model.refilled(flat)

@@ -3,10 +3,10 @@
 from collections import Counter
 
 import numpy as np
-from conftest_llm import prose
+from conftest_llm import WORDS, prose
 
 from catalogmatch.llm import lm, quality, toxicity
-from catalogmatch.llm.common import clean_labels, is_held_out, labelled_sample, word_hashes
+from catalogmatch.llm.common import clean_labels, is_held_out, labelled_sample, word_hashes, written
 from pyspark.sql import functions as F
 
 
@@ -217,3 +217,29 @@ def test_lm_averages_over_many_partitions(spark, monkeypatch):
     many = lm.fit_window_model(words, known.counts)
     monkeypatch.setattr(lm, "FAN", 64)
     assert np.allclose(many.flat(), lm.fit_window_model(words, known.counts).flat(), atol=1e-5)
+
+
+def test_context_gains_alike_on_any_number_of_partitions(spark):
+    """What the words around add, against the same texts with their words shuffled, for 4, 32 and 128 partitions."""
+    import random
+
+    made = random.Random(11)
+    follows = {w: made.sample(WORDS, 3) for w in WORDS}
+    texts = []
+    for _ in range(240):
+        word, out = made.choice(WORDS), []
+        for _ in range(250):
+            word = made.choice(follows[word])
+            out.append(word)
+        texts.append(" ".join(out))
+    mixed = [" ".join(made.sample(t.split(), 250)) for t in texts]
+    gains = []
+    for parts in (4, 32, 128):
+        docs, other = (spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").repartition(parts) for x in (texts, mixed))
+        counts = written(lm.word_counts(docs), "counts")
+        known = lm.vocabulary(counts, lm.WIDTH)
+        words = written(lm.encoded(docs, known), "words")
+        model = lm.fit_window_model(words, known.counts)
+        mean = lambda w: lm.score_words(w, model, known, counts).selectExpr("sum(log_likelihood) / sum(n_words)").first()[0]  # noqa: B023, E731
+        gains.append(mean(words) - mean(lm.encoded(other, known)))
+    assert min(gains) > 0.3 and max(gains) - min(gains) <= 0.1 * min(gains)
