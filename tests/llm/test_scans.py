@@ -123,6 +123,21 @@ def test_licenses_in_wrapped_paragraphs(spark):
     assert got[0][1] == "0-2" and got[1][1] == "2-5" and got[3][1] == "0"
 
 
+def test_versions_and_families_are_told_apart(spark):
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = {
+        lesser.format("2.1"): "LGPL-2.1", lesser.format("3"): "LGPL-3.0", lesser.format("2.1").replace("library", "program"): "LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Released under the BSD 2-Clause License.": "BSD-2-Clause", "Released under the BSD 3-Clause License.": "BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+        "Licensed under the Artistic License 2.0.": "Artistic-2.0", "This program is made available under the terms of the Eclipse Public License 2.0": "EPL-2.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license": "Apache-2.0,MIT", "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY': "MIT",
+        "This work is licensed under the GNU General Public License, version 4.": "", "Licensed under the Apache License, Version 1.1.": "",
+    }
+    rows = [(k, f"{prose(k, 120)}\n\n{text}\n\n{prose(k + 50, 60)}") for k, text in enumerate(cases)]
+    got = {r.doc_id: r.licenses for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_license_similarity_equals_brute_force(spark):
     cut = lambda t: [w for w in re.split(r"[^a-z0-9.-]+|\.(?![0-9])", t.lower()) if w]
     pairs = lambda w: {(a, b) for a, b in zip(w, w[1:])}
