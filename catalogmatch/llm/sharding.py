@@ -89,31 +89,33 @@ def _small_homes(groups: DataFrame, left: np.ndarray, groups_a_task: int) -> Dat
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 8, fineness: int = 64, groups_a_task: int = 100_000, id_col: str = "doc_id", text_col: str = "text", cells: int = 512, tokens: Column | None = None
+    docs: DataFrame, n_shards: int = 8, fineness: int = 64, groups_a_task: int = 100_000, id_col: str = "doc_id", text_col: str = "text", cells: int = 512, rows_a_cell: int = 1_000_000, tokens: Column | None = None
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; slots run gapless from 0 in every shard.
 
-    At most ``3 * fineness * n_shards`` groups reach the driver. ``cells`` is how many parts of a shard are numbered in parallel.
+    At most ``3 * fineness * n_shards`` groups reach the driver. ``cells`` is how many parts of a shard are numbered in parallel;
+    there are more where these would hold over ``rows_a_cell`` rows. Rows are dealt to them one by one, whatever their ids and texts.
     """
     rows = written(measured(docs, id_col, text_col, tokens), "shard-rows")
-    totals = rows.agg(*(F.sum(d) for d in DIMS)).first()
+    totals = rows.agg(*(F.sum(d) for d in DIMS), F.count("*").alias("n_rows")).first()
     if totals[0] is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     groups = rows.groupBy("grp").agg(*(F.sum(d).alias(d) for d in DIMS))
-    groups = groups.select("*", *((F.col(d) / F.lit(float(max(1, t))) * n_shards).alias(f"{d}_share") for d, t in zip(DIMS, totals, strict=True)))
+    groups = groups.select("*", *((F.col(d) / F.lit(float(max(1, t))) * n_shards).alias(f"{d}_share") for d, t in zip(DIMS, totals, strict=False)))
     groups = written(groups.withColumn("pieces", F.greatest(F.lit(1), F.ceil("size_share")).cast("int")), "shard-groups")
     is_large = F.greatest(*(f"{d}_share" for d in DIMS)) > 1 / fineness
     large, left = _large_homes(groups.where(is_large), n_shards)
     large = F.broadcast(large)  # at most 3 * fineness * n_shards groups, n_shards more pieces
     small = sized(written(_small_homes(groups.where(~is_large), left, groups_a_task), "shard-homes"))
-    out = ["doc_id", "size", "text_crc32", "shard"]
+    out = ["doc_id", "size", "text_crc32", "shard", "row"]
+    cells = max(cells, -(-int(totals["n_rows"]) // (n_shards * rows_a_cell)))
     in_large = rows.join(large, "grp").where(F.col("piece") == F.pmod(F.xxhash64("row"), "pieces"))
     others = rows.join(F.broadcast(large.select("grp").distinct()), "grp", "left_anti").join(small, "grp")
-    homed = in_large.select(*out).unionByName(others.select(*out)).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)))
+    homed = in_large.select(*out).unionByName(others.select(*out)).withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)))
     homed = written(homed, "shard-homed")
     counts = homed.groupBy("shard", "cell").agg(F.count("*").alias("n"))  # n_shards * cells rows
     first = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32"))
+    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "row"))
     return homed.withColumn("place", place).join(F.broadcast(first), ["shard", "cell"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place") - 1).cast("long").alias("slot")
     )

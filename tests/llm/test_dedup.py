@@ -185,3 +185,13 @@ def test_pack_keeps_dimensions_level():
     load = np.zeros((8, 3))
     np.add.at(load, sharding.pack(made / made.sum(axis=0) * 8, np.ones((8, 3))), made)
     assert (load.max(axis=0) / load.min(axis=0)).max() < 1.05
+
+
+def test_rows_without_id_that_share_a_text_are_numbered_in_many_cells(spark):
+    made = spark.createDataFrame([(None, "one hot text")] * 900 + [(k, prose(k, 9)) for k in range(60)], "doc_id long, text string").repartition(5)
+    for how in ({"cells": 16}, {"cells": 1, "rows_a_cell": 7}):
+        got = sharding.shard(made, **how)
+        slots = defaultdict(list)
+        for r in got.collect():
+            slots[r.shard].append(r.slot)
+        assert sorted(slots) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
