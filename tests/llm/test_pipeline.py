@@ -72,4 +72,4 @@ def test_run_follows_the_operators(spark):
 def test_registered_queries_and_sql():
     from catalogmatch.llm.registry import ORACLES, QUERIES
 
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
