@@ -25,11 +25,15 @@ def axis_proximity(distance: Column, sigma: float = 0.2) -> Column:
     return F.exp(-0.5 * F.pow(distance / F.lit(sigma), F.lit(2.0)))
 
 
+#: Places of a selection score and of gaps between two: no order and no threshold hangs on the last bit of exp, which libraries give differently.
+PLACES = 9
+
+
 def selection_score(confidence: Column, distance: Column, weight: float = 0.2, sigma: float = 0.2) -> Column:
-    """Confidence plus a bounded bonus for closeness to the axis."""
+    """Confidence plus a bounded bonus for closeness to the axis, to ``PLACES`` places."""
     if weight < 0:
         raise ValueError("weight must not be negative")
-    return confidence.cast("double") + F.lit(weight) * axis_proximity(distance, sigma)
+    return F.round(confidence.cast("double") + F.lit(weight) * axis_proximity(distance, sigma), PLACES)
 
 
 def crosshair_axis(crosshair_x: Column, image_width: Column | None = None) -> tuple[Column, Column]:

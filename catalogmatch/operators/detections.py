@@ -1,7 +1,7 @@
 """Selection and pairing of detection boxes per image.
 
 Detections: (image_id, det_id, class_id, confidence, box struct<x1,y1,x2,y2>); images: (image_id, width, height).
-Equal scores are ordered by det_id.
+Scores and their gaps count to nine places; equal scores are ordered by det_id.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def select_targets(rows: DataFrame, rule: Selection = LABELS) -> DataFrame:
     other = lambda c: F.coalesce(F.lead(c).over(pair), F.lag(c).over(pair))  # noqa: E731  the one other row of the image
     ranked = ranked.withColumns({f"_{c}": other(c) for c in ("score", "distance", "confidence", "box")})
     close = (
-        (F.abs(F.col("score") - F.col("_score")) <= rule.score_gap)
+        (F.round(F.abs(F.col("score") - F.col("_score")), G.PLACES) <= rule.score_gap)
         & (F.abs(F.col("distance") - F.col("_distance")) <= rule.distance_gap)
         & (G.iou(F.col("box"), F.col("_box")) < rule.overlap)
         & (F.least("confidence", "_confidence") >= rule.least_confidence)
@@ -104,7 +104,7 @@ def _crops(rows: DataFrame, threshold: float, low: str) -> DataFrame:
 def _ambiguous(one, two, rule: Selection):
     """Whether the second box stays beside the best; false without a second."""
     close = (
-        (F.abs(one["score"] - two["score"]) <= rule.score_gap)
+        (F.round(F.abs(one["score"] - two["score"]), G.PLACES) <= rule.score_gap)
         & (F.abs(one["distance"] - two["distance"]) <= rule.distance_gap)
         & (G.iou(one["box"], two["box"]) < rule.overlap)
         & (F.least(one["confidence"], two["confidence"]) >= rule.least_confidence)

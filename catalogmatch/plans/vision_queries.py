@@ -78,7 +78,7 @@ def _iou(a, b):
     return f"(CASE WHEN {union} > 0 THEN {common} / {union} ELSE 0 END)"
 
 
-SCORED = f"""WITH {cte("detections")}, det AS (SELECT *, abs((x1 + x2) * 0.5 / 1000 - 0.5) AS distance, confidence + 0.2 * exp(-0.5 * pow(abs((x1 + x2) * 0.5 / 1000 - 0.5) / 0.2, 2)) AS score
+SCORED = f"""WITH {cte("detections")}, det AS (SELECT *, abs((x1 + x2) * 0.5 / 1000 - 0.5) AS distance, round(confidence + 0.2 * exp(-0.5 * pow(abs((x1 + x2) * 0.5 / 1000 - 0.5) / 0.2, 2)), 9) AS score
 FROM detections WHERE confidence >= 0.05), images AS (SELECT DISTINCT image_id FROM detections)"""
 
 
@@ -86,7 +86,7 @@ def _selected(name, kind, overlap, least):
     return f""", {name}_r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS place FROM det WHERE class_id = {kind}),
 {name} AS (
   SELECT a.image_id, a.det_id, CAST(a.place AS INT) AS place, a.confidence, a.x1, a.y1, a.x2, a.y2, a.score,
-    coalesce(abs(a.score - b.score) <= 0.06 AND abs(a.distance - b.distance) <= 0.08 AND {_iou('a.', 'b.')} < {overlap} AND least(a.confidence, b.confidence) >= {least}, false) AS ambiguous
+    coalesce(round(abs(a.score - b.score), 9) <= 0.06 AND abs(a.distance - b.distance) <= 0.08 AND {_iou('a.', 'b.')} < {overlap} AND least(a.confidence, b.confidence) >= {least}, false) AS ambiguous
   FROM {name}_r a LEFT JOIN {name}_r b ON a.image_id = b.image_id AND b.place = 3 - a.place WHERE a.place <= 2
 ), {name}_s AS (SELECT * FROM {name} WHERE place = 1 OR ambiguous)"""
 

@@ -135,6 +135,15 @@ def test_target_selection(spark):
     assert detections.select_targets(detections.scored(twins, frame100(spark)), detections.BOTTLES).count() == 1
 
 
+def test_the_last_bit_of_a_score_decides_nothing(spark):
+    """Mirrored boxes tie though their distances differ in the last bit; a gap of 0.06 is one, though 0.06 + e less e is more."""
+    rows = boxes(spark, [(1, 1, 1, 0.72, 50.1, 0, 60.1, 10), (1, 2, 1, 0.72, 39.9, 0, 49.9, 10), (2, 1, 1, 0.06, -5, 0, 5, 10), (2, 2, 1, 0.0, -5, 20, 5, 30)])
+    chosen = detections.select_targets(detections.scored(rows, frame100(spark))).collect()
+    assert sorted((r.image_id, r.det_id, r.place, r.ambiguous) for r in chosen) == [(1, 1, 1, True), (1, 2, 2, True), (2, 1, 1, True), (2, 2, 2, True)]
+    assert sorted((r.image_id, r.view, r.label_det) for r in detections.views(frame100(spark), rows).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2)]
+    assert {r.image_id: r["mode"] for r in detections.selection_modes(frame100(spark), rows).collect()} == {1: "ambiguous_two_pairs", 2: "ambiguous_two_pairs"}
+
+
 def test_pairing_of_labels_and_bottles(spark):
     labels = boxes(spark, [(1, 9, 1, 0.9, 40, 40, 60, 60), (2, 9, 1, 0.9, 0, 0, 4, 4)])
     bottles = boxes(spark, [(1, 1, 0, 0.9, 0, 0, 100, 100), (1, 2, 0, 0.5, 35, 30, 65, 90), (2, 3, 0, 0.9, 50, 50, 60, 60), (2, 4, 0, 0.9, 20, 20, 30, 30)])
