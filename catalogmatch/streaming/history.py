@@ -126,54 +126,18 @@ def current_lists(emitted: DataFrame) -> DataFrame:
     return emitted.join(last, ["session", "revision"]).where("place > 0").select("session", "id", "created_at", "status", "place").distinct()
 
 
-class SavedToggle(StatefulProcessor):
-    """State per (user, slug): whether the item is saved, since when, and the events counted that could still be delivered again.
-
-    An event is known by its id until the watermark has passed its time; then the stream drops it before it comes here, and a timer
-    at the end of its day forgets the id.
-    """
-
-    DAY = 86_400_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("toggle", "saved boolean, ts timestamp")
-        self.counted = handle.getMapState("counted", "id long", "ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        saved, last = self.state.get() if self.state.exists() else (False, None)
-        events = pd.concat([x[["id", "ts"]] for x in rows]).drop_duplicates("id")
-        events = [(int(i), pd.Timestamp(t)) for i, t in events.itertuples(index=False) if not self.counted.containsKey((int(i),))]
-        for number, ts in events:
-            ms = int(ts.timestamp() * 1000)
-            self.counted.updateValue((number,), (ms,))
-            self.handle.registerTimer((ms // self.DAY + 1) * self.DAY)
-        if events:
-            saved = bool(saved) ^ bool(len(events) % 2)
-            last = max([*(t for _, t in events), *([pd.Timestamp(last)] if last is not None else [])])
-            self.state.update((saved, last.to_pydatetime()))
-        yield pd.DataFrame({"user": [key[0]], "slug": [key[1]], "saved": [bool(saved)], "ts": [last]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs()
-        for number in [k for k, (ms,) in self.counted.iterator() if ms < passed]:
-            self.counted.removeKey(number)
-        yield pd.DataFrame(columns=["user", "slug", "saved", "ts"])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_saved(events: DataFrame, delay: str = "30 days") -> DataFrame:
-    """(user, slug, saved, ts): the state of every item a batch toggled; the latest row of a key is current.
+    """(user, slug, saved, ts): the state of every item a batch touched; the latest row of a key is current.
 
-    ``events`` (user, slug, ts, id) with timestamps. An event delivered again does not toggle its item again, however many lie between; one
-    that is older than the newest event by more than ``delay`` is dropped.
+    ``events`` (user, slug, ts, id) with timestamps. An event is known by its id: delivered again, it does not toggle its item again,
+    however many lie between; one that is older than the newest event by more than ``delay`` does not count, and its id is forgotten
+    ``delay`` after that. State is an id for each event of that time, and a count and a moment for each item. Works in update mode.
     """
-    kinds = {c: events.schema[c].dataType.simpleString() for c in ("user", "slug")}
-    return events.select("user", "slug", "ts", "id").withWatermark("ts", delay).groupBy("user", "slug").transformWithStateInPandas(
-        SavedToggle(), f"user {kinds['user']}, slug {kinds['slug']}, saved boolean, ts timestamp", "Update", "EventTime"
-    )
+    seen = events.select("user", "slug", "ts", "id").withWatermark("ts", delay)
+    counted = seen.dropDuplicatesWithinWatermark(["user", "slug", "id"]).withColumn("toggles", F.lit(1))
+    both = counted.unionByName(seen.withColumn("toggles", F.lit(0)))  # items whose events all came before are emitted, too
+    state = both.groupBy("user", "slug").agg(F.sum("toggles").alias("n"), F.max(F.when(F.col("toggles") == 1, F.col("ts"))).alias("ts"))
+    return state.where("n > 0").select("user", "slug", (F.col("n") % 2 == 1).alias("saved"), "ts")
 
 
 def stream_scans(predictions: DataFrame, catalog: DataFrame, path: str, checkpoint: str, sure: float = 0.45, suggest: float | None = 0.20, least_margin: float = 0.0) -> DataStreamWriter:

@@ -42,6 +42,11 @@ def test_a_toggle_delivered_again_after_thousands_of_others_counts_once(spark, t
     assert [r.saved for r in rows] == [True, True, False]
 
 
+def test_toggles_need_no_call_to_python(spark, tmp_path):
+    events = fed(spark, str(tmp_path / "in"), "user long, slug string, ts timestamp, id long", [[(1, "a", 10, 1)]], ["ts"])
+    assert "Python" not in (plan := SH.stream_saved(events)._jdf.queryExecution().analyzed().toString()) and "Pandas" not in plan
+
+
 SCANS = "session long, id long, created_at timestamp, status string"
 
 
