@@ -2,49 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalogmatch.operators.catalog import by_category, postings, rarest_pieces, search_cards, verified, wanted_words
+from catalogmatch.operators.catalog import by_category, held_tokens, holding_cards, matching_texts, search_cards, wanted_words, word_sets, words_in
 from catalogmatch.sources.sinks import kept_table, work_dir
 
 
+def _stretch(segment: Column) -> Column:
+    """The folder of a segment: the first one alone, and then twice as many each time, as a page reads them."""
+    return F.when(segment <= 0, 0).otherwise(F.length(F.bin(segment))).cast("int")
+
+
 class SearchIndex:
-    """At ``path``: ``cards``, ``postings`` (piece, slug, pos), both in folders of ``segment`` (stretches of ``segment_rows`` positions), and
-    ``pieces`` (piece, n), the number of cards that hold a piece, a row for each append.
+    """At ``path``: ``cards``, with their ``segment`` (``segment_rows`` positions), and ``held`` (token, search_text), the words of the different
+    texts, both in folders of ``stretch`` (segments 0, 1, 2 to 3, 4 to 7 and so on, so that folders are few), and ``tokens`` (token, n), the number
+    of texts that hold a token, a row for each append.
 
     Positions are file order; appended cards have positions and slugs of their own.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.cards, self.postings, pieces = (spark.read.parquet(f"{self.path}/{name}") for name in ("cards", "postings", "pieces"))
-        self.often = pieces.groupBy("piece").agg(F.sum("n").alias("n"))
+        self.cards, self.held, tokens = (spark.read.parquet(f"{self.path}/{name}") for name in ("cards", "held", "tokens"))
+        self.tokens = tokens.groupBy("token").agg(F.sum("n").alias("n"))
 
     @staticmethod
     def write(catalog: DataFrame, path: str | None = None, segment_rows: int = 1_000_000) -> SearchIndex:
         """Appends ``catalog`` to the index at ``path`` (a new folder of the shared one, if none is named) and opens it."""
         path = (path or work_dir(catalog.sparkSession, "search-index")).rstrip("/")
-        cards = search_cards(catalog).withColumn("segment", F.floor(F.col("pos") / segment_rows).cast("long"))
-        cards.repartition("segment", F.pmod(F.xxhash64("slug"), F.lit(8))).sortWithinPartitions("segment", "pos").write.mode("append").partitionBy("segment").parquet(f"{path}/cards")
-        rows = postings(cards).withColumn("segment", F.floor(F.col("pos") / segment_rows).cast("long"))
-        rows.repartition("segment", F.pmod(F.xxhash64("piece"), F.lit(32))).sortWithinPartitions("segment", "piece", "pos").write.mode("append").partitionBy("segment").parquet(f"{path}/postings")
-        postings(cards).groupBy("piece").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{path}/pieces")
+        segment = F.floor(F.col("pos") / segment_rows).cast("long")
+        cards = search_cards(catalog).withColumn("segment", segment).withColumn("stretch", _stretch(F.col("segment")))
+        cards.repartition("stretch", F.pmod(F.xxhash64("slug"), F.lit(32))).sortWithinPartitions("stretch", "segment", "pos").write.mode("append").partitionBy("stretch").parquet(f"{path}/cards")
+        held = held_tokens(cards, "stretch")
+        held.repartition("stretch", F.pmod(F.xxhash64("token", "search_text"), F.lit(32))).sortWithinPartitions("stretch", "token").write.mode("append").partitionBy("stretch").parquet(f"{path}/held")
+        held_tokens(cards).groupBy("token").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{path}/tokens")
         return SearchIndex(catalog.sparkSession, path)
 
     def append(self, catalog: DataFrame, segment_rows: int = 1_000_000) -> SearchIndex:
         return SearchIndex.write(catalog, self.path, segment_rows)
 
-    def _hits(self, rarest: DataFrame, wanted: DataFrame, segments: list[int] | None = None) -> DataFrame:
-        within = F.col("segment").isin(segments) if segments is not None else F.lit(True)
-        return verified(self.postings.where(within).join(rarest, "piece").select("slug", "lead"), self.cards.where(within).drop("segment"), wanted)
+    def _known(self, wanted: DataFrame) -> DataFrame:
+        return kept_table(words_in(self.tokens, wanted.select(F.explode("words").alias("word")).distinct()), "search-words")
+
+    def _hits(self, known: DataFrame, wanted: DataFrame, segments: list[int] | None = None) -> DataFrame:
+        """The hits of queries with words in all segments or in some that follow each other."""
+        cards, held = self.cards, self.held
+        if segments is not None:
+            first, last = (_stretch(F.lit(x)) for x in (segments[0], segments[-1]))
+            within = F.col("stretch").between(first, last)
+            cards, held = cards.where(within & F.col("segment").between(segments[0], segments[-1])), held.where(within)
+        return holding_cards(cards.drop("segment", "stretch"), matching_texts(held, known, kept_table(word_sets(wanted, known), "search-sets")), wanted)
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """(query_id, slug, pos): ``catalog.token_search`` without reading the catalog's texts for their pieces."""
+        """(query_id, slug, pos): ``catalog.token_search`` without reading the catalog's texts for their words."""
         wanted = wanted_words(queries)
-        rarest = rarest_pieces(wanted.where("lead <> ''").select("lead").distinct(), self.often)
-        empty = by_category(self.cards).join(wanted.where("lead = ''"), "wanted").select("query_id", "slug", "pos")
-        return self._hits(rarest, wanted.where("lead <> ''")).unionByName(empty)
+        empty = by_category(self.cards).hint("merge").join(wanted.where(F.size("words") == 0), "wanted").select("query_id", "slug", "pos")
+        return self._hits(self._known(wanted), wanted.where(F.size("words") > 0)).unionByName(empty)
 
     def page(self, queries: DataFrame, offset: int = 0, limit: int = 24) -> DataFrame:
         """(query_id, n, slug, pos): the page of every query, without totals.
@@ -56,13 +70,13 @@ class SearchIndex:
         first = lambda rows, key: rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos", "slug"))).where(F.col("n") <= need)
         wanted = kept_table(wanted_words(queries), "page-queries")
         heads = first(by_category(self.cards.select("slug", "pos", "card_category")), "wanted").select("wanted", "slug", "pos", "n")
-        out = heads.join(wanted.where("lead = ''"), "wanted").select("query_id", "slug", "pos", "n")
-        open_ = wanted.where("lead <> ''")
-        rarest = kept_table(rarest_pieces(open_.select("lead").distinct(), self.often), "page-pieces")
-        segments = [r.segment for r in self.cards.select("segment").distinct().orderBy("segment").collect()]  # folders of the index
+        out = heads.join(wanted.where(F.size("words") == 0), "wanted").select("query_id", "slug", "pos", "n")
+        known = self._known(wanted)
+        open_ = wanted.where(F.size("words") > 0)
+        segments = [r.segment for r in self.cards.select("segment").distinct().orderBy("segment").collect()]  # a number for each segment
         found, at, width = None, 0, 1
         while at < len(segments) and not open_.isEmpty():
-            hits = self._hits(rarest.join(open_.select("lead").distinct(), "lead", "left_semi"), open_, segments[at : at + width])
+            hits = self._hits(known, open_, segments[at : at + width])
             found = kept_table(first(hits if found is None else found.drop("n").unionByName(hits), "query_id"), "page-hits")
             at, width = at + width, max(1, at + width)
             if at < len(segments):

@@ -64,3 +64,17 @@ def test_a_page_of_the_stored_index_stops_early(spark, tmp_path):
     read.clear()
     assert index.page(queries.where("query_id IN (1, 2)"), 0, 4).count() == 8
     assert [(len(s), n) for s, n in read] == [(1, 2), (1, 1), (2, 1), (4, 1), (8, 1), (14, 1)][: len(read)] and len(read) > 3
+
+
+def test_search_broadcasts_nothing_and_its_index_has_few_folders(spark, tmp_path):
+    """Repeated texts make small files of many cards: file sizes must choose no join, and segments no folders."""
+    cards = spark.range(400).select(
+        F.concat(F.lit("s"), "id").alias("slug"), F.col("id").alias("pos"), F.concat(F.lit("rosso b"), (F.col("id") % 9).cast("string")).alias("name"), *(F.lit("x").alias(c) for c in ("winery", "category", "region", "grapes"))
+    )
+    queries = spark.createDataFrame([(1, "rosso b1", ""), (2, "ROSSO b2", "x"), (3, "osso", "y")], "query_id int, query string, category string")
+    found = catalog.token_search(cards, queries)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.pos) for r in found.collect()) == sorted((q, k) for q in (1, 2) for k in range(400) if k % 9 == q)
+    index = SearchIndex.write(cards, str(tmp_path / "i"), 4)
+    assert len(list((tmp_path / "i" / "cards").glob("*=*"))) == 8  # of 100 segments
+    assert sorted(r.pos for r in index.page(queries.where("query_id = 2"), 1, 3).collect()) == [11, 20, 29]
