@@ -15,16 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.operators.mining import DIGITS, GALLERY_ROWS, QUERY_ROWS, top_k
+from catalogmatch.operators.mining import DIGITS, GALLERY_ROWS, QUERY_ROWS, block_rows, top_k
 from catalogmatch.sources.sinks import kept_table, work_dir
 
+#: Queries with a cell to score that a task yields at a time.
+SOUGHT_ROWS = 1 << 15
 #: Similarities are rounded; what is nearer to a bound than this is scored.
 NEAR = 2e-6
 
 
 def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nearest centroid of each vector, distance to it)."""
-    cell = np.argmax(vectors @ centroids.T - (centroids**2).sum(axis=1) / 2, axis=1)
+    half, step = (centroids**2).sum(axis=1) / 2, block_rows(len(vectors), len(centroids))
+    cell = np.concatenate([np.argmax(vectors[at : at + step] @ centroids.T - half, axis=1) for at in range(0, max(1, len(vectors)), step)])
     return cell, np.linalg.norm(vectors - centroids[cell], axis=1)
 
 
@@ -97,30 +100,34 @@ class VectorIndex:
             all_centroids, all_cells = sent.value
             for frame in frames:
                 for branch, rows in frame.groupby("branch", sort=False):
-                    if branch not in all_cells:
-                        continue
-                    stats, near = all_cells[branch], all_centroids[branch]
-                    vectors = np.stack(rows["vec"].to_list()).astype(float)
-                    numbers = stats.index.to_numpy()
-                    d = np.sqrt(np.maximum(((vectors**2).sum(axis=1)[:, None] - 2 * vectors @ near[numbers].T + (near[numbers] ** 2).sum(axis=1)), 0))
-                    order = np.argsort(d, axis=1, kind="stable")
-                    held = np.cumsum(stats["n"].to_numpy()[order], axis=1)
-                    need = k + rows["extra"].to_numpy(int)
-                    first = np.maximum(probes, (held < need[:, None]).sum(axis=1) + 1)
-                    place = np.empty_like(order)
-                    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape).copy(), 1)
-                    wanted = place < first[:, None]
-                    if further:
-                        gap = np.maximum(0, np.maximum(d - stats["most"].to_numpy(), stats["least"].to_numpy() - d) - NEAR)
-                        most = ((vectors**2).sum(axis=1)[:, None] + stats["norm"].to_numpy() - gap**2) / 2
-                        wanted = ~wanted & (most >= rows["least"].to_numpy(float)[:, None] - NEAR)
-                    at, cell = np.nonzero(wanted)
-                    parts = -(-stats["n"].to_numpy()[cell] // part_rows)
-                    take, own = np.repeat(at, parts), np.repeat(cell, parts)
-                    out = rows.iloc[take].copy()
-                    out["cell"], out["d"], out["parts"] = numbers[own], d[take, own], np.repeat(parts, parts)
-                    out["part"] = np.arange(len(take)) - np.repeat(np.cumsum(parts) - parts, parts)
-                    yield out[["query_id", "branch", "vec", "extra", "least", "qp", "cell", "part", "parts", "d"]]
+                    if branch in all_cells:
+                        stats = all_cells[branch]
+                        step = max(1, SOUGHT_ROWS // max(len(stats), int((-(-stats["n"].to_numpy() // part_rows)).sum())))
+                        for at in range(0, len(rows), step):
+                            yield sought(rows.iloc[at : at + step], stats, all_centroids[branch])
+
+        def sought(rows, stats, near):
+            vectors = np.stack(rows["vec"].to_list()).astype(float)
+            numbers = stats.index.to_numpy()
+            d = np.sqrt(np.maximum(((vectors**2).sum(axis=1)[:, None] - 2 * vectors @ near[numbers].T + (near[numbers] ** 2).sum(axis=1)), 0))
+            order = np.argsort(d, axis=1, kind="stable")
+            held = np.cumsum(stats["n"].to_numpy()[order], axis=1)
+            need = k + rows["extra"].to_numpy(int)
+            first = np.maximum(probes, (held < need[:, None]).sum(axis=1) + 1)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape).copy(), 1)
+            wanted = place < first[:, None]
+            if further:
+                gap = np.maximum(0, np.maximum(d - stats["most"].to_numpy(), stats["least"].to_numpy() - d) - NEAR)
+                most = ((vectors**2).sum(axis=1)[:, None] + stats["norm"].to_numpy() - gap**2) / 2
+                wanted = ~wanted & (most >= rows["least"].to_numpy(float)[:, None] - NEAR)
+            at, cell = np.nonzero(wanted)
+            parts = -(-stats["n"].to_numpy()[cell] // part_rows)
+            take, own = np.repeat(at, parts), np.repeat(cell, parts)
+            out = rows.iloc[take].copy()
+            out["cell"], out["d"], out["parts"] = numbers[own], d[take, own], np.repeat(parts, parts)
+            out["part"] = np.arange(len(take)) - np.repeat(np.cumsum(parts) - parts, parts)
+            return out[["query_id", "branch", "vec", "extra", "least", "qp", "cell", "part", "parts", "d"]]
 
         qp = F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int").alias("qp")
         rows = queries.select("query_id", "branch", "vec", "extra", "least", qp)
@@ -128,7 +135,7 @@ class VectorIndex:
         return rows.mapInPandas(cells_of, f"query_id {kind}, branch string, vec array<double>, extra int, least double, qp int, cell int, part int, parts int, d double")
 
     def _scored(self, queries: DataFrame, k: int, probes: int, query_parts: int, part_rows: int, further: bool) -> DataFrame:
-        """(query_id, branch, slug, sim, scored): the best rows of every part sought, and a row without slug that says how many were scored."""
+        """(query_id, branch, slug, sim, scored): the best rows of every part sought that reach ``least``, and for each part a row without query and slug that says how many pairs were scored."""
         kinds = [queries.schema["query_id"].dataType.simpleString(), self.rows.schema["slug"].dataType.simpleString()]
         left = self._sought(queries, k, probes, query_parts, part_rows, further)
         sizes = queries.sparkSession.createDataFrame([(b, int(c), int(-(-n // part_rows))) for b, stats in self.cells.items() for c, n in stats["n"].items()] or [], "g_branch string, g_cell int, parts int")
@@ -136,28 +143,34 @@ class VectorIndex:
         right = right.withColumn("g_part", F.pmod(F.xxhash64("g_slug"), "parts").cast("int")).drop("parts").withColumn("g_qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
 
         def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-            out = {c: [] for c in ("query_id", "branch", "slug", "sim", "scored")}
+            ids, slugs, sims, scored = [], [], [], 0
             if len(q) and len(g):
                 g = g.sort_values("g_slug", kind="stable")
-                matrix, r, norm, slugs = np.stack(g["g_vec"].to_list()), g["g_r"].to_numpy(), g["g_norm"].to_numpy(), g["g_slug"].to_numpy(object)
-                for query in q.itertuples():
-                    vector = np.asarray(query.vec)
-                    at = slice(None)
+                matrix, r, norm, names = np.stack(g["g_vec"].to_list()), g["g_r"].to_numpy(), g["g_norm"].to_numpy(), g["g_slug"].to_numpy(object)
+                owners, vectors = q["query_id"].to_numpy(object), np.stack(q["vec"].to_list())
+                needs, leasts, ds = k + q["extra"].to_numpy(int), q["least"].to_numpy(float), q["d"].to_numpy(float)
+                for owner, vector, need, least, d in zip(owners, vectors, needs, leasts, ds, strict=True):
+                    at = np.arange(len(matrix))
                     if further:
-                        gap = np.maximum(0, np.abs(query.d - r) - NEAR)
-                        at = np.flatnonzero((vector @ vector + norm - gap**2) / 2 >= query.least - NEAR)
-                    sims = np.round(matrix[at] @ vector, DIGITS) + 0.0
-                    order = np.argsort(-sims, kind="stable")[: k + query.extra]
-                    for name, values in (("query_id", [query.query_id] * (len(order) + 1)), ("branch", [query.branch] * (len(order) + 1)), ("slug", [*slugs[at][order], None]), ("sim", [*sims[order], None]), ("scored", [0] * len(order) + [len(sims)])):
-                        out[name].extend(values)
-            frame = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+                        gap = np.maximum(0, np.abs(d - r) - NEAR)
+                        at = np.flatnonzero((vector @ vector + norm - gap**2) / 2 >= least - NEAR)
+                    near = np.round(matrix[at] @ vector, DIGITS) + 0.0
+                    scored += len(at)
+                    at, near = at[near >= least], near[near >= least]  # what is below the last place found cannot take one
+                    order = np.argsort(-near, kind="stable")[:need]
+                    ids.append(np.full(len(order), owner, object))
+                    slugs.append(names[at[order]])
+                    sims.append(near[order])
+                ids, slugs, sims = ([*np.concatenate(x), None] for x in (ids, slugs, sims))
+            columns = {"query_id": ids, "branch": [q["branch"].iloc[0]] * len(ids) if len(q) else [], "slug": slugs, "sim": sims, "scored": [0] * (len(ids) - 1) + [scored] if ids else []}
+            frame = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
             return frame.astype({"sim": float, "scored": "int64"})
 
         schema = f"query_id {kinds[0]}, branch string, slug {kinds[1]}, sim double, scored long"
         return left.groupBy("branch", "cell", "part", "qp").cogroup(right.groupBy("g_branch", "g_cell", "g_part", "g_qp")).applyInPandas(best, schema)
 
     def scored(self, queries: DataFrame, k: int = 12, exclude: DataFrame | None = None, probes: int = 4, exact: bool = True, part_rows: int = GALLERY_ROWS) -> DataFrame:
-        """The rows of ``top_k`` before the last ranking, and rows without slug that count the pairs scored; written."""
+        """The rows of ``top_k`` before the last ranking, and rows without query and slug that count the pairs scored; written."""
         queries = queries.select("query_id", "branch", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
         extra = exclude.groupBy("query_id").agg(F.count("*").cast("int").alias("extra")) if exclude is not None else None
         queries = queries.join(extra, "query_id", "left") if extra is not None else queries.withColumn("extra", F.lit(0))

@@ -229,6 +229,19 @@ def test_blocks_equal_expressions(spark):
     assert 0.9 <= mining.recall_against(near, mining.top_k(mining.similarities(queries, gallery), 5).where("branch = 'label'")).first().recall <= 1
 
 
+def test_matrices_of_a_task_are_bounded():
+    import numpy as np
+
+    assert mining.block_rows(512, 40) == 512 and mining.block_rows(512, 1 << 30) == 1
+    for width in (mining.GALLERY_ROWS, 3 * mining.GALLERY_ROWS, 4096):
+        assert 0 < mining.block_rows(10_000, width) * width <= mining.MOST_PAIRS
+    made = np.random.default_rng(3)
+    vectors, centroids = made.normal(size=(700, 3)), made.normal(size=(4096, 3))  # several blocks
+    cell, r = vector_index._nearest(vectors, centroids)
+    every = np.linalg.norm(vectors[:, None] - centroids[None], axis=2)
+    assert (cell == every.argmin(axis=1)).all() and np.allclose(r, every.min(axis=1)) and len(vector_index._nearest(vectors[:0], centroids)[0]) == 0
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_an_index_finds_the_exact_top_and_scores_few_pairs_of_clusters(spark, tmp_path, clustered):
     import numpy as np
@@ -249,6 +262,10 @@ def test_an_index_finds_the_exact_top_and_scores_few_pairs_of_clusters(spark, tm
     found = again.scored(queries, 5, probes=1, part_rows=30)
     assert key(mining.top_k(found.where("slug IS NOT NULL").drop("scored"), 5)) == key(mining.top_k(mining.similarities(queries, gallery), 5))
     work = {r.branch: r.share for r in vector_index.index_work(found, queries, gallery).collect()}
+    first = again.scored(queries, 5, probes=1, part_rows=30, exact=False).where("slug IS NOT NULL").drop("scored")
+    last = mining.top_k(first, 5).where("branch_rank = 5").select("query_id", "branch", F.col("sim").alias("least"))
+    more = found.where("slug IS NOT NULL").drop("scored").exceptAll(first).join(last, ["query_id", "branch"])
+    assert more.where("sim < least").count() == 0  # the further cells give only what can still take a place
     assert work["label"] < 0.2 if clustered else work["label"] <= 1
     assert vector_index.build_index(gallery.limit(0)).top_k(queries, 5).count() == 0
 
