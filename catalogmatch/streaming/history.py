@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -67,41 +67,59 @@ def stream_history(scans: DataFrame, n: int = KEEP_ROWS, days: int = KEEP_DAYS)
     )
 
 
-class ClearedScans(LatestScans):
+class ClearedScans(StatefulProcessor):
     """As ``LatestScans``, over scans and clears: a session's last clear stays in state as a tombstone, and scans that are not newer
-    stay out, whenever they arrive. Every emission has a ``revision`` of its own and starts with a row at place 0, so that an empty list
-    replaces an older one, too.
+    stay out, whenever they arrive. Every emission is one row, the list as arrays, with a ``revision`` of its own; it starts with a row that
+    is no scan, so that an empty list replaces an older one, too.
+
+    Moments are microseconds. A session has one value in state, read and written once a batch, and one timer, which is moved when it fires
+    before the session has been silent for long enough.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.session = handle.getValueState("session", "cleared timestamp, newest timestamp, revision long")
+    STATE = "cleared long, newest long, revision long, timer boolean, ids array<long>, times array<long>, statuses array<string>"
+    EMITTED = "ids array<long>, times array<long>, statuses array<string>, revision long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([x[["id", "created_at", "status", "clears"]] for x in rows])
-        cleared, newest, revision = self.session.get() if self.session.exists() else (None, None, 0)
-        times = [pd.Timestamp(x) for x in (cleared, *new.loc[new["clears"], "created_at"]) if x is not None]
-        cleared = max(times) if times else None
-        newest = max([*new["created_at"], *([pd.Timestamp(newest)] if newest is not None else [])])
-        found = {int(i): (int(i), pd.Timestamp(t), s) for i, t, s in self.kept.get()} if self.kept.exists() else {}
-        found |= {int(i): (int(i), pd.Timestamp(t), s) for i, t, s, c in new.itertuples(index=False) if not c}
-        oldest = newest.floor("s") - pd.Timedelta(days=self.days)
-        kept = sorted((x for x in found.values() if x[1] >= oldest and (cleared is None or x[1] > cleared)), key=lambda x: (x[1], x[0]), reverse=True)[: self.n]
-        self.kept.put([(i, t.to_pydatetime(), s) for i, t, s in kept]) if kept else self.kept.clear()
-        self.session.update((cleared.to_pydatetime() if cleared is not None else None, newest.to_pydatetime(), revision + 1))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(newest.timestamp() * 1000) + self.days * 86_400_000)
-        listed = [(None, newest, None), *kept]
-        yield pd.DataFrame(
-            {"session": key[0], "id": pd.array([x[0] for x in listed], "Int64"), "created_at": [x[1] for x in listed], "status": [x[2] for x in listed], "place": range(len(listed)), "revision": revision + 1}
-        )
+    def __init__(self, n: int = KEEP_ROWS, days: int = KEEP_DAYS):
+        self.n, self.micros = n, days * 86_400_000_000
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, newest, revision = self.session.get()
-        self.kept.clear()
-        self.session.update((None, newest, revision + 1))
-        yield pd.DataFrame({"session": [key[0]], "id": pd.array([None], "Int64"), "created_at": [pd.Timestamp(newest)], "status": [None], "place": [0], "revision": [revision + 1]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", self.STATE)
+
+    def _due(self, newest: int) -> int:
+        """Milliseconds."""
+        return (newest + self.micros) // 1000
+
+    def _listed(self, key, newest, revision, ids=(), times=(), statuses=()) -> Row:
+        return Row(session=key[0], ids=[None, *ids], times=[newest, *times], statuses=[None, *statuses], revision=revision)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cleared, newest, revision, timer, *kept = self.session.get() or (None, None, 0, False, [], [], [])
+        found = {i: (t, i, s) for i, t, s in zip(*kept, strict=True)}
+        for row in rows:
+            if row.clears:
+                cleared = row.micros if cleared is None else max(cleared, row.micros)
+            else:
+                found[row.id] = (row.micros, row.id, row.status)
+            newest = row.micros if newest is None else max(newest, row.micros)
+        oldest = newest // 1_000_000 * 1_000_000 - self.micros
+        last = sorted((x for x in found.values() if x[0] >= oldest and (cleared is None or x[0] > cleared)), key=lambda x: x[:2], reverse=True)[: self.n]
+        ids, times, statuses = [x[1] for x in last], [x[0] for x in last], [x[2] for x in last]
+        if not timer:
+            self.handle.registerTimer(self._due(newest))
+        self.session.update((cleared, newest, revision + 1, True, ids, times, statuses))
+        yield self._listed(key, newest, revision + 1, ids, times, statuses)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        cleared, newest, revision, _, *kept = self.session.get()
+        if self._due(newest) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._due(newest))
+            return
+        self.session.update((None, newest, revision + 1, False, [], [], []))
+        yield self._listed(key, newest, revision + 1)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_cleared_history(scans: DataFrame, clears: DataFrame, n: int = KEEP_ROWS, days: int = KEEP_DAYS, hide_demo: bool = False) -> DataFrame:
@@ -115,9 +133,10 @@ def stream_cleared_history(scans: DataFrame, clears: DataFrame, n: int = KEEP_RO
     rows = scans.where("status <> 'demo'") if hide_demo else scans
     rows = rows.select("session", "id", "created_at", "status", F.lit(False).alias("clears"))
     both = rows.unionByName(clears.select("session", F.lit(0).cast("long").alias("id"), F.col("ts").alias("created_at"), F.lit("").alias("status"), F.lit(True).alias("clears")))
-    return both.withWatermark("created_at", f"{days} days").groupBy("session").transformWithStateInPandas(
-        ClearedScans(n, days), f"session {kinds}, id long, created_at timestamp, status string, place int, revision long", "Update", "EventTime"
-    )
+    both = both.withColumn("micros", F.unix_micros("created_at")).withWatermark("created_at", f"{days} days")
+    lists = both.groupBy("session").transformWithState(ClearedScans(n, days), f"session {kinds}, {ClearedScans.EMITTED}", "Update", "EventTime")
+    listed = lists.select("session", "revision", F.posexplode(F.arrays_zip("ids", "times", "statuses")).alias("place", "x"))
+    return listed.select("session", F.col("x.ids").alias("id"), F.timestamp_micros("x.times").alias("created_at"), F.col("x.statuses").alias("status"), "place", "revision")
 
 
 def current_lists(emitted: DataFrame) -> DataFrame:

@@ -84,6 +84,19 @@ def test_scans_older_than_a_clear_stay_out_and_empty_lists_replace_others(spark,
     assert early.count() == 1 and early.first().place == 0  # the scan and its clear came in one batch: the list is empty
 
 
+def test_a_session_is_one_row_a_batch_and_its_timer_moves(spark, tmp_path):
+    day = 86_400
+    batches = [[(1, 1, 10 * day, "matched")], [(1, 2, 14 * day, "matched")], [(2, 3, 21 * day, "matched")], [(2, 4, 25 * day, "matched")], [(2, 5, 25 * day + 1, "matched")]]
+    one = fed(spark, str(tmp_path / "scans"), SCANS, batches, ["created_at"])
+    two = fed(spark, str(tmp_path / "clears"), "session long, ts timestamp, id long", [[(3, 10 * day, 1)]], ["ts"])
+    rows = SH.stream_cleared_history(one, two, days=5)
+    assert "Pandas" not in rows._jdf.queryExecution().analyzed().toString()
+    emitted = finished(spark, rows, str(tmp_path))
+    first = sorted((r.revision, r.place, r.id) for r in emitted.where("session = 1").collect())
+    assert first == [(1, 0, None), (1, 1, 1), (2, 0, None), (2, 1, 2), (2, 2, 1), (3, 0, None)]  # the timer of day 15 moved to day 19
+    assert sorted((r.session, r.id) for r in SH.current_lists(emitted).collect()) == [(2, 3), (2, 4), (2, 5)]
+
+
 def test_a_batch_written_again_replaces_itself(spark, tmp_path):
     path = str(tmp_path / "log")
     scans = spark.range(10).select("id", (F.col("id") % 3).alias("session"), F.timestamp_seconds(F.col("id") * 50_000).alias("created_at"))
