@@ -1,17 +1,18 @@
 """License scans: a trained paragraph classifier with template comparison, in DataFrame and Spark ML functions only.
 
 A paragraph is a stretch between empty lines; comment leaders are taken off its lines and its line breaks are spaces.
-Paragraphs are read in windows of ``WINDOW`` words that overlap. Features are word n-grams of a vocabulary learnt from the
-training paragraphs, each with a telling word: one of the notices that at most ``TELLING`` of the corpus paragraphs in
-training hold. A window without telling words has no features at all, so only the others are scored. A sparse multinomial logistic regression over the families and an unknown class is trained on
-variants of the notices (words left out, half of them amid prose) against paragraphs of the corpus and sentences that
-merely speak of licences. A first pass over all texts finds those with a window that is likelier a licence than the
-calibrated threshold. Their windows and single lines are then classified by family and compared with the notices of all families: each
+Paragraphs are read in windows of ``WINDOW`` words that overlap. Features are word n-grams of a vocabulary learnt from
+variants of the notices, each with a telling word: one of the notices that at most ``TELLING`` of all different windows of
+the corpus hold, licences left out. A window without telling words has no features at all, so such windows are one training
+row that counts for all of them, and only the others are scored. A sparse multinomial logistic regression over the families and
+an unknown class is trained on variants of the notices (words left out, half of them amid prose) against all different
+windows of the corpus, which weigh ``PROSE`` rows together at most, and sentences that merely speak of licences. A first pass
+over all texts finds those with a window that is likelier a licence than the calibrated threshold. Their windows and single lines are then classified by family and compared with the notices of all families: each
 family is confirmed of whose notices enough stands there, with the version it names, and no family alike fits as well. Windows and lines of no
 confirmed family count as unconfirmed.
 
-The threshold of the unknown class comes from corpus paragraphs that the model has not seen and from families that a
-second model was trained without.
+The threshold of the unknown class comes from the quarter of the corpus windows that the model has not seen and from families
+that a second model was trained without.
 
 Results in special cases: null and empty texts have no findings; repeated rows give equal results; of equal lines each
 counts; an empty table gives an empty result, other columns are not read.
@@ -19,6 +20,11 @@ counts; an empty table gives an empty result, other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+from typing import NamedTuple
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -29,6 +35,8 @@ from catalogmatch.llm.common import sized, table, written
 
 MAX_GRAM = 2
 TELLING = 0.01
+#: Training rows that the corpus windows weigh together at most: they are all learnt from, but do not outweigh the notices.
+PROSE = 2_000
 #: Words of a window, and from where to where the next begins.
 WINDOW, STEP = 384, 256
 #: Notices by family.
@@ -158,8 +166,8 @@ def _words(text: Column) -> Column:
 
 def _grams(words: Column, most: int = MAX_GRAM, least: int = 1) -> Column:
     """Distinct word n-grams."""
-    starts = lambda n: F.sequence(F.lit(1), F.size(words) - n + 1)
-    whole = lambda n: words if n == 1 else F.transform(starts(n), lambda i: F.array_join(F.slice(words, i, n), " "))
+    ends = lambda n: (F.slice(words, k + 1, F.greatest(F.lit(0), F.size(words) - n + 1)) for k in range(n))
+    whole = lambda n: words if n == 1 else functools.reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), ends(n))
     of = lambda n: F.when(F.size(words) >= n, whole(n)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(*(of(n) for n in range(least, most + 1))))
 
@@ -214,45 +222,118 @@ def _variants(notices: DataFrame, n: int) -> DataFrame:
     return rows.select("family", "variant", keep.alias("words"))
 
 
-def _training_rows(docs: DataFrame, text_col: str, max_texts: int, max_windows: int, variants: int) -> DataFrame:
-    """(family, variant, words, corpus, grams): variants of the notices, half of them amid prose, and negatives."""
-    spark = docs.sparkSession
+def _notice_words() -> list[str]:
+    """The different words of the notices."""
+    return sorted({w for _, text in NOTICES for w in _cut(text)})
+
+
+def _cut(text: str) -> list[str]:
+    """``_words`` of a notice."""
+    return [w for w in re.split(r"[^a-z0-9.-]+|\.(?![0-9])", text.lower()) if w]
+
+
+def _pairs(text: str) -> list[tuple[str, str]]:
+    """The different pairs of words of a notice."""
+    return list(dict.fromkeys(itertools.pairwise(_cut(text))))
+
+
+def _key_words() -> list[str]:
+    """Words of which a window holds one if half of any notice's pairs stand in it: fewer than half of the pairs have none, long words first."""
+    keys: set[str] = set()
+    for _, text in NOTICES:
+        pairs = _pairs(text)
+        while 2 * len(left := [x for x in pairs if keys.isdisjoint(x)]) >= len(pairs):
+            keys.add(max((w for x in left for w in x), key=lambda w: (len(w), w)))
+    return sorted(keys)
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def _corpus_windows(docs: DataFrame, text_col: str, around: int) -> DataFrame:
+    """(h, fold, held, around) of all different windows that are no licence: the notices' words in them, and the words of some.
+
+    Of windows only their hash and the notices' words are shuffled. The words of about ``around`` or more windows stay, dealt by hash over
+    the corpus.
+    """
+    every = max(1, docs.count() // (2 * around))
+    may_be = F.when(_holds(_key_words()), F.col("words")).otherwise(_strings([]))  # most windows need no comparison
+    rows = paragraph_windows(docs, text_col).select(F.xxhash64("words").alias("h"), F.col("words").alias("all"), may_be.alias("words"))
+    rows = _compared(rows, None).where("similarity < 0.5")
+    held = F.array_join(F.array_intersect(_strings(_notice_words()), F.col("all")), " ")
+    kept = F.when(F.pmod(F.xxhash64("h"), F.lit(every)) == 0, F.col("all"))
+    rows = rows.select("h", _fold(F.col("h")).alias("fold"), held.alias("held"), kept.alias("around"))
+    return written(rows.dropDuplicates(["h"]), "license-corpus")
+
+
+def _fold(h: Column) -> Column:
+    """A quarter of the windows, fold 3, is not learnt from."""
+    return F.pmod(F.xxhash64(h, F.lit(1)), F.lit(4)).cast("int")
+
+
+def _training_rows(corpus: DataFrame, variants: int) -> DataFrame:
+    """(family, variant, words, grams): variants of the notices, half of them amid prose, and of the sentences that name no licence.
+
+    Each that stands amid prose needs one window around it, so that their number is fixed.
+    """
+    spark = corpus.sparkSession
     known = _variants(_literal_rows(spark, NOTICES, "family", "text"), variants)
     other = _variants(_literal_rows(spark, [(UNKNOWN, x) for x in OTHER], "family", "text"), variants)
-    keys = docs.select(_key(text_col).alias("key")).distinct().orderBy("key.h", "key").limit(max_texts)
-    chosen = docs.join(F.broadcast(keys), _key(text_col) == F.col("key"), "left_semi")
-    prose = paragraph_windows(chosen, text_col).dropDuplicates(["words"]).orderBy(F.xxhash64("words"), "words").limit(max_windows)
-    prose = _compared(prose, None).where("similarity < 0.5").select("words", (F.row_number().over(Window.orderBy(F.xxhash64("words"), "words")) - 1).alias("n"))
-    prose = written(prose, "license-prose")  # at most max_windows rows
+    prose = corpus.where("size(around) > 0").orderBy("h").limit(_mixed(variants)).select("around", (F.row_number().over(Window.orderBy("h")) - 1).alias("n"))
+    prose = written(prose, "license-prose")
     count = max(1, prose.count())
-    amid = known.withColumn("n", F.pmod(F.xxhash64("family", "words", "variant"), F.lit(count))).join(prose.withColumnRenamed("words", "around"), "n", "left")
+    amid = known.withColumn("n", F.pmod(F.xxhash64("family", "words", "variant"), F.lit(count))).join(prose, "n", "left")
     at = F.pmod(F.xxhash64("words", "variant", F.lit(1)), F.lit(48)).cast("int")
     mixed = F.concat(F.slice("around", 1, at), "words", F.slice("around", at + 1, F.lit(160)))
     known = amid.select("family", "variant", F.when((F.col("variant") % 2 == 1) & F.col("around").isNotNull(), mixed).otherwise(F.col("words")).alias("words"))
-    corpus = prose.select(F.lit(UNKNOWN).alias("family"), (F.col("n") % variants).cast("int").alias("variant"), "words", F.lit(True).alias("corpus"))
-    rows = known.unionByName(other).withColumn("corpus", F.lit(False)).unionByName(corpus)
-    return written(rows.withColumn("grams", _grams(F.col("words"))), "license-rows")
+    return written(known.unionByName(other).withColumn("grams", _grams(F.col("words"))), "license-rows")
 
 
-def _telling_words(rows: DataFrame) -> list[str]:
-    """Words of the notices (as they stand, variant 0) that few of the corpus paragraphs among the training rows hold."""
-    prose = rows.where((F.col("family") == UNKNOWN) & (F.size("words") > 0) & F.col("corpus"))
-    most = TELLING * prose.count()
-    often = prose.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    words = rows.where((F.col("family") != UNKNOWN) & (F.col("variant") == 0)).select(F.explode("words").alias("word")).where("length(word) > 1").distinct()
-    return sorted(r.word for r in words.join(often, "word", "left_anti").collect())  # words of the notices
+def _mixed(variants: int) -> int:
+    """The variants of notices that stand amid prose."""
+    return len(NOTICES) * (variants // 2)
 
 
-def fit_licenses(docs: DataFrame, text_col: str = "text", max_texts: int = 600, max_windows: int = 2_000, variants: int = 24) -> tuple[CountVectorizerModel, LogisticRegressionModel, float, list[str]]:
-    """(vocabulary, model, threshold, telling words). Negatives: at most ``max_windows`` windows without a notice from ``max_texts`` texts, by hash."""
-    rows = _training_rows(docs, text_col, max_texts, max_windows, variants)
-    label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
+def _telling_words(corpus: DataFrame) -> list[str]:
+    """Words of the notices that few of the corpus windows hold."""
+    most = TELLING * corpus.count()
+    often = corpus.select(F.explode(F.split("held", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    often = {r.word for r in often.collect()}  # words of the notices
+    return [w for w in _notice_words() if len(w) > 1 and w not in often]
+
+
+class Licenses(NamedTuple):
+    """A fitted scan. ``windows`` (key, h, grams) are those of the corpus that hold a telling word, with their n-grams of the vocabulary."""
+
+    vocabulary: CountVectorizerModel
+    model: LogisticRegressionModel
+    threshold: float
+    telling: list[str]
+    windows: DataFrame
+
+
+def fit_licenses(docs: DataFrame, text_col: str = "text", variants: int = 24) -> Licenses:
+    """Learns from all windows of ``docs``: which words tell, the negatives and the threshold."""
+    corpus = _corpus_windows(docs, text_col, _mixed(variants))
+    rows = _training_rows(corpus, variants)
+    telling = _telling_words(corpus)
     learnt = CountVectorizer(inputCol="grams", outputCol="features", minDF=6, vocabSize=1 << 15, binary=True).fit(rows.where(F.col("family") != UNKNOWN))
-    telling = _telling_words(rows)
     kept = [g for g in learnt.vocabulary if not set(telling).isdisjoint(g.split(" "))]
     vocabulary = CountVectorizerModel.from_vocabulary(kept, inputCol="grams", outputCol="features").setBinary(True)
-    features = written(vocabulary.transform(rows.withColumn("label", label)).select("family", "variant", "label", "features"), "license-features")
-    learn = lambda part: LogisticRegression(maxIter=60, regParam=2e-3, family="multinomial").fit(part)
+    windows = paragraph_windows(docs, text_col, telling).select("key", F.xxhash64("words").alias("h"), _grams(F.col("words")).alias("grams"))
+    windows = written(windows.select("key", "h", F.array_intersect(_strings(sorted(kept)), F.col("grams")).alias("grams")), "license-windows")
+
+    # all windows of the corpus by their features; those without a telling word have none
+    with_words = corpus.select("h", "fold").join(windows.dropDuplicates(["h"]).select("h", "grams"), "h", "left")
+    prose = with_words.groupBy("fold", F.coalesce("grams", _strings([])).alias("grams")).agg(F.count("*").alias("n"))
+    total = corpus.count()
+    prose = prose.select(F.lit(UNKNOWN).alias("family"), F.col("fold").alias("variant"), "grams", F.col("n").alias("times"), (F.col("n") * min(1.0, PROSE / max(1, total))).alias("weight"))
+    others = F.when(F.col("family") == UNKNOWN, F.lit(max(1, round(total / PROSE)))).otherwise(1).cast("long")
+    rows = rows.select("family", "variant", "grams", others.alias("times"), F.lit(1.0).alias("weight")).unionByName(prose)
+    label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
+    features = written(vocabulary.transform(rows.withColumn("label", label)).select("family", "variant", "times", "weight", "label", "features"), "license-features")
+    learn = lambda part: LogisticRegression(maxIter=60, regParam=2e-3, family="multinomial", weightCol="weight").fit(part)
     seen = features.where("variant % 4 <> 3")
     model = learn(seen)
     left_out = FAMILIES[2::3]
@@ -260,9 +341,9 @@ def fit_licenses(docs: DataFrame, text_col: str = "text", max_texts: int = 600,
     likely = 1 - F.element_at(vector_to_array("probability"), 1)
     unseen = model.transform(features.where((F.col("variant") % 4 == 3) & (F.col("family") == UNKNOWN)))
     strange = partial.transform(features.where(F.col("family").isin(left_out) & (F.col("variant") == 0)))
-    high = unseen.agg(F.percentile(likely, F.lit(0.995))).first()[0] or 0.5
+    high = unseen.agg(F.percentile(F.round(likely, 4), F.lit(0.995), F.col("times"))).first()[0] or 0.5  # 10,001 values at most
     top = strange.agg(F.percentile(F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES))), F.lit(0.5))).first()[0] or 0.5
-    return vocabulary, model, min(0.9, max(0.5, high, top)), telling
+    return Licenses(vocabulary, model, min(0.9, max(0.5, high, top)), telling, windows)
 
 
 def _compared(rows: DataFrame, family: str | None = "family") -> DataFrame:
@@ -271,7 +352,9 @@ def _compared(rows: DataFrame, family: str | None = "family") -> DataFrame:
     notices = _literal_rows(spark, NOTICES, "of", "text").select("of", _grams(_words(F.col("text")), 2, 2).alias("notice"))
     notices = notices.groupBy(F.col("of") if family else F.lit(None).cast("string").alias("of")).agg(F.collect_list("notice").alias("notices"))
     share = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("pairs"))) / F.size(n)))
-    joined = rows.withColumn("pairs", _grams(F.col("words"), 2, 2)).join(F.broadcast(notices), F.col(family) == F.col("of") if family else F.lit(True))  # a row per family, or one
+    share = F.when(F.size("pairs") > 0, share).otherwise(0.0)
+    some = sorted({f"{a} {b}" for _, text in NOTICES for a, b in _pairs(text)})  # few of a window's pairs are in any notice
+    joined = rows.withColumn("pairs", F.array_intersect(_strings(some), _grams(F.col("words"), 2, 2))).join(F.broadcast(notices), F.col(family) == F.col("of") if family else F.lit(True))  # a row per family, or one
     return joined.withColumn("similarity", share).drop("pairs", "notices", "of")
 
 
@@ -298,10 +381,10 @@ def _confirmed(rows: DataFrame, least: float) -> DataFrame:
 
 def license_findings(docs: DataFrame, text_col: str = "text", least_similarity: float = 0.6) -> DataFrame:
     """(key, first, last, family, probability, similarity, confirmed) of the windows and lines that are likely licences."""
-    vocabulary, model, threshold, telling = fit_licenses(docs, text_col)
+    vocabulary, model, threshold, telling, windows = fit_licenses(docs, text_col)
     grams = lambda rows: vocabulary.transform(rows.withColumn("grams", _grams(F.col("words")))).drop("grams")
     likely = 1 - F.element_at(vector_to_array("probability"), 1)
-    first = model.transform(grams(paragraph_windows(docs, text_col, telling))).where(likely >= threshold).select("key").distinct()
+    first = model.transform(vocabulary.transform(windows)).where(likely >= threshold).select("key").distinct()
     first = sized(written(first, "license-keys"))
     chosen = docs.join(first, _key(text_col) == F.col("key"), "left_semi")
     scored = model.transform(grams(paragraphs(chosen, text_col).where(_holds(telling)))).where(likely >= threshold)

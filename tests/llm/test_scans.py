@@ -138,6 +138,23 @@ def test_versions_and_families_are_told_apart(spark):
     assert [got[k] for k in range(len(cases))] == list(cases.values())
 
 
+def test_licenses_learn_from_all_windows(spark):
+    """Words tell by their share of all different windows, licences left out; a part of the corpus has other shares."""
+    made, near = random.Random(4), ["software", "granted", "copies", "redistribution", "warranty", "clause", "creative", "copyright", "holder", "permission", "notice", "forms", "mozilla", "public", "eclipse", "domain"]
+    texts = [f"plain{k} words " + " ".join(made.choice("abcdefgh") * 3 for _ in range(5)) for k in range(2_400)]
+    often = {}
+    for i, word in enumerate(near):  # 22 or 26 of 2,400 windows hold it, where 24 are the most
+        often[word] = 22 + 4 * (i % 2)
+        for k in made.sample(range(len(texts)), often[word]):
+            texts[k] += f" {word}"
+    held = {w: sum(w in t.split() for t in texts) for w in near}
+    assert held == often
+    licences = [f"Released under the MIT License. mark{k}" for k in range(300)]
+    rows = list(enumerate(texts + texts[:700] + licences))
+    telling = licenses.fit_licenses(spark.createDataFrame(rows, "doc_id long, text string"))[3]
+    assert {w for w in near if w in telling} == {w for w in near if often[w] == 22} and {"mit", "license", "released"} <= set(telling)
+
+
 def test_license_similarity_equals_brute_force(spark):
     cut = lambda t: [w for w in re.split(r"[^a-z0-9.-]+|\.(?![0-9])", t.lower()) if w]
     pairs = lambda w: {(a, b) for a, b in zip(w, w[1:])}
