@@ -155,6 +155,21 @@ def test_licenses_learn_from_all_windows(spark):
     assert {w for w in near if w in telling} == {w for w in near if often[w] == 22} and {"mit", "license", "released"} <= set(telling)
 
 
+def test_license_words_are_cut_once(spark):
+    """The pass over the whole corpus cuts its texts into words once, by a class of ranges; the words are those of the plain class."""
+    made = spark.createDataFrame([("One of two.\n\nThree",), ("",), (None,), (" \n\n ",), ("...\n\n,",)], "text string")
+    windows = licenses.paragraph_windows(made)
+    assert sorted(tuple(r.words) for r in windows.collect()) == [("one", "of", "two"), ("three",)]
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1
+    assert "[^a-z" not in plan
+    each = [chr(c) for c in range(1, 0x3000)] + [chr(c) for c in (0xD7FF, 0xE000, 0xFF10, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF)]
+    texts = [f"a{x}b 1{x}2 {x}" for x in each] + ["v2.1. 3.x .5 a..b x.-y -"]
+    cut = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("low", licenses.F.lower("text")).select("low", licenses._words(licenses.F.col("text")).alias("words"))
+    for r in cut.collect():
+        assert r.words == [w for w in re.split(r"[^a-z0-9.-]+|\.(?![0-9])", r.low) if w]
+
+
 def test_license_similarity_equals_brute_force(spark):
     cut = lambda t: [w for w in re.split(r"[^a-z0-9.-]+|\.(?![0-9])", t.lower()) if w]
     pairs = lambda w: {(a, b) for a, b in zip(w, w[1:])}
