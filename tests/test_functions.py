@@ -229,6 +229,56 @@ def test_blocks_equal_expressions(spark):
     assert 0.9 <= mining.recall_against(near, mining.top_k(mining.similarities(queries, gallery), 5).where("branch = 'label'")).first().recall <= 1
 
 
+def test_best_of_producers_without_sorting_every_column():
+    import numpy as np
+
+    made = np.random.default_rng(5)
+    for t in range(300):
+        n, k = int(made.integers(1, 150)), int(made.integers(1, 7))
+        makers = made.integers(0, made.integers(1, 50), n) if t % 3 else np.where(np.arange(n) < n - 2, 0, np.arange(n))  # every third time one of them has nearly all
+        sims, shares = np.round(made.normal(size=(4, n)), int(made.integers(0, 4))) + 0.0, made.integers(1, 4, 4)
+        sims[made.random((4, n)) < (t % 5 == 0) * 0.3] = np.nan
+        want = []
+        for row in range(4):
+            taken, listed = {}, []
+            for c in sorted(range(n), key=lambda c: (True, 0, c) if np.isnan(sims[row, c]) else (False, -sims[row, c], c)):
+                if taken.setdefault(makers[c], 0) < shares[row] and len(listed) < k:
+                    taken[makers[c]] += 1
+                    listed.append((row, c))
+            want += listed
+        rows, columns = mining._first_of_producers(sims, np.unique(makers, return_inverse=True)[1], shares, k)
+        assert list(zip(rows.tolist(), columns.tolist())) == want
+
+
+def test_shortlists_by_hand_in_parts_of_each_filter(spark, monkeypatch):
+    import numpy as np
+
+    made = np.random.default_rng(11)
+    words = ["Красное", "Белое сухое", "Игристое", "Просто вино", "Розовое"]  # no card is rosé: these fall back
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    cards = [(f"c{k}", unit(made.normal(size=6)), ["Красное", "Белое"][k % 2], None if k % 3 == 0 else f"w{k % 5}", ("сухое" if k % 4 else None, k % 7 == 0)) for k in range(90)]
+    asked = [(q, words[q % 5], f"c{q}" if q % 8 == 0 else "gone" if q == 33 else None, unit(made.normal(size=6))) for q in range(60)]
+    vecs, want = {c[0]: np.array(c[1]) for c in cards}, set()
+    passes = [lambda c: c[2] == "Красное", lambda c: c[2] == "Белое" and c[4][0] == "сухое", lambda c: c[4][1], lambda c: True, lambda c: False]
+    for q, _, about, vec in asked:
+        if about == "gone":
+            continue
+        good = [c for c in cards if passes[q % 5](c) and c[0] != about] or (cards if about is None else [])
+        start, taken, place = vecs[about] if about else np.array(vec), {}, 1 if about else 0
+        want |= {(q, 1, about)} if about else set()
+        for c in sorted(good, key=lambda c: (-round(float(start @ vecs[c[0]]), 6), c[0])):
+            if taken.setdefault(c[3] or "", 0) < 2 and place < 6:
+                taken[c[3] or ""], place = taken[c[3] or ""] + 1, place + 1
+                want.add((q, place, c[0]))
+    cards = spark.createDataFrame(cards, "slug string, vec array<double>, category string, winery string, profile struct<sweetness: string, sparkling: boolean>")
+    asked = spark.createDataFrame(asked, "question_id int, question string, about_slug string, vec array<double>")
+    for gallery, queries in ((10_000, 5_000), (20, 3)):
+        monkeypatch.setattr(retrieval, "GALLERY_ROWS", gallery)
+        monkeypatch.setattr(retrieval, "QUERY_ROWS", queries)
+        assert {tuple(r) for r in retrieval.shortlists(asked, cards).collect()} == want
+    assert retrieval.shortlists(asked, cards.limit(0)).where("position > 1").count() == 0 == retrieval.shortlists(asked.limit(0), cards).count()
+
+
 def test_matrices_of_a_task_are_bounded():
     import numpy as np
 

@@ -37,6 +37,14 @@ def test_query_equals_sql(spark, sql, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([c[0] for c in found.description], found.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_shortlists_are_made_for_every_question_that_has_a_vector(spark, sql):
+    asked = {r[0] for r in sql.execute("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)").fetchall()}
+    got = QUERIES["i2_shortlists"](spark, SF).collect()
+    assert {r.question_id for r in got} == {r[0] for r in sql.execute(ORACLES["i2_shortlists"]).fetchall()} == asked
+    assert {r.question_id for r in got if r.slug == f"p-{r.question_id}" and r.position == 1} >= {k for k in asked if k % 60 == 0}
+
+
 def test_every_query_without_sql_is_known():
     assert set(QUERIES) - set(ORACLES) == {"h3_blake_vectors", "h1_normalize_exactly"}
 
